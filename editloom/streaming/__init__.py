@@ -1,0 +1,6 @@
+"""Every operator of this engine is a one-shot batch function of its input tables.
+
+The request parser (``functions.text``) and the catalogue normalisers are stateless
+column expressions, so they can be put on a ``readStream`` source unchanged; there is
+no stateful or event-time operator to offer here.
+"""
