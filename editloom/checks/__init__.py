@@ -1 +1,8 @@
+"""Registered queries with their SQL counterparts."""
 
+
+def all_queries():
+    from . import registry
+    from . import q_library  # noqa: F401
+
+    return registry.QUERIES, registry.ORACLES
