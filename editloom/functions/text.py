@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fixed
+from .frame import first_rule, let
 from .norm import gene_token
 from .numeric import truthy
 
@@ -57,14 +58,13 @@ def edit_class(text: Column, mutation: Column, site: Column, cassette: Column) -
 
 def reporter_mention(text: Column) -> Column:
     """First reporter, in catalogue order, whose squashed name occurs in the squashed text."""
-    line = _squash(text)
-    hits = [F.when(F.contains(line, F.lit(alias)), F.lit(key)) for alias, key in fixed.REPORTER_NAMES.items()]
-    return F.coalesce(*hits, F.lit(""))
+    return F.coalesce(let(_squash(text), lambda line: first_rule(
+        list(fixed.REPORTER_NAMES.items()), lambda n: F.contains(line, n))), F.lit(""))
 
 
 def reporter_key(name: Column) -> Column:
-    low = _squash(name)
-    return F.coalesce(*[F.when(low == alias, F.lit(key)) for alias, key in fixed.REPORTER_NAMES.items()], F.lit(""))
+    return F.coalesce(let(_squash(name), lambda low: first_rule(
+        list(fixed.REPORTER_NAMES.items()), lambda n: low == n)), F.lit(""))
 
 
 def architecture_hint(text: Column) -> Column:
@@ -95,21 +95,26 @@ def cassette_key(text: Column, target: str = "") -> Column:
     tag, then the longest catalogue key contained in the line and allowed for the target."""
     from ..sources.dims import cassette_names
 
-    line = _squash(text)
-    rules = [F.when(line == alias, F.lit(key)) for alias, key in fixed.CASSETTE_ALIASES.items()]
-    if target in ("nt", "ct"):
-        rules.append(F.nullif(reporter_cassette(reporter_mention(text), target, architecture_hint(text)), F.lit("")))
+    keys = sorted(cassette_names(), key=len, reverse=True)
+    contained = []
     if target in ("", "it"):
-        for key in sorted(fixed.INTERNAL_TAGS, key=len, reverse=True):
-            rules.append(F.when(F.contains(line, F.lit(_squash_py(key))), F.lit(key)))
-    for key in sorted(cassette_names(), key=len, reverse=True):
-        squashed = _squash_py(key)
-        allowed = {"nt": key in fixed.NT_CASSETTES, "ct": key in fixed.CT_CASSETTES}.get(target, True)
-        if allowed:
-            rules.append(F.when(F.contains(line, F.lit(squashed)), F.lit(key)))
+        contained += [(_squash_py(k), k) for k in sorted(fixed.INTERNAL_TAGS, key=len, reverse=True)]
+    for key in keys:
+        needle = _squash_py(key)
+        if {"nt": key in fixed.NT_CASSETTES, "ct": key in fixed.CT_CASSETTES}.get(target, True):
+            contained.append((needle, key))
         if target == "nt" and key.startswith("N:"):
-            rules.append(F.when(F.contains(line, F.lit(squashed.removeprefix("n"))), F.lit(key)))
-    return F.coalesce(*rules, F.lit(""))
+            contained.append((needle.removeprefix("n"), key))
+
+    def search(line):
+        rules = [first_rule(list(fixed.CASSETTE_ALIASES.items()), lambda n: line == n)]
+        if target in ("nt", "ct"):
+            rules.append(F.nullif(let(reporter_mention(text), lambda r: let(
+                architecture_hint(text), lambda h: reporter_cassette(r, target, h))), F.lit("")))
+        rules.append(first_rule(contained, lambda n: F.contains(line, n)))
+        return F.coalesce(*rules, F.lit(""))
+
+    return let(_squash(text), search)
 
 
 def gene_from_text(text: Column, cell_line: Column, mutation: Column, cassette: Column) -> Column:

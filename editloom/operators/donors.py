@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.frame import let
 from ..functions.seq import codon_to_aa, codons, diff_positions, put_base, put_insert, revcomp_clean, show_stop
-from .genome import coding_window, let
+from .genome import coding_window
 from .guides import Reference
 
 OLIGO = 127

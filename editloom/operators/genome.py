@@ -9,17 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.frame import let
 from ..functions.numeric import half_up
 from ..functions.seq import codon_to_aa, gc_count, revcomp
 
 SITE = 23  # 20-base spacer plus 3-base PAM
 
 
-def let(value: Column, body) -> Column:
-    """Bind a sub-expression once inside a larger one."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 # --- coding coordinates --------------------------------------------------------------------------
 
 def coding_to_genomic(segs: Column, cp: Column) -> Column:

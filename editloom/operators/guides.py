@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed import CODONS_BY_AA
+from ..functions.frame import let
 from ..functions.numeric import half_up
 from ..functions.seq import codon_to_aa, gc_count, revcomp
 from .bandjoin import band_join
-from .genome import SITE, genomic_to_coding, let, scan_sites
+from .genome import SITE, genomic_to_coding, scan_sites
 
 WINDOWS = (10, 20, 30)
 

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as fx
 from ..functions import seq as sq
+from ..functions.frame import barrier, let
 from ..functions.numeric import clamp, half_up
-from .genome import let
 
 TOP = 5
 SEEDS = 8
@@ -28,11 +28,6 @@ SCREEN_SHIFT = 40
 _LMIN, _LMAX = fx.PRIMER_LEN_MIN, fx.PRIMER_LEN_MAX
 
 
-def barrier(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """Add columns through a generator, so later filters on them do not evaluate them again."""
-    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
-
-
 def _limits(**columns) -> Column:
     return F.struct(*[(c if isinstance(c, Column) else F.lit(c)).cast("bigint").alias(n) for n, c in columns.items()])
 
