@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed import CODONS_BY_AA
-from ..functions.frame import let
+from ..functions.frame import barrier, let
 from ..functions.numeric import half_up
 from ..functions.seq import codon_to_aa, gc_count, revcomp
 from .bandjoin import band_join
@@ -79,14 +79,14 @@ def pick_both_strands(sorted_guides: Column) -> Column:
 
 def with_insert_guides(df: DataFrame, ref: Reference, target: Column) -> DataFrame:
     """Add guides (<= 2), guide_window (10, 20 or 30) and guide_tier from the smallest window that has any."""
-    df = df.withColumn("_near", nearby_guides(ref, target))
-    within = lambda w: F.filter("_near", lambda g: g["dist"] <= w)
-    window = F.coalesce(*[F.when(F.size(within(w)) > 0, F.lit(w)) for w in WINDOWS])
-    df = df.withColumn("guide_window", window)
-    chosen = F.filter("_near", lambda g: g["dist"] <= F.col("guide_window"))
+    # Barriers: without them the filters Spark derives from later explodes would evaluate the scan again.
+    df = barrier(df, {"_near": nearby_guides(ref, target)})
+    within = lambda w: F.exists("_near", lambda g: g["dist"] <= w)
+    df = barrier(df, {"guide_window": F.coalesce(*[F.when(within(w), F.lit(w)) for w in WINDOWS])})
+    window = F.col("guide_window")
+    chosen = F.filter("_near", lambda g: g["dist"] <= window)
     tier = F.when(window == 10, "preferred").when(window == 20, "fallback").when(window == 30, "distant fallback")
-    return df.withColumns({"guides": F.when(F.col("guide_window").isNotNull(), pick_both_strands(chosen)),
-                           "guide_tier": tier}).drop("_near")
+    return barrier(df, {"guides": F.when(window.isNotNull(), let(chosen, pick_both_strands)), "guide_tier": tier}).drop("_near")
 
 
 def guides_near_targets(sites: DataFrame, targets: DataFrame, reach: int) -> DataFrame:

@@ -1,7 +1,38 @@
-"""Design jobs."""
+"""Design jobs: requests joined with models and carried through guides, donors and primers."""
+
+from __future__ import annotations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-def debug_line(models, feature_count):
+
+from ..functions import fixed as fx
+from ..functions.numeric import half_up
+
+
+def debug_line(models: DataFrame, feature_count: Column) -> Column:
     s = lambda c: c.cast("string")
     return F.concat(F.lit("Parsed "), s(F.col("seq_len")), F.lit(" bp with "), s(feature_count), F.lit(" features. CDS: "), F.col("gene"),
                     F.lit(", "), s(F.size("segs")), F.lit(" segments, "), s(F.col("protein_length")), F.lit(" aa."))
+
+
+def pair_summary(pairs: DataFrame) -> DataFrame:
+    """Cut centre and deletion class of guide pairs (l_cut <= r_cut)."""
+    return pairs.withColumns({
+        "cut_center": half_up((F.col("l_cut") + F.col("r_cut")) / F.lit(2.0)),
+        "spacing": F.abs(F.col("r_cut") - F.col("l_cut")),
+        "long_deletion": F.abs(F.col("r_cut") - F.col("l_cut")) > fx.LONG_DELETION})
+
+
+def with_insert(requests: DataFrame, inserts: DataFrame) -> DataFrame:
+    """Attach the cassette sequence by name and terminus (null when there is none). The cassette table is a
+    fixed dimension of about a hundred rows, hence the broadcast."""
+    return requests.join(F.broadcast(inserts), ["insert_name", "terminus"], "left")
+
+
+def construct_choice(requests: DataFrame, constructs: DataFrame) -> DataFrame:
+    """Architecture group of a cassette; an unlisted one falls back to the first of the terminus."""
+    first = constructs.where("group_no = 0 and position = 0").select(
+        "terminus", F.col("architecture").alias("_a"), F.col("cassette").alias("_c"))
+    listed = constructs.select("terminus", F.col("cassette").alias("insert_name"), "architecture", "cassette")
+    out = requests.join(F.broadcast(listed), ["insert_name", "terminus"], "left").join(F.broadcast(first), "terminus", "left")
+    return out.withColumns({"architecture": F.coalesce("architecture", "_a"), "cassette": F.coalesce("cassette", "_c")}).drop("_a", "_c")
