@@ -13,7 +13,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .fixed import CODON_TO_AA, NN_PARAMS
-from .frame import barrier
 from .numeric import half_up
 
 BASES = "ACGT"
@@ -192,17 +191,14 @@ ASSESSMENT_COLUMNS = ["gc", "tm", "dg3", "clamp", "len", "self_run", "self_three
 
 
 def with_assessment(df, seq: str, prefix: str = ""):
-    """Add all oligo quality columns of column ``seq``, each computed once."""
-    s = F.col(seq)
+    """Add all oligo quality columns of column ``seq`` (one Arrow pass, see ``functions.oligo``)."""
+    from .oligo import oligo_quality
+
+    names = ["gc", "tm", "dg3", "clamp", "run4", "low", "self_run", "self_three", "hairpin", "penalty"]
     p = lambda name: F.col(prefix + name)
-    df = barrier(df, {
-        prefix + "len": F.length(s), prefix + "gc": gc_percent(s), prefix + "tm": melting_temperature(s),
-        prefix + "dg3": three_prime_dg(s), prefix + "clamp": clamp_count(s), prefix + "run4": has_homopolymer(s),
-        prefix + "low": low_complexity(s), prefix + "self_run": complement_run(s, s),
-        prefix + "self_three": three_prime_complement_run(s, s), prefix + "hairpin": hairpin_run(s),
-    })
-    df = barrier(df, {prefix + "penalty": F.when(p("len") == 0, F.lit(100.0)).otherwise(primer_penalty(
-        p("gc"), p("tm"), p("run4"), p("low"), p("dg3"), p("self_run"), p("self_three"), p("hairpin")))})
+    df = df.withColumn("_q", oligo_quality(F.col(seq)))
+    df = df.select(*[c for c in df.columns if c != "_q"], F.length(seq).alias(prefix + "len"),
+                   *[F.col("_q." + n).alias(prefix + n) for n in names])
     return df.withColumns({
         prefix + "status": primer_status(p("penalty")),
         prefix + "warnings": primer_warnings(p("run4"), p("low"), p("self_three"), p("self_run"), p("hairpin"),

@@ -4,22 +4,27 @@ Every target becomes one row with its own stretch of bases and search limits; ca
 filtered cheap-to-dear in generated code and folded back to two arrays per target (their size is limited by
 the search windows, not by the data). Pair search is exact but lazy: the best few candidates of each side
 give a score every kept pair must reach, and only pairs whose hetero-dimer-free score reaches it are
-evaluated in full. One shuffle by target, no self-join.
+evaluated in full (exact: the bound leaves out only penalties). All steps after the fold work by target.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed as fx
 from ..functions import seq as sq
-from ..functions.frame import barrier, let
+from ..functions.frame import barrier
 from ..functions.numeric import clamp, half_up
+from ..functions.oligo import oligo_quality, pair_runs
 
 TOP = 5
-SEEDS = 8
+SEEDS = 24
 FALLBACK_SCORE = -999.0
+# Covers the rounding of the pair penalty (1 decimal, divided by 8) and of the score (2 decimals).
+SLACK = 0.02
 OUTSIDE_REACH = 650
 OUTSIDE_FLANK = 120
 OUTSIDE_LIMIT = 90
@@ -32,13 +37,21 @@ def _limits(**columns) -> Column:
     return F.struct(*[(c if isinstance(c, Column) else F.lit(c)).cast("bigint").alias(n) for n, c in columns.items()])
 
 
-def _as_target(df: DataFrame, mode: str, limits: Column, low: Column, high: Column) -> DataFrame:
+@dataclass
+class Targets:
+    """Targets of one search mode: target_id, t (limits), bases from bases_start."""
+
+    mode: str
+    df: DataFrame
+
+
+def _as_target(df: DataFrame, mode: str, limits: Column, low: Column, high: Column) -> Targets:
     """target_id, t (limits), bases of [low, high)."""
-    df = df.withColumns({"t": limits, "_low": F.greatest(F.lit(0).cast("bigint"), low.cast("bigint")),
-                         "_high": F.least(F.col("_n"), high.cast("bigint"))})
-    return df.select("target_id", F.lit(mode).alias("mode"), "t", F.col("_low").alias("bases_start"),
-                     F.substring("_seq", F.col("_low").cast("int") + 1, F.greatest(
-                         F.lit(0), (F.col("_high") - F.col("_low")).cast("int"))).alias("bases"))
+    df = barrier(df.select("target_id", "_seq", limits.alias("t"), F.greatest(F.lit(0).cast("bigint"), low.cast("bigint")).alias("_l0"),
+                           F.least(F.col("_n"), high.cast("bigint")).alias("_h0")), {"_low": F.col("_l0"), "_high": F.col("_h0")})
+    return Targets(mode, df.select("target_id", "t", F.col("_low").alias("bases_start"),
+                                   F.substring("_seq", F.col("_low").cast("int") + 1, F.greatest(
+                                       F.lit(0), (F.col("_high") - F.col("_low")).cast("int"))).alias("bases")))
 
 
 def _prepare(df: DataFrame, seq: str) -> DataFrame:
@@ -51,7 +64,7 @@ def _centre_ideal(center, length, offset) -> Column:
 
 
 def centred_targets(df: DataFrame, center: str = "center", seq: str = "seq", offset: int = 0,
-                    min_amp: int = fx.AMP_MIN, max_amp: int = fx.AMP_MAX, wanted: int = fx.AMP_WANTED) -> DataFrame:
+                    min_amp: int = fx.AMP_MIN, max_amp: int = fx.AMP_MAX, wanted: int = fx.AMP_WANTED) -> Targets:
     """Pairs around one position; ``offset`` > 0 asks for that distance from primer start to position."""
     df = _prepare(df, seq)
     n, c, off = F.col("_n"), F.col(center), F.lit(offset)
@@ -69,7 +82,7 @@ def centred_targets(df: DataFrame, center: str = "center", seq: str = "seq", off
 
 
 def flanking_targets(df: DataFrame, start: str = "anchor_start", end: str = "anchor_end", seq: str = "seq",
-                     min_amp: int = fx.AMP_MIN, max_amp: int = fx.AMP_MAX, wanted: int = fx.AMP_WANTED) -> DataFrame:
+                     min_amp: int = fx.AMP_MIN, max_amp: int = fx.AMP_MAX, wanted: int = fx.AMP_WANTED) -> Targets:
     """Pairs on both sides of an interval."""
     df = _prepare(df, seq)
     n, a, b = F.col("_n"), F.col(start), F.col(end)
@@ -84,12 +97,14 @@ def flanking_targets(df: DataFrame, start: str = "anchor_start", end: str = "anc
     return _as_target(df, "flanking", limits, F.least(f_lo, fb_start), F.greatest(r_hi + _LMAX, fb_end))
 
 
-def outside_targets(df: DataFrame, start: str = "arm_start", end: str = "arm_end", seq: str = "seq") -> DataFrame:
+def outside_targets(df: DataFrame, start: str = "arm_start", end: str = "arm_end", seq: str = "seq") -> Targets:
     """Pairs outside both homology arms [start, end)."""
     df = _prepare(df, seq)
     n = F.col("_n")
-    left = clamp(F.col(start), 0, n)
-    right = F.greatest(left, F.least(n, F.col(end)))
+    df = barrier(df, {"_left": clamp(F.col(start), 0, n).cast("bigint")})
+    left = F.col("_left")
+    df = barrier(df, {"_right": F.greatest(left, F.least(n, F.col(end))).cast("bigint")})
+    right = F.col("_right")
     room = (left >= _LMIN) & (n - right >= _LMIN)
     span = right - left
     lo_amp = F.greatest(span + 2 * _LMIN, span + 48)
@@ -104,7 +119,7 @@ def outside_targets(df: DataFrame, start: str = "arm_start", end: str = "arm_end
 
 
 def screen_targets(df: DataFrame, left: str = "left_cut", right: str = "right_cut", seq: str = "seq",
-                   flank: int = fx.SCREEN_FLANK) -> DataFrame:
+                   flank: int = fx.SCREEN_FLANK) -> Targets:
     """Pairs that span a deletion between two cuts."""
     df = _prepare(df, seq)
     n, lc, rc = F.col("_n"), F.col(left), F.col(right)
@@ -120,8 +135,10 @@ def screen_targets(df: DataFrame, left: str = "left_cut", right: str = "right_cu
     return _as_target(df, "screen", limits, F.least(f_lo, want_f), F.greatest(r_hi + _LMAX, fb_end))
 
 
-def primer_candidates(targets: DataFrame) -> DataFrame:
-    """All single primers that pass the quality limits: target_id, mode, t, bases, side, c (candidate)."""
+def primer_candidates(targets: Targets) -> DataFrame:
+    """All single primers that pass the quality limits: target_id, t, bases, side, c (candidate)."""
+    outside = targets.mode == "outside"
+
     # Each side gets its own stretch of bases, so a substring never has to walk over the whole amplicon.
     def side_of(name, lo, hi):
         first = F.greatest(F.lit(0).cast("bigint"), F.col("bases_start"), lo)
@@ -130,169 +147,181 @@ def primer_candidates(targets: DataFrame) -> DataFrame:
                         piece.alias("piece"))
 
     sides = F.array(side_of("f", F.col("t.f_lo"), F.col("t.f_hi")), side_of("r", F.col("t.r_lo"), F.col("t.r_hi")))
-    kept = F.when(F.col("mode") != "screen", F.col("bases"))
-    df = targets.select("target_id", "mode", "t", kept.alias("amplicon_bases"), "bases_start", F.inline(sides))
+    kept = F.lit(None).cast("string") if targets.mode == "screen" else F.col("bases")
+    df = targets.df.select("target_id", "t", kept.alias("amplicon_bases"), "bases_start", F.inline(sides))
     df = df.where("hi >= lo")
     df = df.select("*", F.explode(F.sequence("lo", "hi")).alias("start"))
     df = df.select("*", F.explode(F.sequence(F.lit(_LMIN), F.lit(_LMAX))).alias("len"))
     end = F.col("start") + F.col("len")
     fits = (F.col("start") >= 0) & (end <= F.col("t.n"))
-    fits = fits & ((F.col("mode") != "outside") | (F.col("side") == "r") | (end <= F.col("t.a")))
+    if outside:
+        fits = fits & ((F.col("side") == "r") | (end <= F.col("t.a")))
     df = df.where(fits)
     cut = F.substring("piece", (F.col("start") - F.col("piece_start")).cast("int") + 1, F.col("len"))
-    df = barrier(df.drop("lo", "hi"), {"p": F.when(F.col("side") == "r", F.translate(F.reverse(cut), "ACGT", "TGCA"))
-                                       .otherwise(cut)})
+    cut = F.when(F.col("side") == "r", F.translate(F.reverse(cut), "ACGT", "TGCA")).otherwise(cut)
+    df = barrier(df, {"p": cut})
+    df = df.drop("lo", "hi", "piece", "piece_start")
     p = F.col("p")
-    df = df.where((F.length("p") == F.col("len")) & ~F.contains(p, F.lit("N")))
-    df = barrier(df, {"gc": sq.gc_percent(p)})
-    df = df.where((F.col("gc") >= fx.PRIMER_GC_MIN) & (F.col("gc") <= fx.PRIMER_GC_MAX) & ~sq.has_homopolymer(p))
-    df = barrier(df, {"tm": sq.melting_temperature(p)})
-    df = df.where((F.col("tm") >= fx.PRIMER_TM_MIN) & (F.col("tm") <= fx.PRIMER_TM_MAX))
-    df = barrier(df, {"three": sq.three_prime_complement_run(p, p)}).where("three < 4")
-    df = barrier(df, {"hairpin": sq.hairpin_run(p)}).where("hairpin < 6")
-    df = barrier(df, {"pen": sq.primer_penalty(
-        F.col("gc"), F.col("tm"), F.lit(False), sq.low_complexity(p), sq.three_prime_dg(p), sq.complement_run(p, p),
-        F.col("three"), F.col("hairpin"))}).where("pen <= 22")
-    clamp3 = sq.clamp_count(p)
-    base = -F.abs(F.col("tm") - 60) - F.abs(F.col("gc") - 50) / 10 + clamp3 * 2 - F.col("pen") / 8
+    gc = sq.gc_percent(p)
+    # Cheap tests first, in generated code; the rest in one Arrow pass.
+    df = df.where((F.length("p") == F.col("len")) & ~F.contains(p, F.lit("N")) & ~sq.has_homopolymer(p)
+                  & (gc >= fx.PRIMER_GC_MIN) & (gc <= fx.PRIMER_GC_MAX))
+    df = df.withColumn("q", oligo_quality(p))
+    q = F.col("q")
+    df = df.where((q["tm"] >= fx.PRIMER_TM_MIN) & (q["tm"] <= fx.PRIMER_TM_MAX) & (q["self_three"] < 4)
+                  & (q["hairpin"] < 6) & (q["penalty"] <= 22))
+    base = -F.abs(q["tm"] - 60) - F.abs(q["gc"] - 50) / 10 + q["clamp"] * 2 - q["penalty"] / 8
     end = F.col("start") + F.col("len")
-    flank = F.when(F.col("side") == "f", F.col("t.a") - F.col("start")).otherwise(end - F.col("t.b"))
-    outside_rank = (F.abs(flank - OUTSIDE_FLANK) + F.abs(F.col("tm") - 60) * 8 + F.abs(F.col("gc") - 50) * 2
-                    - clamp3 * 4)
-    return df.select("target_id", "mode", "t", F.col("amplicon_bases").alias("bases"), "bases_start", "side", F.struct(
-        F.when(F.col("mode") == "outside", outside_rank).otherwise(0.0).alias("placing"), "start", "len",
-        end.alias("end"), (-base).alias("cost"), "p", "gc", "tm", clamp3.alias("clamp"), "pen").alias("c"))
+    placing = F.lit(0.0)
+    if outside:
+        flank = F.when(F.col("side") == "f", F.col("t.a") - F.col("start")).otherwise(end - F.col("t.b"))
+        placing = (F.abs(flank - OUTSIDE_FLANK) + F.abs(q["tm"] - 60) * 8 + F.abs(q["gc"] - 50) * 2 - q["clamp"] * 4)
+    return df.select("target_id", "t", F.col("amplicon_bases").alias("bases"), "bases_start", "side", F.struct(
+        placing.alias("placing"), "start", "len", end.alias("end"), (-base).alias("cost"), "p", q["gc"].alias("gc"),
+        q["tm"].alias("tm"), q["clamp"].alias("clamp"), q["penalty"].alias("pen")).alias("c"))
 
 
-def _pair_terms(mode: Column, t: Column, f: Column, r: Column) -> dict[str, Column]:
-    """Placement rule, amplicon length and placement penalty of a pair, by search mode."""
+def _pair_terms(mode: str, t: Column, f: Column, r: Column) -> dict[str, Column]:
+    """Placement rule, amplicon length and placement penalty of a pair in one search mode."""
     reach = r["end"] - f["start"]
-    same_end = F.right(f["p"], F.lit(4)) == F.translate(F.reverse(F.right(r["p"], F.lit(4))), "ACGT", "TGCA")
-    in_amp = (reach >= t["amp_lo"]) & (reach <= t["amp_hi"])
-    ideal = F.when(t["offset"] > 0, t["center"] - t["offset"]).otherwise(
-        half_up(t["center"].cast("double") - reach / F.lit(2.0)))
-    top = F.greatest(F.lit(0).cast("bigint"), t["n"] - reach)
     zero = F.lit(0).cast("bigint")
-    start_lo = F.greatest(zero, F.least(top, ideal - CENTRE_SHIFT))
-    start_hi = F.greatest(zero, F.least(top, ideal + CENTRE_SHIFT))
-    centred_ok = in_amp & (f["start"] >= start_lo) & (f["start"] <= start_hi) & (r["start"] > f["end"]) & ~same_end
-    room = F.greatest(zero, t["n"] - r["len"])
-    screen_lo = F.greatest(f["end"] + 50, F.least(room, t["center"] - SCREEN_SHIFT))
-    screen_hi = F.greatest(f["end"] + 50, F.least(room, t["center"] + SCREEN_SHIFT))
-    ok = (F.when(mode == "centred", centred_ok)
-          .when(mode == "screen", (r["start"] >= screen_lo) & (r["start"] <= screen_hi))
-          .otherwise(in_amp & ~same_end))
-    deletion = F.greatest(F.lit(2 * _LMIN).cast("bigint"), (t["a"] - f["start"]) + (r["end"] - t["b"]))
     left, right = t["a"] - f["start"], r["end"] - t["b"]
-    extra = (F.when((mode == "centred") & (t["offset"] > 0),
-                    F.abs((t["center"] - f["start"]) - t["offset"]) / F.lit(5.0))
-             .when(mode == "centred", F.abs(t["center"] - (f["start"] + reach / F.lit(2.0))) / F.lit(5.0))
-             .when(mode == "outside", (F.abs(left - OUTSIDE_FLANK) + F.abs(right - OUTSIDE_FLANK)) / F.lit(25.0))
-             .when(mode == "screen", (F.abs(left - t["offset"]) + F.abs(right - t["offset"])) / F.lit(20.0))
-             .otherwise(0.0))
-    return {"ok": ok & (F.abs(f["tm"] - r["tm"]) <= fx.PRIMER_TM_DELTA),
-            "amp": F.when(mode == "screen", deletion).otherwise(reach), "reach": reach, "extra": extra}
+    amp, extra = reach, F.lit(0.0)
+    if mode == "screen":
+        room = F.greatest(zero, t["n"] - r["len"])
+        nearest = f["end"] + 50
+        ok = ((r["start"] >= F.greatest(nearest, F.least(room, t["center"] - SCREEN_SHIFT)))
+              & (r["start"] <= F.greatest(nearest, F.least(room, t["center"] + SCREEN_SHIFT))))
+        amp = F.greatest(F.lit(2 * _LMIN).cast("bigint"), left + right)
+        extra = (F.abs(left - t["offset"]) + F.abs(right - t["offset"])) / F.lit(20.0)
+    else:
+        same_end = F.right(f["p"], F.lit(4)) == F.translate(F.reverse(F.right(r["p"], F.lit(4))), "ACGT", "TGCA")
+        ok = (reach >= t["amp_lo"]) & (reach <= t["amp_hi"]) & ~same_end
+        if mode == "centred":
+            ideal = F.when(t["offset"] > 0, t["center"] - t["offset"]).otherwise(
+                half_up(t["center"].cast("double") - reach / F.lit(2.0)))
+            top = F.greatest(zero, t["n"] - reach)
+            ok = (ok & (f["start"] >= F.greatest(zero, F.least(top, ideal - CENTRE_SHIFT)))
+                  & (f["start"] <= F.greatest(zero, F.least(top, ideal + CENTRE_SHIFT))) & (r["start"] > f["end"]))
+            extra = F.when(t["offset"] > 0, F.abs((t["center"] - f["start"]) - t["offset"]) / F.lit(5.0)).otherwise(
+                F.abs(t["center"] - (f["start"] + reach / F.lit(2.0))) / F.lit(5.0))
+        elif mode == "outside":
+            extra = (F.abs(left - OUTSIDE_FLANK) + F.abs(right - OUTSIDE_FLANK)) / F.lit(25.0)
+    return {"ok": ok & (F.abs(f["tm"] - r["tm"]) <= fx.PRIMER_TM_DELTA), "amp": amp, "reach": reach, "extra": extra}
 
 
 def _score(f, r, amp, wanted, penalty, extra):
     return sq.pair_score(f["tm"], r["tm"], f["gc"], r["gc"], f["clamp"], r["clamp"], amp, wanted, penalty, extra)
 
 
-def ranked_pairs(targets: DataFrame, top: int = TOP) -> DataFrame:
+def _evaluated(pairs: DataFrame, mode: str) -> DataFrame:
+    """Pairs (target_id, t, f, r, ...) that keep the placement rule, with terms and the best possible score."""
+    f, r, t = F.col("f"), F.col("r"), F.col("t")
+    x = _pair_terms(mode, t, f, r)
+    pairs = pairs.where(x["ok"])
+    light = sq.pair_penalty(f["pen"], r["pen"], F.lit(0), F.lit(0), f["tm"], r["tm"])
+    return pairs.select("*", F.inline(F.array(F.struct(
+        x["amp"].alias("amp"), x["reach"].alias("reach"), x["extra"].alias("extra"),
+        _score(f, r, x["amp"], t["wanted"], light, x["extra"]).alias("bound")))))
+
+
+def _scored(pairs: DataFrame) -> DataFrame:
+    """Full evaluation: hetero-dimers, pair penalty, validity limits, score."""
+    f, r = F.col("f"), F.col("r")
+    pairs = pairs.withColumn("runs", pair_runs(f["p"], r["p"])).where("runs.hetero_three < 4")
+    penalty = sq.pair_penalty(f["pen"], r["pen"], F.col("runs.hetero"), F.col("runs.hetero_three"), f["tm"], r["tm"])
+    pairs = pairs.withColumn("pair_pen", penalty).where("pair_pen <= 30")
+    return pairs.withColumn("score", _score(f, r, F.col("amp"), F.col("t.wanted"), F.col("pair_pen"), F.col("extra")))
+
+
+def ranked_pairs(targets: Targets, top: int = TOP) -> DataFrame:
     """The best pairs of each target (no row for a target without any), rank 1..top."""
+    mode = targets.mode
     cands = primer_candidates(targets)
     side = lambda s: F.collect_list(F.when(F.col("side") == s, F.col("c")))
+    # One packed column per role, so that both uses of the folded rows read the same shuffle.
     per = cands.groupBy("target_id").agg(
-        F.first("mode").alias("mode"), F.first("t").alias("t"), F.first("bases").alias("bases"),
-        F.first("bases_start").alias("bases_start"), side("f").alias("f_all"), side("r").alias("r_all"))
+        F.first(F.struct("t", "bases", "bases_start")).alias("g"), side("f").alias("f_all"), side("r").alias("r_all"))
     # array_sort orders by placing (outside mode only), then start and length: the search order.
-    limit = lambda a: F.when(F.col("mode") == "outside", F.slice(a, 1, OUTSIDE_LIMIT)).otherwise(a)
-    per = per.withColumns({"f_all": limit(F.array_sort("f_all")), "r_all": limit(F.array_sort("r_all"))})
-    per = per.where((F.size("f_all") > 0) & (F.size("r_all") > 0))
-    best = lambda a: F.slice(F.array_sort(F.transform(a, lambda c: F.struct(c["cost"].alias("cost"), c.alias("c")))), 1, SEEDS)
-    per = barrier(per, {"f_top": best(F.col("f_all")), "r_top": best(F.col("r_all"))})
-    mode, t = F.col("mode"), F.col("t")
-
-    def exact(f, r):
-        x = _pair_terms(mode, t, f, r)
-        hetero, three = sq.complement_run(f["p"], r["p"]), sq.three_prime_complement_run(f["p"], r["p"])
-        penalty = sq.pair_penalty(f["pen"], r["pen"], hetero, three, f["tm"], r["tm"])
-        return F.when(x["ok"] & (three < 4) & (penalty <= 30), _score(f, r, x["amp"], t["wanted"], penalty, x["extra"]))
-
-    seeds = F.flatten(F.transform("f_top", lambda f: F.transform("r_top", lambda r: exact(f["c"], r["c"]))))
-    good = F.sort_array(F.array_compact(seeds), asc=False)
-    floor = F.when(F.size(good) >= top, F.get(good, F.lit(top - 1))).otherwise(F.lit(-1e9))
-    per = barrier(per, {"floor": floor})
-    # 0.02 covers the rounding of the penalty (1 decimal, divided by 8) and of the score (2 decimals).
-    number = lambda a: F.transform(a, lambda c, i: F.struct(i.alias("i"), c.alias("c")))
-    reaches = lambda x, other: -(x["c"]["cost"] + F.get(F.col(other), F.lit(0))["cost"]) + F.lit(0.02) >= F.col("floor")
-    per = per.select("target_id", "mode", "t", "bases", "bases_start", "floor",
-                     F.filter(number(F.col("f_all")), lambda x: reaches(x, "r_top")).alias("f_all"),
-                     F.filter(number(F.col("r_all")), lambda x: reaches(x, "f_top")).alias("r_all"))
-    pairs = per.select("*", F.explode("f_all").alias("fx")).drop("f_all")
-    pairs = pairs.select("*", F.explode("r_all").alias("rx")).drop("r_all")
-    f, r = F.col("fx.c"), F.col("rx.c")
-    x = _pair_terms(mode, t, f, r)
-    light = sq.pair_penalty(f["pen"], r["pen"], F.lit(0), F.lit(0), f["tm"], r["tm"])
-    pairs = pairs.where(x["ok"] & (light <= 30))
-    pairs = pairs.where(_score(f, r, x["amp"], t["wanted"], light, x["extra"]) >= F.col("floor"))
-    pairs = barrier(pairs, {"three": sq.three_prime_complement_run(f["p"], r["p"])}).where("three < 4")
-    pairs = barrier(pairs, {"hetero": sq.complement_run(f["p"], r["p"])})
-    pairs = barrier(pairs, {"penalty": sq.pair_penalty(f["pen"], r["pen"], F.col("hetero"), F.col("three"), f["tm"], r["tm"])})
-    pairs = pairs.where("penalty <= 30")
-    amplicon = F.substring("bases", (f["start"] - F.col("bases_start")).cast("int") + 1, x["reach"].cast("int"))
-    pairs = pairs.select(
-        "target_id", "mode", f["p"].alias("fw_seq"), f["start"].alias("fw_start"), f["end"].alias("fw_end"),
-        r["p"].alias("rev_seq"), r["start"].alias("rev_start"), r["end"].alias("rev_end"), x["amp"].alias("amp"),
-        x["reach"].alias("reach"), F.when(mode != "screen", sq.gc_percent(amplicon)).alias("amp_gc"),
-        _score(f, r, x["amp"], t["wanted"], F.col("penalty"), x["extra"]).alias("score"),
-        # Search order of equal scores.
-        F.when(mode == "centred", x["reach"]).when(mode == "outside", F.col("fx.i")).otherwise(0).alias("_o1"),
-        F.when(mode == "outside", F.col("rx.i")).otherwise(f["start"]).alias("_o2"), f["len"].alias("_o3"),
-        F.when(mode == "centred", F.lit(0)).otherwise(r["start"]).alias("_o4"), r["len"].alias("_o5"))
-    w = Window.partitionBy("target_id").orderBy(F.col("score").desc(), "_o1", "_o2", "_o3", "_o4", "_o5")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).drop("_o1", "_o2", "_o3", "_o4", "_o5")
-
-
-def with_fallback(targets: DataFrame, pairs: DataFrame) -> DataFrame:
+    limit = lambda a: F.slice(a, 1, OUTSIDE_LIMIT) if mode == "outside" else a
+    number = lambda a: F.transform(a, lambda c, i: F.struct(c["cost"].alias("cost"), i.alias("i"), c.alias("c")))
+    per = per.where((F.size("f_all") > 0) & (F.size("r_all") > 0)).select(
+        "target_id", F.inline(F.array(F.struct(
+            F.col("g"), F.array_sort(number(limit(F.array_sort("f_all")))).alias("f_all"),
+            F.array_sort(number(limit(F.array_sort("r_all")))).alias("r_all")))))
+
+    def crossed(df, f_list, r_list, reach_floor):
+        """Pairs of two candidate lists; partners out of reach are dropped before the pair rows are made."""
+        out = df.withColumn("_f", F.explode(f_list)).drop("f_all")
+        t, f = F.col("g.t"), F.col("_f.c")
+        near = lambda x: F.lit(True)
+        if mode != "screen":
+            near = lambda x: (x["c"]["end"] >= f["start"] + t["amp_lo"]) & (x["c"]["end"] <= f["start"] + t["amp_hi"])
+        good = lambda x: (x["cost"] <= F.lit(SLACK) - F.col("floor") - F.col("_f.cost")) & near(x) if reach_floor else near(x)
+        out = out.withColumn("_r", F.explode(F.filter(r_list, good))).drop("r_all")
+        keep = [c for c in out.columns if c not in ("_f", "_r", "g")]
+        return out.select(*keep, t.alias("t"), F.col("g.bases").alias("bases"), F.col("g.bases_start").alias("bases_start"),
+                          F.col("_f.c").alias("f"), F.col("_r.c").alias("r"), F.col("_f.i").alias("fi"), F.col("_r.i").alias("ri"))
+
+    # Seeds: the best few candidates of each side, fully evaluated. Their top-th score is a floor that every
+    # pair of the final answer reaches.
+    seeds = crossed(per, F.slice("f_all", 1, SEEDS), F.slice("r_all", 1, SEEDS), False)
+    seeds = _scored(_evaluated(seeds, mode)).groupBy("target_id").agg(F.collect_list("score").alias("s"))
+    floor = seeds.select("target_id", F.coalesce(F.get(F.sort_array("s", asc=False), F.lit(top - 1)), F.lit(-1e9)).alias("floor"))
+    per = per.join(floor, "target_id", "left").withColumn("floor", F.coalesce("floor", F.lit(-1e9)))
+    best_r = F.get("r_all", F.lit(0))["cost"]
+    hopeful = F.filter("f_all", lambda x: x["cost"] <= F.lit(SLACK) - F.col("floor") - best_r)
+    pairs = crossed(per, hopeful, F.col("r_all"), True)
+    pairs = _scored(_evaluated(pairs, mode).where("bound >= floor"))
+    f, r = F.col("f"), F.col("r")
+    amplicon = F.substring("bases", (f["start"] - F.col("bases_start")).cast("int") + 1, F.col("reach").cast("int"))
+    amp_gc = F.lit(None).cast("double") if mode == "screen" else sq.gc_percent(amplicon)
+    # Search order of equal scores.
+    ties = {"centred": [F.col("reach"), f["start"], f["len"], r["len"]], "outside": [F.col("fi"), F.col("ri")]}.get(
+        mode, [f["start"], f["len"], r["start"], r["len"]])
+    w = Window.partitionBy("target_id").orderBy(F.col("score").desc(), *ties)
+    best_rows = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    return best_rows.select(
+        "target_id", "rank", f["p"].alias("fw_seq"), f["start"].alias("fw_start"), f["end"].alias("fw_end"),
+        r["p"].alias("rev_seq"), r["start"].alias("rev_start"), r["end"].alias("rev_end"), "amp", "reach",
+        amp_gc.alias("amp_gc"), "score")
+
+
+def with_fallback(targets: Targets, pairs: DataFrame) -> DataFrame:
     """Every target's pairs; a target without any gets one pair from the ends of the wanted amplicon
     (score -999, is_fallback)."""
     t, start = F.col("t"), F.col("bases_start")
     piece = lambda lo, hi: F.substring("bases", (lo - start).cast("int") + 1, (hi - lo).cast("int"))
-    outside = F.col("mode") == "outside"
-    f_end = F.when(outside, t["a"]).otherwise(F.least(t["n"], t["fb_start"] + 24))
-    r_start = F.when(outside, t["b"]).otherwise(F.greatest(F.lit(0).cast("bigint"), t["fb_end"] - 24))
-    screen = F.col("mode") == "screen"
+    outside, screen = targets.mode == "outside", targets.mode == "screen"
+    f_end = t["a"] if outside else F.least(t["n"], t["fb_start"] + 24)
+    r_start = t["b"] if outside else F.greatest(F.lit(0).cast("bigint"), t["fb_end"] - 24)
     reach = t["fb_end"] - t["fb_start"]
     deletion = F.greatest(F.lit(48).cast("bigint"), (t["a"] - t["fb_start"]) + (t["fb_end"] - t["b"]))
-    fb = targets.select(
-        "target_id", F.col("mode").alias("_mode"), piece(t["fb_start"], f_end).alias("_fs"), t["fb_start"].alias("_f0"),
-        f_end.alias("_f1"), sq.revcomp_clean(piece(r_start, t["fb_end"])).alias("_rs"), r_start.alias("_r0"),
-        t["fb_end"].alias("_r1"), F.when(screen, deletion).otherwise(reach).alias("_amp"), reach.alias("_reach"),
-        F.when(outside, sq.gc_percent(piece(t["fb_start"], t["fb_end"]))).alias("_gc"))
-    df = fb.join(pairs.drop("mode"), "target_id", "left")
+    fb = targets.df.select(
+        "target_id", piece(t["fb_start"], f_end).alias("_fs"), t["fb_start"].alias("_f0"), f_end.alias("_f1"),
+        sq.revcomp_clean(piece(r_start, t["fb_end"])).alias("_rs"), r_start.alias("_r0"), t["fb_end"].alias("_r1"),
+        (deletion if screen else reach).alias("_amp"), reach.alias("_reach"),
+        (sq.gc_percent(piece(t["fb_start"], t["fb_end"])) if outside else F.lit(None).cast("double")).alias("_gc"))
+    df = fb.join(pairs, "target_id", "left")
     none = F.col("rank").isNull()
     use = lambda new, old: F.when(none, F.col(old)).otherwise(F.col(new)).alias(new)
+    no_length = F.lit(None).cast("bigint")
     return df.select(
-        "target_id", F.col("_mode").alias("mode"), F.coalesce("rank", F.lit(1)).alias("rank"),
-        use("fw_seq", "_fs"), use("fw_start", "_f0"), use("fw_end", "_f1"), use("rev_seq", "_rs"),
-        use("rev_start", "_r0"), use("rev_end", "_r1"), use("amp", "_amp"),
-        F.when(screen_mode(), F.when(none, F.col("_reach")).otherwise(F.col("reach"))).alias("wt_amp"),
-        F.when(screen_mode(), F.when(none, F.col("_amp")).otherwise(F.col("amp"))).alias("del_amp"),
+        "target_id", F.lit(targets.mode).alias("mode"), F.coalesce("rank", F.lit(1)).alias("rank"), use("fw_seq", "_fs"),
+        use("fw_start", "_f0"), use("fw_end", "_f1"), use("rev_seq", "_rs"), use("rev_start", "_r0"), use("rev_end", "_r1"),
+        use("amp", "_amp"), (F.when(none, F.col("_reach")).otherwise(F.col("reach")) if screen else no_length).alias("wt_amp"),
+        (F.when(none, F.col("_amp")).otherwise(F.col("amp")) if screen else no_length).alias("del_amp"),
         use("amp_gc", "_gc"), F.when(none, F.lit(FALLBACK_SCORE)).otherwise(F.col("score")).alias("score"),
         none.alias("is_fallback"))
 
 
-def screen_mode() -> Column:
-    return F.col("_mode") == "screen"
-
-
 def with_quality(pairs: DataFrame) -> DataFrame:
     """Add the quality of both primers (fw_*, rev_*) and of the pair."""
     df = sq.with_assessment(pairs, "fw_seq", "fw_")
     df = sq.with_assessment(df, "rev_seq", "rev_")
-    df = df.withColumns({"hetero": sq.complement_run(F.col("fw_seq"), F.col("rev_seq")),
-                         "hetero_three": sq.three_prime_complement_run(F.col("fw_seq"), F.col("rev_seq"))})
+    df = df.withColumn("_runs", pair_runs(F.col("fw_seq"), F.col("rev_seq")))
+    df = df.select(*[c for c in df.columns if c != "_runs"], F.col("_runs.hetero").alias("hetero"),
+                   F.col("_runs.hetero_three").alias("hetero_three"))
     df = df.withColumns({
         "pair_penalty": sq.pair_penalty(F.col("fw_penalty"), F.col("rev_penalty"), F.col("hetero"),
                                         F.col("hetero_three"), F.col("fw_tm"), F.col("rev_tm")),
@@ -304,7 +333,7 @@ def with_quality(pairs: DataFrame) -> DataFrame:
         "pair_warnings": F.when(high_gc, F.concat(warn, F.array(F.lit("high-GC amplicon (>65%)")))).otherwise(warn)})
 
 
-def design_pairs(targets: DataFrame, top: int = TOP) -> DataFrame:
+def design_pairs(targets: Targets, top: int = TOP) -> DataFrame:
     """Search plus fallback: the pairs every design job uses."""
     return with_fallback(targets, ranked_pairs(targets, top))
 
