@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import functions as F
 
 from ..functions import fixed as fx
@@ -16,6 +14,7 @@ from ..plans import designs as ds
 from ..plans import orders as od
 from ..plans import review as rv
 from ..sources import dims
+from ..session import staging_folder
 from .fixtures import models, table, view, with_views
 from .q_genome import BLOCK, CODING, PAIRS, SITES, TARGETS, _AA, _CTX, _INSERTS, _PLACE, block_sql, g_sql
 from .registry import query
@@ -59,7 +58,7 @@ def des_1(spark, sf):
     return d.select("request_id", "exon", "spacing", F.get("guides", F.lit(0))["name"].alias("name1"), note(0).alias("note1"), note(1).alias("note2"))
 
 
-_PM = f""", mc AS MATERIALIZED (SELECT * FROM (SELECT k.seq_id, k.codon, k.aa, c.c AS mut, row_number() OVER (PARTITION BY seq_id ORDER BY hamming(k.codon, c.c), c.c) AS r FROM codon k, (VALUES ('AGA'),('AGG'),('CGA'),('CGC'),('CGG'),('CGT')) c(c) WHERE residue = 50 AND seq_id % 5 = 1 AND seq_id % 35 <> 1) WHERE r = 1),
+_PM = f""", mc AS MATERIALIZED (SELECT * FROM (SELECT k.seq_id, k.codon, k.aa, c.c AS mut, row_number() OVER (PARTITION BY seq_id ORDER BY hamming(k.codon, c.c), c.c) AS r FROM codon k, (VALUES ('AGA'),('AGG'),('CGA'),('CGC'),('CGG'),('CGT')) c(c) WHERE residue = 50 AND seq_id % 5 = 1 AND seq_id % 35 <> 1 AND k.aa <> '*') WHERE r = 1),
 chg AS MATERIALIZED (SELECT c.seq_id, c.gp, substr(m.mut, frame + 1, 1) AS alt FROM cod c JOIN mc m USING (seq_id) WHERE cp BETWEEN 147 AND 149 AND c.base <> substr(m.mut, frame + 1, 1))
 """
 _PMB = block_sql("pmb", "false", "AND kind = 'pm' AND NOT EXISTS (SELECT 1 FROM chg x WHERE x.seq_id = b.seq_id AND x.gp = b.gp)")
@@ -118,9 +117,9 @@ _SPOT, _BTX = fx.INTERNAL_TAGS["SPOT"][0], fx.INTERNAL_TAGS["alphaBtx"][0]
 
 
 @query("des_5_internal_tag", g_sql(f""", ie AS (SELECT * FROM i1 UNION ALL SELECT * FROM i2), dw AS (SELECT p.seq_id, p.gno, p.strand, p.target, {_START} AS dst, f.seq, CASE WHEN p.seq_id % 2 = 0 THEN '{_SPOT}' ELSE '{_BTX}' END AS ins
- FROM pick p JOIN fx_sequences f USING (seq_id) WHERE kind = 'it' AND seq_id % 5 = 2), pos AS (SELECT *, unnest(range(0, 127)) AS i FROM dw),
-don AS (SELECT p.seq_id, p.gno, any_value(strand) AS strand, any_value(p.target - dst) AS at, any_value(ins) AS ins, string_agg(coalesce(b.nb, substr(p.seq, CAST(dst + i + 1 AS INT), 1)), '' ORDER BY i) AS s FROM pos p LEFT JOIN ie b ON b.seq_id = p.seq_id AND b.gno = p.gno AND b.gp = dst + i GROUP BY p.seq_id, p.gno),
-d2 AS (SELECT *, substr(s, 1, CAST(at AS INT)) || ins || substr(s, CAST(at + 1 AS INT)) AS sense FROM don)
+ FROM pick p JOIN fx_sequences f USING (seq_id) WHERE kind = 'it' AND seq_id % 5 = 2 AND NOT EXISTS (SELECT 1 FROM codon k WHERE k.seq_id = p.seq_id AND residue = 155 AND aa = '*')), pos AS (SELECT *, unnest(range(0, 127)) AS i FROM dw),
+don AS (SELECT p.seq_id, p.gno, any_value(strand) AS strand, any_value(p.target - dst) AS ofs, any_value(ins) AS ins, string_agg(coalesce(b.nb, substr(p.seq, CAST(dst + i + 1 AS INT), 1)), '' ORDER BY i) AS s FROM pos p LEFT JOIN ie b ON b.seq_id = p.seq_id AND b.gno = p.gno AND b.gp = dst + i GROUP BY p.seq_id, p.gno),
+d2 AS (SELECT *, substr(s, 1, CAST(ofs AS INT)) || ins || substr(s, CAST(ofs + 1 AS INT)) AS sense FROM don)
 SELECT seq_id AS request_id, CAST(gno AS INT) AS guide_no, CASE WHEN strand = '+' THEN translate(reverse(sense),'ACGT','TGCA') ELSE sense END AS donor FROM d2""", SITES + CODING + TARGETS + _IT))
 def des_5(spark, sf):
     d = one(spark, sf, "it")[1].where("err is null")
@@ -129,6 +128,8 @@ def des_5(spark, sf):
 
 _STATUS = f""", st AS (SELECT seq_id AS request_id, CASE seq_id % 5 WHEN 0 THEN 'ko' WHEN 1 THEN 'pm' WHEN 2 THEN 'it' WHEN 3 THEN 'ct' ELSE 'nt' END AS type,
  CASE WHEN seq_id % 35 = 1 THEN 'Expected J at position 32 but found ' || (SELECT aa || ' (' || codon || ').' FROM codon k WHERE k.seq_id = f.seq_id AND residue = 32)
+ WHEN seq_id % 5 = 1 AND EXISTS (SELECT 1 FROM codon k WHERE k.seq_id = f.seq_id AND residue = 50 AND aa = '*') THEN 'Cannot parse mutation. Use WT-position-mutant format such as G96S or p.G96S.'
+ WHEN seq_id % 5 = 2 AND EXISTS (SELECT 1 FROM codon k WHERE k.seq_id = f.seq_id AND residue = 155 AND aa = '*') THEN 'Use an internal insertion site such as P155 or 155.'
  WHEN seq_id % 5 = 0 THEN CASE WHEN seq_id IN (SELECT seq_id FROM bs) THEN NULL ELSE 'No gRNA pair found with cut-site spacing up to 140 bp across non-terminal coding exons, preferentially exons 2-4, including exon-intron boundaries.' END
  WHEN EXISTS (SELECT 1 FROM win w WHERE w.seq_id = f.seq_id AND w.kind = CASE f.seq_id % 5 WHEN 1 THEN 'pm' WHEN 2 THEN 'it' WHEN 3 THEN 'ct' ELSE 'nt' END) THEN NULL
  WHEN seq_id % 5 = 1 THEN 'No gRNAs found with cut sites within 30 bp of the mutation site.' WHEN seq_id % 5 = 2 THEN 'No gRNAs found with cut sites within 30 bp of the internal insertion site.'
@@ -180,8 +181,25 @@ def plain_pairs(targets):
     return pr.with_fallback(targets, empty)
 
 
+_WRITTEN: dict = {}
+
+
 def finished(spark, sf, kind):
+    """Designs of one class with quick primers, written once per session: orders, checks and maps are separate
+    jobs over the design table, as they are in use."""
+    key = (spark.sparkContext.applicationId, sf, kind)
+    if key not in _WRITTEN:
+        path = staging_folder(spark, "designs-" + kind)
+        _finish(spark, sf, kind).write.parquet(path)
+        _WRITTEN[key] = path
+    return models(spark, sf), spark.read.parquet(_WRITTEN[key])
+
+
+def _finish(spark, sf, kind):
     m, d = one(spark, sf, kind)
+    path = staging_folder(spark, "base-" + kind)
+    d.write.parquet(path)
+    d = spark.read.parquet(path)
     base = d.where("err is null").join(m.select("seq_id", "seq"), "seq_id").withColumn("target_id", F.col("request_id"))
     if kind in ("ct", "nt"):
         pairs = plain_pairs(pr.outside_targets(base))
@@ -192,7 +210,7 @@ def finished(spark, sf, kind):
     out = ds.with_best_pair(d, pairs, site, tag)
     if kind in ("ct", "nt"):
         out = out.withColumn("primer_warning", pr.outside_warning(F.col("arm_start"), F.col("arm_end"), F.col("seq_len"), F.col("fw_seq").isNotNull(), F.coalesce("is_fallback", F.lit(False))))
-    return m, out.withColumns({"slot": F.col("request_id"), "file_name": F.lit("ref.gb"), "reference_source": F.lit("genbank"), "notes": F.lit("")})
+    return out.withColumns({"slot": F.col("request_id"), "file_name": F.lit("ref.gb"), "reference_source": F.lit("genbank"), "notes": F.lit("")})
 
 
 def union_of(spark, sf, fn, kinds=("ko", "pm", "it", "ct", "nt")):

@@ -119,19 +119,20 @@ def _protected(g: Column, number: int, start: Column, edit: Column) -> Column:
 def mutation_designs(models: DataFrame, requests: DataFrame, custom: DataFrame | None = None) -> DataFrame:
     """Point mutations: requests(request_id, seq_id, mutation) -> one design row each (err when impossible)."""
     df = _on_models(requests, models)
-    df = barrier(df, {"m": tx.strict_mutation(F.col("mutation"))})
-    pos = F.col("m.pos")
+    m = tx.strict_mutation(F.col("mutation"))
+    df = barrier(df, {"m_wt": m["wt"], "m_pos": m["pos"], "m_mut": m["mut"], "m_err": m["err"]})
+    pos = F.col("m_pos")
     df = barrier(df, {"old_codon": codon_at(F.col("cds"), pos), "gp": coding_to_genomic(F.col("segs"), (pos.cast("bigint") - 1) * 3)})
     aa = codon_to_aa(F.col("old_codon"))
-    df = barrier(df, {"new_codon": mutant_codon(F.col("old_codon"), F.col("m.mut")), "old_aa": aa})
+    df = barrier(df, {"new_codon": mutant_codon(F.col("old_codon"), F.col("m_mut")), "old_aa": aa})
     s = lambda c: c.cast("string")
     df = df.withColumn("err", F.coalesce(
-        F.col("m.err"),
+        F.col("m_err"),
         F.when((F.trim("mutation") == "") | F.col("mutation").isNull(), "Enter a mutation such as L72S."),
         F.when(F.col("old_codon").isNull(), F.concat(F.lit("Cannot map amino acid "), s(pos), F.lit(" to the genomic sequence."))),
-        F.when(F.col("old_aa") != F.col("m.wt"), F.concat(F.lit("Expected "), F.col("m.wt"), F.lit(" at position "), s(pos), F.lit(" but found "),
+        F.when(F.col("old_aa") != F.col("m_wt"), F.concat(F.lit("Expected "), F.col("m_wt"), F.lit(" at position "), s(pos), F.lit(" but found "),
                                                          F.col("old_aa"), F.lit(" ("), F.col("old_codon"), F.lit(")."))),
-        F.when(F.col("new_codon").isNull(), F.concat(F.lit("No codon encodes "), F.col("m.mut"), F.lit(".")))))
+        F.when(F.col("new_codon").isNull(), F.concat(F.lit("No codon encodes "), F.col("m_mut"), F.lit(".")))))
     spots = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: coding_to_genomic(F.col("segs"), (pos.cast("bigint") - 1) * 3 + i))
     df = barrier(df, {"changes": codon_changes(F.col("old_codon"), F.col("new_codon"), spots)})
     df, ref = _cut_window(df, F.coalesce("gp", F.lit(0).cast("bigint")), 300)
@@ -145,8 +146,8 @@ def mutation_designs(models: DataFrame, requests: DataFrame, custom: DataFrame |
     note = lambda g: norm.edit_guide_note(g["d"], F.col("guide_tier"), F.col("guide_window"))
     ok = F.col("err").isNull()
     return df.select(
-        "request_id", "seq_id", F.lit("pm").alias("type"), "gene", F.col("m.wt").alias("wt_aa"), pos.alias("position"),
-        F.col("m.mut").alias("mut_aa"), "old_codon", "new_codon", "gp", "changes", "guide_window", "guide_tier",
+        "request_id", "seq_id", F.lit("pm").alias("type"), "gene", F.col("m_wt").alias("wt_aa"), pos.alias("position"),
+        F.col("m_mut").alias("mut_aa"), "old_codon", "new_codon", "gp", "changes", "guide_window", "guide_tier",
         _guide_rows("pm", F.col("mutation"), F.lit(""), note).alias("guides"),
         F.when(ok, _listed(_oligo_row(1, F.col("o1")), _oligo_row(2, F.col("o2")))).alias("oligos"),
         F.when(ok, _listed(_numbered(F.col("e1"), 1), _numbered(F.col("e2"), 2))).alias("edits"), "err",
@@ -164,19 +165,20 @@ def internal_designs(models: DataFrame, requests: DataFrame, custom: DataFrame |
     df = _on_models(requests, models)
     spark = models.sparkSession
     df = df.join(F.broadcast(internal_tag_table(spark).withColumnRenamed("insert_name", "tag")), "tag", "left")
-    df = barrier(df, {"m": tx.strict_site(F.col("mutation"))})
-    pos = F.col("m.pos")
+    m = tx.strict_site(F.col("mutation"))
+    df = barrier(df, {"m_wt": m["wt"], "m_pos": m["pos"], "m_err": m["err"]})
+    pos = F.col("m_pos")
     df = barrier(df, {"old_codon": codon_at(F.col("cds"), pos), "next_aa": F.coalesce(codon_to_aa(codon_at(F.col("cds"), pos + 1)), F.lit("?")),
                       "gp": coding_to_genomic(F.col("segs"), pos.cast("bigint") * 3)})
     df = df.withColumn("old_aa", codon_to_aa(F.col("old_codon")))
     s = lambda c: c.cast("string")
     df = df.withColumn("err", F.coalesce(
-        F.when((F.trim("mutation") == "") | F.col("mutation").isNull(), "Enter an internal insertion site such as P155."), F.col("m.err"),
+        F.when((F.trim("mutation") == "") | F.col("mutation").isNull(), "Enter an internal insertion site such as P155."), F.col("m_err"),
         F.when((pos < 1) | (pos >= F.col("protein_length")),
                "Internal insertion site must be within the coding sequence and before the final amino acid."),
         F.when(F.col("old_codon").isNull(), F.concat(F.lit("Cannot map amino acid "), s(pos), F.lit(" to the coding sequence."))),
-        F.when((F.col("m.wt") != "") & (F.col("old_aa") != F.col("m.wt")), F.concat(
-            F.lit("Expected "), F.col("m.wt"), F.lit(" at position "), s(pos), F.lit(" but found "), F.col("old_aa"), F.lit(" ("), F.col("old_codon"), F.lit(")."))),
+        F.when((F.col("m_wt") != "") & (F.col("old_aa") != F.col("m_wt")), F.concat(
+            F.lit("Expected "), F.col("m_wt"), F.lit(" at position "), s(pos), F.lit(" but found "), F.col("old_aa"), F.lit(" ("), F.col("old_codon"), F.lit(")."))),
         F.when(F.col("insert_seq").isNull(), F.concat(F.lit('Internal tag "'), F.col("tag"), F.lit('" is not available.'))),
         F.when(F.col("gp").isNull(), F.concat(F.lit("Cannot map insertion point after amino acid "), s(pos), F.lit(".")))))
     df, ref = _cut_window(df, F.coalesce("gp", F.lit(0).cast("bigint")), 300)
@@ -187,7 +189,7 @@ def internal_designs(models: DataFrame, requests: DataFrame, custom: DataFrame |
     df = barrier(df, {"e2": block(g2, _listed(F.col("e1.gp")))})
     oligo = lambda g, e: insert_oligo(ref, g, F.col("target"), F.col("insert_seq"), e)
     df = barrier(df, {"o1": oligo(g1, F.col("e1")), "o2": oligo(g2, F.col("e2"))})
-    site = F.concat(F.lit("AFTER_"), F.col("m.wt"), s(pos))
+    site = F.concat(F.lit("AFTER_"), F.col("m_wt"), s(pos))
     note = lambda g: norm.internal_guide_note(g["d"], F.col("guide_tier"), F.col("guide_window"))
     ok = F.col("err").isNull()
     shown = F.coalesce("o1", "o2")

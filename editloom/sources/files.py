@@ -186,7 +186,12 @@ MANIFEST_SCHEMA = ("gene_symbol string, ensembl_id string, mutation string, edit
 
 def manifests(spark: SparkSession, path: str) -> DataFrame:
     """Design manifests (one JSON document per file) -> request columns; an unknown edit type gives ``err``."""
-    raw = spark.read.schema(MANIFEST_SCHEMA).option("multiLine", True).json(path).select("*", F.col("_metadata.file_path").alias("manifest"))
+    raw = spark.read.schema(MANIFEST_SCHEMA).option("multiLine", True).json(path)
+    return manifest_requests(raw.select("*", F.col("_metadata.file_path").alias("manifest")))
+
+
+def manifest_requests(raw: DataFrame) -> DataFrame:
+    """Manifest records with their file path (``manifest``) -> request columns."""
     folder = F.regexp_replace("manifest", "/[^/]*$", "")
     ref = F.col("extra.reference_file")
     kind = norm.manifest_edit_class(F.col("edit_type"))
