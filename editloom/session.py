@@ -19,9 +19,16 @@ def local_session(cpus: int | str = 8, name: str = "editloom", partitions: int |
 
 
 def staging_folder(spark: SparkSession, name: str) -> str:
-    """A new path for a written table: in the cluster's shared folder when it names one."""
+    """A new path for a written table in the shared folder that ``spark.checkpoint.dir`` names.
+
+    Only a local session may do without that setting; elsewhere executors could not see each other's files."""
     shared = spark.conf.get("spark.checkpoint.dir", "") or ""
-    base = shared.rstrip("/") if shared else tempfile.mkdtemp(prefix="editloom-")
+    if shared:
+        base = shared.rstrip("/")
+    elif spark.sparkContext.master.startswith("local["):
+        base = tempfile.mkdtemp(prefix="editloom-")
+    else:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
