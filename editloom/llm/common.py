@@ -73,3 +73,9 @@ def connected(edges: DataFrame, name: str = "components", rounds: int = 50) -> D
         raise RuntimeError("components did not settle")
     roots = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Fewer rows per Arrow batch than by default, as one row here is a whole text."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from editloom.session import staging_folder
 
-from . import exact_dedup, secret_scan, url_filter
+from . import exact_dedup, packing, secret_scan, token_files, url_filter
 from .common import table
 
 QUERIES: dict[str, Callable] = {}
@@ -95,3 +95,15 @@ def op3(spark, sf_dir):
         F.col("doc_id").alias("page_id"), F.coalesce((F.col("quality") == 0) | (F.col("toxic") == 1), F.lit(False)).cast("int").alias("bad"))
     out = url_filter.judge(table(spark, sf_dir, "pages"), outcomes)
     return out.withColumns({"bad_rate": F.round("bad_rate", 9), "bound": F.round("bound", 9)})
+
+
+@query("op4_token_files")
+def op4(spark, sf_dir):
+    path = staging_folder(spark, "token-files")
+    token_files.write_tokens(table(spark, sf_dir, "documents"), path)
+    return token_files.digests(token_files.read_tokens(spark, path))
+
+
+@query("op8_packing")
+def op8(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
