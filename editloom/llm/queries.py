@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from editloom.session import staging_folder
 
-from . import exact_dedup, packing, secret_scan, token_files, url_filter
+from . import exact_dedup, packing, secret_scan, token_files, toxicity, url_filter
 from .common import table
 
 QUERIES: dict[str, Callable] = {}
@@ -107,3 +107,8 @@ def op4(spark, sf_dir):
 @query("op8_packing")
 def op8(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query("op5_toxicity")
+def op5(spark, sf_dir):
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
