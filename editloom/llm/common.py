@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from editloom.session import staging_folder
 
 #: Words for shingles and seeds: letters, digits and underscores, lower-cased.
 WORD = re.compile(r"\w+")
+#: Rows of ids (16 bytes each) that may be broadcast; longer lists are joined by shuffle.
+BROADCAST_IDS = 1_000_000
 #: Keys from here on belong to rows without doc_id, so these rank after all others.
 NO_ID = 1 << 62
 
@@ -79,3 +83,45 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Fewer rows per Arrow batch than by default, as one row here is a whole text."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def without(docs: DataFrame, drop: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose key is not in ``drop`` (key), a staged table of distinct keys; all columns are kept.
+
+    A list of at most BROADCAST_IDS keys is broadcast, so no text is moved; a longer one is joined by shuffle."""
+    mark = "__key"
+    small = drop.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    keys = drop.select(F.col("key").alias(mark))
+    return docs.withColumn(mark, key_of()).join(F.broadcast(keys) if small else keys, mark, "left_anti").select(*docs.columns)
+
+
+def hash_words(words: list[str], known: dict[str, int]) -> np.ndarray:
+    """64-bit hashes of words; ``known`` keeps those met before and is emptied when it grows large."""
+    if len(known) > 1_000_000:
+        known.clear()
+    try:
+        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    except KeyError:
+        for w in set(words).difference(known):
+            known[w] = xxhash.xxh3_64_intdigest(w)
+        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """Bijective mixing of unsigned 64-bit words."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
+def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of n words, in order; of fewer words, the one hash of all of them; of no words, none."""
+    if not len(hashes):
+        return hashes
+    n, out = min(n, len(hashes)), None
+    with np.errstate(over="ignore"):
+        for k in range(n):
+            part = hashes[k:len(hashes) - n + 1 + k]
+            out = mix(part + np.uint64(n)) if out is None else mix(out * np.uint64(0x9E3779B97F4A7C15) + part)
+    return out

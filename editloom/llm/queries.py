@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from editloom.session import staging_folder
 
-from . import exact_dedup, packing, secret_scan, token_files, toxicity, url_filter
+from . import decontaminate, exact_dedup, packing, secret_scan, token_files, toxicity, url_filter
 from .common import table
 
 QUERIES: dict[str, Callable] = {}
@@ -112,3 +112,8 @@ def op8(spark, sf_dir):
 @query("op5_toxicity")
 def op5(spark, sf_dir):
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op9_decontamination")
+def op9(spark, sf_dir):
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
