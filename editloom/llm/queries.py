@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from editloom.session import staging_folder
 
-from . import decontaminate, exact_dedup, packing, secret_scan, token_files, toxicity, url_filter
+from . import decontaminate, exact_dedup, near_join, packing, secret_scan, token_files, toxicity, url_filter
 from .common import table
 
 QUERIES: dict[str, Callable] = {}
@@ -117,3 +117,8 @@ def op5(spark, sf_dir):
 @query("op9_decontamination")
 def op9(spark, sf_dir):
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op10_near_join")
+def op10(spark, sf_dir):
+    return near_join.classes_of(table(spark, sf_dir, "documents"))
