@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from editloom.session import staging_folder
 
-from . import decontaminate, exact_dedup, near_join, packing, secret_scan, token_files, toxicity, url_filter
+from . import decontaminate, exact_dedup, hidden_markov, near_join, packing, secret_scan, token_files, toxicity, url_filter
 from .common import table
 
 QUERIES: dict[str, Callable] = {}
@@ -122,3 +122,8 @@ def op9(spark, sf_dir):
 @query("op10_near_join")
 def op10(spark, sf_dir):
     return near_join.classes_of(table(spark, sf_dir, "documents"))
+
+
+@query("op7_hidden_markov")
+def op7(spark, sf_dir):
+    return hidden_markov.score(table(spark, sf_dir, "documents"))
