@@ -127,7 +127,7 @@ def lookup(distinct: DataFrame, index: DataFrame, shards: int) -> DataFrame:
 def exact_dedup(new: DataFrame, old: DataFrame) -> DataFrame:
     """Dedup of ``new`` rows against ``old`` ones and each other; both as :func:`digest_rows` gives them.
 
-    Returns one row per row of both: doc_id, keep_id, group_size, kept, text_sha256. Texts are equal when they are the
+    Returns one row per row of both: doc_id, key, keep_id, group_size, kept, text_sha256. Texts are equal when they are the
     same without white space; null is the empty text, and empty texts are equal. The longest text stays, then the
     smallest doc_id. Rows that repeat a doc_id with equal texts count as one document: all of them are kept or dropped
     together. Rows without doc_id are told apart by text, rank after all others of equal length, and have a null keep_id
@@ -143,15 +143,19 @@ def exact_dedup(new: DataFrame, old: DataFrame) -> DataFrame:
     fresh = found.where("old_count = 0").select("digest", F.col("id").alias("keep"), F.col("count").alias("size"))
     gone = first.join(seen.select("digest"), "digest", "left_anti").select("digest", F.col("id").alias("keep"), F.col("count").alias("size"))
     groups = seen.unionByName(fresh).unionByName(gone)
-    rows = new.unionByName(old)
-    return rows.join(groups, "digest").select(
-        "doc_id", id_of(F.col("keep")).alias("keep_id"), F.col("size").alias("group_size"),
-        (F.col("key") == F.col("keep")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    return new.unionByName(old).join(groups, "digest").select(
+        "doc_id", "key", id_of(F.col("keep")).alias("keep_id"), F.col("size").alias("group_size"), (F.col("key") == F.col("keep")).alias("kept"),
+        F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-def dedup_documents(docs: DataFrame) -> DataFrame:
+def dedup_keys(docs: DataFrame) -> DataFrame:
     """Exact dedup of a whole table: its older half by id is indexed as history, the newer half is looked up in it."""
     rows = stage(digest_rows(docs), "digests")
     low, high = rows.where(F.col("key") < NO_ID).agg(F.min("key"), F.max("key")).first()
     middle = ((low or 0) + (high or 0)) // 2
     return exact_dedup(rows.where(F.col("key") > middle), rows.where(F.col("key") <= middle))
+
+
+def dedup_documents(docs: DataFrame) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 of every row of ``docs``; see :func:`exact_dedup`."""
+    return dedup_keys(docs).drop("key")

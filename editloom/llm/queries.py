@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from editloom.session import staging_folder
 
-from . import decontaminate, exact_dedup, hidden_markov, near_join, packing, secret_scan, token_files, toxicity, url_filter
+from . import decontaminate, exact_dedup, hidden_markov, near_join, packing, secret_scan, token_files, toxicity, url_filter, warc
 from .common import table
 
 QUERIES: dict[str, Callable] = {}
@@ -127,3 +127,30 @@ def op10(spark, sf_dir):
 @query("op7_hidden_markov")
 def op7(spark, sf_dir):
     return hidden_markov.score(table(spark, sf_dir, "documents"))
+
+
+def _warc_sql() -> str:
+    def lit(x):
+        return "'" + x.replace("'", "''") + "'" if "\n" not in x else "chr(10)"
+    text = "payload"
+    for pattern, put in warc.TEXT_STEPS:
+        text = f"regexp_replace({text}, '{pattern.replace(chr(39), chr(39) * 2)}', {lit(put)}, 'g')"
+    def uuid(x):
+        cuts = " || '-' || ".join(f"substr(sha256({x}), {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
+        return f"'<urn:uuid:' || {cuts} || '>'"
+    title = f"trim(regexp_replace(regexp_extract(payload, '{warc.TITLE}', 1), '\\s+', ' ', 'g'))"
+    language = f"translate(regexp_extract(payload, '{warc.LANGUAGE}', 1), chr(13) || chr(10), '  ')"
+    end = "chr(13) || chr(10)"
+    fields = f"'title: ' || title || {end} || 'language: ' || language || {end} || 'text-digest: sha256:' || sha256(text) || {end}"
+    rid = uuid("'response|' || coalesce(CAST(page_id AS VARCHAR), '') || '|' || uri || '|sha256:' || sha256(payload)")
+    own = uuid("kind || '|' || rid")
+    return f"""WITH p AS (SELECT page_id, translate(coalesce(url, ''), {end}, '  ') AS uri, coalesce(html, '') AS payload FROM pages),
+r AS (SELECT *, {rid} AS rid, {text} AS text, {title} AS title, {language} AS language FROM p),
+k AS (SELECT *, 'metadata' AS kind, {fields} AS block FROM r UNION ALL SELECT *, 'conversion' AS kind, text AS block FROM r)
+SELECT page_id, kind, {own} AS record_id, rid AS refers_to, uri AS target_uri, 'sha256:' || sha256(payload) AS source_digest, 'text/html; charset=utf-8' AS source_type,
+ 'sha256:' || sha256(block) AS block_digest, true AS sound, CAST(strlen(block) AS BIGINT) AS block_bytes FROM k"""
+
+
+@query("op6_warc_derivatives", _warc_sql())
+def op6(spark, sf_dir):
+    return warc.build(table(spark, sf_dir, "pages"), staging_folder(spark, "warc"))
