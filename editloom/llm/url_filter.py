@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pass_rows
+from .common import pass_rows, stage
 
 # The rules, as action, host, path.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -68,10 +68,8 @@ def _shrunk(stats: DataFrame, own: Reputation) -> DataFrame:
     inner = F.col("mean") * (1 - F.col("mean"))
     true = F.greatest(F.col("spread") - inner * F.col("noise"), F.lit(0.0))
     raw = F.coalesce(F.when(true > 0, inner / true - 1), F.lit(own.most))
-    strength = moments.select(F.least(F.greatest(raw, F.lit(own.least)), F.lit(own.most))).scalar()
-    fixed = stats.select("*", F.coalesce(strength, F.lit(own.most)).alias("strength"))
-    n, s = F.col("n"), F.col("strength")
-    return fixed.select(*stats.columns, ((F.col("bad") + F.col("prior") * s) / (n + s)).alias("mean"), (n + s).alias("weight"))
+    n, s = F.col("n"), F.lit(moments.select(F.least(F.greatest(raw, F.lit(own.least)), F.lit(own.most))).first()[0])  # one number
+    return stats.select("*", ((F.col("bad") + F.col("prior") * s) / (n + s)).alias("mean"), (n + s).alias("weight"))
 
 
 def reputation(pages: DataFrame, own: Reputation = Reputation()) -> DataFrame:
@@ -81,11 +79,12 @@ def reputation(pages: DataFrame, own: Reputation = Reputation()) -> DataFrame:
     so a host with a third of all pages is no hot key."""
     count = [F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")]
     hosts = pages.groupBy("host").agg(*count).withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
+    hosts = stage(hosts, "url-hosts")
     total = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
-    domains = hosts.groupBy("domain", "suffix").agg(*total)
+    domains = stage(hosts.groupBy("domain", "suffix").agg(*total), "url-domains")
     suffixes = domains.groupBy("suffix").agg(*total)
-    every = suffixes.agg((F.sum("bad") + 0.5) / (F.sum("n") + 1)).scalar()
-    top = _shrunk(suffixes.select("*", every.alias("prior")), own)
+    every = suffixes.agg((F.coalesce(F.sum("bad"), F.lit(0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0)) + 1)).first()[0]
+    top = _shrunk(suffixes.select("*", F.lit(every).alias("prior")), own)
     middle = _shrunk(domains.join(top.select("suffix", F.col("mean").alias("prior")), "suffix"), own)
     low = _shrunk(hosts.join(middle.select("domain", F.col("mean").alias("prior")), "domain"), own)
     mean = F.col("mean")
