@@ -64,7 +64,7 @@ FX = {
  CASE WHEN l_linenumber % 4 = 0 THEN 20 ELSE 19 END - CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS identity FROM {{lineitem}}""",
     "fx_history": f"""SELECT 'Proj' || CAST(o_orderkey AS STRING) AS project_id, 'BIHi00' || CAST(o_custkey % 9 AS STRING) || '-A-' || CAST(o_orderkey % 4 AS STRING) AS parental_line,
  'GENE' || CAST(o_custkey % 1000 AS STRING) AS target_gene,
- CASE WHEN o_orderstatus = 'F' THEN 'ssODN' ELSE 'donor' END AS donor_type,
+ CASE WHEN o_orderkey % 8 = 5 THEN NULL WHEN o_orderstatus = 'F' THEN 'ssODN' ELSE 'donor' END AS donor_type,
  CASE o_orderkey % 4 WHEN 0 THEN 'ko' WHEN 1 THEN 'pm' WHEN 2 THEN 'ki' ELSE 'other' END AS modification_class,
  CASE o_orderkey % 6 WHEN 0 THEN 'N32R' WHEN 1 THEN 'C-terminal EGFP' WHEN 2 THEN 'exon 1 insert' WHEN 3 THEN 'knockout' ELSE '' END AS modification_description,
  substr(translate(md5(CAST(o_orderkey % 500 AS STRING) || 'a'),{_DNA}),1,20) AS guide1, substr(translate(md5(CAST(o_orderkey % 500 AS STRING) || 'b'),{_DNA}),1,20) AS guide2,

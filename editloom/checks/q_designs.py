@@ -170,22 +170,13 @@ def agg_9(spark, sf):
     return m.select(F.col("seq_id").alias("request_id"), p["wt_prefix"].alias("wt_prefix"), p["wt_suffix"].alias("wt_suffix"), end("ct").alias("tail"), end("nt").alias("head"))
 
 
-# --- designs with quick primers (ends of the wanted amplicon), for orders, checks and maps ---------
-
-def plain_pairs(targets):
-    """Fallback primers of every target, without a search: what the review queries are checked on."""
-    none = targets.df.select("target_id").limit(0)
-    empty = none.select("target_id", *[F.lit(None).cast(t).alias(n) for n, t in (
-        ("rank", "int"), ("fw_seq", "string"), ("fw_start", "bigint"), ("fw_end", "bigint"), ("rev_seq", "string"), ("rev_start", "bigint"),
-        ("rev_end", "bigint"), ("amp", "bigint"), ("reach", "bigint"), ("amp_gc", "double"), ("score", "double"))])
-    return pr.with_fallback(targets, empty)
-
+# --- designs with their primers, for orders, checks and maps ---------------------------------------
 
 _WRITTEN: dict = {}
 
 
 def finished(spark, sf, kind):
-    """Designs of one class with quick primers, written once per session: orders, checks and maps are separate
+    """Designs of one class with their best primers, written once per session: orders, checks and maps are separate
     jobs over the design table, as they are in use."""
     key = (spark.sparkContext.applicationId, sf, kind)
     if key not in _WRITTEN:
@@ -200,11 +191,12 @@ def _finish(spark, sf, kind):
     path = staging_folder(spark, "base-" + kind)
     d.write.parquet(path)
     d = spark.read.parquet(path)
-    base = d.where("err is null").join(m.select("seq_id", "seq"), "seq_id").withColumn("target_id", F.col("request_id"))
     if kind in ("ct", "nt"):
-        pairs = plain_pairs(pr.outside_targets(base))
+        pairs = ds.terminal_design_primers(d, m)
+    elif kind == "ko":
+        pairs = ds.knockout_design_primers(d, m)
     else:
-        pairs = plain_pairs(pr.centred_targets(base, "cut_center" if kind == "ko" else "primer_center", offset=fx.ICE_OFFSET if kind == "ko" else 0))
+        pairs = ds.centred_design_primers(d, m)
     site = F.concat(F.lit("AFTER_"), F.col("wt_aa"), F.col("position").cast("string")) if kind == "it" else F.lit("x50R") if kind == "pm" else F.lit("")
     tag = F.col("tag") if kind in ("it", "ct", "nt") else F.lit("")
     out = ds.with_best_pair(d, pairs, site, tag)
@@ -222,9 +214,6 @@ def union_of(spark, sf, fn, kinds=("ko", "pm", "it", "ct", "nt")):
     return out
 
 
-_AMP = "greatest(0, least(2016 - 475, CAST(floor({c} - 237.5 + 0.5) AS BIGINT)))"
-
-
 @query("set_4_fallback_pairs", g_sql("""SELECT target_id, mode, fw_start, rev_end, fw_seq, rev_seq, amp, CAST(-999 AS DOUBLE) AS score, true AS is_fallback FROM (
  SELECT seq_id AS target_id, 'centred' AS mode, s AS fw_start, s + 475 AS rev_end, substr(q, CAST(s + 1 AS INT), 24) AS fw_seq, translate(reverse(substr(q, CAST(s + 475 - 23 AS INT), 24)),'ACGT','TGCA') AS rev_seq, CAST(475 AS BIGINT) AS amp FROM (SELECT seq_id, translate(seq,'CG','AT') AS q, greatest(0, least(2016 - 475, CAST(floor(c - 237.5 + 0.5) AS BIGINT))) AS s FROM (SELECT *, seq_id % 2016 AS c FROM fx_sequences))
  UNION ALL SELECT seq_id, 'flanking', s, s + 475, substr(q, CAST(s + 1 AS INT), 24), translate(reverse(substr(q, CAST(s + 475 - 23 AS INT), 24)),'ACGT','TGCA'), 475 FROM (SELECT seq_id, translate(seq,'CG','AT') AS q, greatest(0, least(2016 - 475, CAST(floor((c + c + 40) / 2.0 - 237.5 + 0.5) AS BIGINT))) AS s FROM (SELECT *, seq_id % 2016 AS c FROM fx_sequences))
@@ -263,6 +252,12 @@ def join_8(spark, sf):
     return ds.terminal_design_primers(d, m).select(*_PAIR_COLS)
 
 
+@query("join_8_outside_arm_pairs_90")
+def join_8b(spark, sf):
+    m, d = one(spark, sf, "nt")
+    return ds.terminal_design_primers(d, m, per_side=pr.OUTSIDE_LIMIT).select(*_PAIR_COLS)
+
+
 @query("join_9_centred_pairs")
 def join_9(spark, sf):
     t = _targets(spark, sf).withColumn("center", F.lit(626).cast("bigint"))
@@ -310,11 +305,11 @@ def des_6b(spark, sf):
     return ds.primer_panel(r)["errors"]
 
 
-@query("set_1_order_items", g_sql(f""", c AS (SELECT seq_id, CAST(floor((l_cut + r_cut) / 2.0 + 0.5) AS BIGINT) AS cc, l_spacer, r_spacer FROM bs WHERE seq_id % 5 = 0), s AS (SELECT c.*, f.seq, {_AMP.format(c='cc')} AS a FROM c JOIN fx_sequences f USING (seq_id))
-SELECT seq_id AS slot, 'GENE' || CAST(seq_id AS VARCHAR) || ' knockout' AS design_label, k AS item_type, 'GENE' || CAST(seq_id AS VARCHAR) || '_KO_' || n AS name, CASE n WHEN 'gRNA1' THEN l_spacer WHEN 'gRNA2' THEN r_spacer WHEN 'Fw' THEN substr(seq, CAST(a + 1 AS INT), 24)
- ELSE translate(reverse(substr(seq, CAST(a + 452 AS INT), 24)),'ACGT','TGCA') END AS sequence FROM s, (VALUES ('gRNA','gRNA1'),('gRNA','gRNA2'),('Primer','Fw'),('Primer','Rev')) v(k, n)""", SITES + PAIRS))
+@query("set_1_order_items", g_sql("""SELECT seq_id AS slot, 'GENE' || CAST(seq_id AS VARCHAR) || ' knockout' AS design_label, k AS item_type, 'GENE' || CAST(seq_id AS VARCHAR) || '_KO_' || n AS name, CASE n WHEN 'gRNA1' THEN l_spacer ELSE r_spacer END AS sequence
+ FROM bs, (VALUES ('gRNA','gRNA1'),('gRNA','gRNA2')) v(k, n) WHERE seq_id % 5 = 0""", SITES + PAIRS))
 def set_1(spark, sf):
-    return od.order_items(finished(spark, sf, "ko")[1]).select("slot", "design_label", "item_type", "name", "sequence")
+    """Guide items; primer items come from the pair search, which SQL cannot run (see set_1_all_classes)."""
+    return od.order_items(finished(spark, sf, "ko")[1]).where("item_type = 'gRNA'").select("slot", "design_label", "item_type", "name", "sequence")
 
 
 @query("set_1_all_classes")
@@ -471,10 +466,10 @@ def set_5(spark, sf):
     return a.unionByName(lib.filtered_pairs(p).select("request_id", "id", "mode", F.lit(None).cast("int").alias("pair_rank")))
 
 
-@query("des_10_replace_primers", g_sql(f""", c AS (SELECT seq_id, CAST(floor((l_cut + r_cut) / 2.0 + 0.5) AS BIGINT) AS cc FROM bs WHERE seq_id % 5 = 0), s AS (SELECT c.*, f.seq, {_AMP.format(c='cc')} AS a FROM c JOIN fx_sequences f USING (seq_id))
-SELECT seq_id AS request_id, CASE WHEN seq_id % 2 = 0 THEN 'ACGTACGTACGTACGTAC' ELSE substr(seq, CAST(a + 1 AS INT), 24) END AS fw_seq, CASE WHEN seq_id % 2 = 0 THEN 'validated-centered | Centered around position 9' ELSE 'validated-centered' END AS primer_strategy FROM s""", SITES + PAIRS))
+@query("des_10_replace_primers", g_sql("""SELECT seq_id AS request_id, seq_id % 2 = 0 AS replaced, CASE WHEN seq_id % 2 = 0 THEN 'validated-centered | Centered around position 9' ELSE 'validated-centered' END AS primer_strategy
+ FROM bs WHERE seq_id % 5 = 0""", SITES + PAIRS))
 def des_10(spark, sf):
     d = finished(spark, sf, "ko")[1]
     panel = d.where("request_id % 2 = 0").select("request_id", F.lit("ACGTACGTACGTACGTAC").alias("fw_seq"), F.lit("TTGACCATGCATGCATGC").alias("rev_seq"), F.lit("~475 bp").alias("amplicon"),
                                                  F.lit("validated-centered").alias("strategy"), F.lit("Centered around position 9").alias("target_summary"))
-    return ds.replace_primers(d.where("err is null"), panel).select("request_id", "fw_seq", "primer_strategy")
+    return ds.replace_primers(d.where("err is null"), panel).select("request_id", (F.col("fw_seq") == "ACGTACGTACGTACGTAC").alias("replaced"), "primer_strategy")

@@ -234,7 +234,7 @@ def set_2(spark, sf):
 
 @query("win_17_reporter_limit", with_views("fx_reporters", _REP + "SELECT pos, name FROM d WHERE page < 8 ORDER BY page, pos LIMIT 200"))
 def win_17(spark, sf):
-    return rep.limit_reporters(reporters(spark, sf)).select("pos", "name")
+    return rep.limit_reporters(reporters(spark, sf), 200, 8).select("pos", "name")
 
 
 @query("prj_4_absolute_url", """SELECT page_id, CASE WHEN r = '' THEN '' WHEN regexp_matches(r, '^https?://[^/]+$') THEN r || '/' WHEN starts_with(r, 'http') THEN r

@@ -28,14 +28,21 @@ def oligos(spark, sf):
     return df.select("seq_id", F.col("p").cast("bigint").alias("p"), text.alias("s"), cut(F.length("seq") - p - 26, size).alias("s2"))
 
 
+def mixed(spark, sf):
+    """The same oligos with a third in lower case and a third in mixed case: measures must not depend on it."""
+    s, k = F.col("s"), F.col("p") % 3
+    half = F.concat(F.lower(F.substring("s", 1, 9)), F.substring(s, F.lit(10), F.length(s)))
+    return oligos(spark, sf).withColumns({"s": F.when(k == 1, F.lower(s)).when(k == 2, half).otherwise(s), "s2": F.when(k == 2, F.lower("s2")).otherwise(F.col("s2"))})
+
+
 def _o(body):
     return with_views("fx_sequences", _OLIGO_SQL + body)
 
 
 _GC = "(length({0})-length(translate({0},'GC','')))"
 _GCP = "floor((length(s)-length(translate(s,'GC','')))/length(s)*1000.0+0.5)/10.0"
-_H = "CASE substr(s,i,2) " + " ".join(f"WHEN '{p}' THEN {h}" for ps, (h, _) in NN_PARAMS.items() for p in ps) + " ELSE 0 END"
-_S = "CASE substr(s,i,2) " + " ".join(f"WHEN '{p}' THEN {x}" for ps, (_, x) in NN_PARAMS.items() for p in ps) + " ELSE 0 END"
+_H = "CASE substr(s,i,2) " + " ".join(f"WHEN '{p}' THEN {h}" for p, (h, _) in NN_PARAMS.items()) + " ELSE 0 END"
+_S = "CASE substr(s,i,2) " + " ".join(f"WHEN '{p}' THEN {round(10 * x)}" for p, (_, x) in NN_PARAMS.items()) + " ELSE 0 END"
 _RUN4 = "(contains(s,'AAAA') OR contains(s,'CCCC') OR contains(s,'GGGG') OR contains(s,'TTTT'))"
 _LOW = ("((length(s) >= 20 AND len(list_distinct(string_split(s,''))) <= 2) OR regexp_matches(s,'^((AT)+|(TA)+|(GC)+|(CG)+)$') OR "
         + " OR ".join(f"contains(s, repeat('{a}{b}',4))" for a in "ACGT" for b in "ACGT") + ")")
@@ -64,7 +71,7 @@ q AS MATERIALIZED (SELECT *, floor((abs(gc-50)/4 + abs(tm-60)/3 + CASE WHEN run4
 
 
 def assessed(spark, sf):
-    return sq.with_assessment(oligos(spark, sf), "s")
+    return sq.with_assessment(mixed(spark, sf), "s")
 
 
 @query("seq_1_reverse_complement", _o("SELECT seq_id, p, translate(reverse(s),'ACGT','TGCA') AS rc, 'N' || translate(reverse(s),'ACGT','TGCA') AS rc_n FROM o"))
@@ -84,48 +91,48 @@ def seq_2(spark, sf):
 @query("seq_3_gc", _o(f"SELECT seq_id, p, {_GCP} AS gc, CAST(floor({_GC.format('s')}/length(s)*100.0+0.5) AS BIGINT) AS gc_int, {_GC.format('s')} AS gc_count FROM o"))
 def seq_3(spark, sf):
     s = F.col("s")
-    return oligos(spark, sf).select("seq_id", "p", sq.gc_percent(s).alias("gc"), sq.gc_percent_int(s).alias("gc_int"),
+    return mixed(spark, sf).select("seq_id", "p", sq.gc_percent(s).alias("gc"), sq.gc_percent_int(s).alias("gc_int"),
                                     sq.gc_count(s).alias("gc_count"))
 
 
 @query("seq_4_melting_temperature", _o(_QC + "SELECT seq_id, p, tm FROM o JOIN q USING (s)"))
 def seq_4(spark, sf):
-    return oligos(spark, sf).select("seq_id", "p", sq.melting_temperature(F.col("s")).alias("tm"))
+    return mixed(spark, sf).select("seq_id", "p", sq.melting_temperature(F.col("s")).alias("tm"))
 
 
 @query("seq_5_three_prime_dg", _o(_QC + "SELECT seq_id, p, dg3 FROM o JOIN q USING (s)"))
 def seq_5(spark, sf):
-    return oligos(spark, sf).select("seq_id", "p", sq.three_prime_dg(F.col("s")).alias("dg3"))
+    return mixed(spark, sf).select("seq_id", "p", sq.three_prime_dg(F.col("s")).alias("dg3"))
 
 
 @query("seq_6_homopolymer", _o(f"SELECT seq_id, p, {_RUN4} AS run4 FROM o"))
 def seq_6(spark, sf):
-    return oligos(spark, sf).select("seq_id", "p", sq.has_homopolymer(F.col("s")).alias("run4"))
+    return mixed(spark, sf).select("seq_id", "p", sq.has_homopolymer(F.col("s")).alias("run4"))
 
 
 @query("seq_7_three_prime_clamp", _o(_QC + "SELECT seq_id, p, clamp, gc5 FROM o JOIN q USING (s)"))
 def seq_7(spark, sf):
-    return oligos(spark, sf).select("seq_id", "p", sq.clamp_count(F.col("s")).alias("clamp"), sq.three_prime_gc(F.col("s")).alias("gc5"))
+    return mixed(spark, sf).select("seq_id", "p", sq.clamp_count(F.col("s")).alias("clamp"), sq.three_prime_gc(F.col("s")).alias("gc5"))
 
 
 @query("seq_8_low_complexity", _o(f"SELECT seq_id, p, {_LOW} AS low FROM o"))
 def seq_8(spark, sf):
-    return oligos(spark, sf).select("seq_id", "p", sq.low_complexity(F.col("s")).alias("low"))
+    return mixed(spark, sf).select("seq_id", "p", sq.low_complexity(F.col("s")).alias("low"))
 
 
 @query("seq_9_complement_run", _o(f"SELECT seq_id, p, {run_sql('s', 's2')} AS run FROM o"))
 def seq_9(spark, sf):
-    return oligos(spark, sf).select("seq_id", "p", sq.complement_run(F.col("s"), F.col("s2")).alias("run"))
+    return mixed(spark, sf).select("seq_id", "p", sq.complement_run(F.col("s"), F.col("s2")).alias("run"))
 
 
 @query("seq_10_three_prime_run", _o(f"SELECT seq_id, p, {run_sql('right(s,8)', 'right(s2,8)')} AS run FROM o"))
 def seq_10(spark, sf):
-    return oligos(spark, sf).select("seq_id", "p", sq.three_prime_complement_run(F.col("s"), F.col("s2")).alias("run"))
+    return mixed(spark, sf).select("seq_id", "p", sq.three_prime_complement_run(F.col("s"), F.col("s2")).alias("run"))
 
 
 @query("seq_11_hairpin_run", _o(f"SELECT seq_id, p, {_HAIR} AS run FROM o"))
 def seq_11(spark, sf):
-    return oligos(spark, sf).select("seq_id", "p", sq.hairpin_run(F.col("s")).alias("run"))
+    return mixed(spark, sf).select("seq_id", "p", sq.hairpin_run(F.col("s")).alias("run"))
 
 
 @query("seq_12_primer_penalty", _o(_QC + "SELECT seq_id, p, penalty FROM o JOIN q USING (s)"))
@@ -140,7 +147,7 @@ _WARN = """array_to_string(list_filter([CASE WHEN run4 THEN 'homopolymer run' EN
 @query("seq_13_primer_assessment", _o(_QC + f"""SELECT seq_id, p, s, length(s) AS len, gc, tm, dg3, clamp, self_run, self_three, hairpin, penalty,
  CASE WHEN penalty <= 6 THEN 'high' WHEN penalty <= 14 THEN 'medium' ELSE 'review' END AS status, {_WARN} AS warnings FROM o JOIN q USING (s)"""))
 def seq_13(spark, sf):
-    return assessed(spark, sf).select("seq_id", "p", "s", "len", "gc", "tm", "dg3", "clamp", "self_run", "self_three", "hairpin",
+    return assessed(spark, sf).select("seq_id", "p", F.upper("s").alias("s"), "len", "gc", "tm", "dg3", "clamp", "self_run", "self_three", "hairpin",
                                       "penalty", "status", F.array_join("warnings", "; ").alias("warnings"))
 
 
@@ -152,7 +159,7 @@ pp AS MATERIALIZED (SELECT x.*, a.tm AS tf, b.tm AS tr, a.gc AS gf, b.gc AS gr,
 
 
 def oligo_pairs(spark, sf):
-    o = oligos(spark, sf)
+    o = mixed(spark, sf)
     left = o.select("seq_id", "p", F.col("s").alias("fw_seq"))
     right = o.select("seq_id", (F.col("p") - 80).alias("p"), F.col("s").alias("rev_seq"))
     from ..operators.primers import with_quality

@@ -73,7 +73,7 @@ def manifest_edit_class(value: Column) -> Column:
 def batch_edit_class(value: Column, community: bool = False) -> Column:
     low = F.regexp_replace(F.lower(F.coalesce(value, F.lit(""))), "[^a-z]", "")
     kinds = ("pm", "ko") if community else tuple(fixed.BATCH_EDIT_TYPES)
-    return F.coalesce(*[F.when(low.isin(*fixed.BATCH_EDIT_TYPES[k].split()), F.lit(k)) for k in kinds], F.lit(""))
+    return F.coalesce(*[F.when(low.isin(*fixed.BATCH_EDIT_TYPES[k]), F.lit(k)) for k in kinds], F.lit(""))
 
 
 def edit_class_label(kind: Column, community: bool = False) -> Column:

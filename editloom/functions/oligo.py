@@ -32,10 +32,9 @@ for _i, _b in enumerate(b"ACGTN"):
     _CODE[_b] = _i
 _COMPLEMENT = np.array([3, 2, 1, 0, 4, 4, 6, 7, 8, 9], np.uint8)
 _H, _S10 = np.zeros((10, 10)), np.zeros((10, 10))
-for _pairs, (_h, _s) in NN_PARAMS.items():
-    for _p in _pairs:
-        _H["ACGT".index(_p[0]), "ACGT".index(_p[1])] = _h
-        _S10["ACGT".index(_p[0]), "ACGT".index(_p[1])] = _s
+for _p, (_h, _s) in NN_PARAMS.items():
+    _H["ACGT".index(_p[0]), "ACGT".index(_p[1])] = _h
+    _S10["ACGT".index(_p[0]), "ACGT".index(_p[1])] = round(10 * _s)
 _LEFT_PAD, _RIGHT_PAD = 9, 8
 
 
@@ -54,6 +53,7 @@ class Oligos:
         offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1]
         data = column.buffers()[2]
         raw = np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+        raw = np.where((raw >= ord("a")) & (raw <= ord("z")), raw - 32, raw)
         self.n = np.diff(offsets).astype(np.int64)
         self.width = max(8, int(self.n.max(initial=0)))
         rows = np.repeat(np.arange(len(self.n)), self.n)

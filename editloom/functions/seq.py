@@ -20,7 +20,7 @@ BASES = "ACGT"
 
 def revcomp(seq: Column) -> Column:
     """Reverse complement; any letter other than A, C, G, T becomes N."""
-    return F.regexp_replace(F.translate(F.reverse(seq), "ACGT", "TGCA"), "[^ACGTN]", "N")
+    return F.regexp_replace(F.translate(F.reverse(F.upper(seq)), "ACGT", "TGCA"), "[^ACGTN]", "N")
 
 
 def revcomp_clean(seq: Column) -> Column:
@@ -38,6 +38,7 @@ def slice_at(seq: Column, start: Column, length) -> Column:
 
 
 def gc_count(seq: Column) -> Column:
+    seq = F.upper(seq)
     return F.length(seq) - F.length(F.translate(seq, "GC", ""))
 
 
@@ -65,11 +66,12 @@ def _pair_count(seq: Column, pair: str) -> Column:
 
 def stacking_sums(seq: Column) -> tuple[Column, Column]:
     """Sums of dH and of ten times dS over all neighbouring base pairs (exact whole numbers)."""
+    seq = F.upper(seq)
     dh, ds10 = F.lit(0), F.lit(0)
-    for pairs, (h, s10) in NN_PARAMS.items():
-        count = sum((_pair_count(seq, p) for p in pairs[1:]), _pair_count(seq, pairs[0]))
+    for pair, (h, s) in NN_PARAMS.items():
+        count = _pair_count(seq, pair)
         dh = dh + count * F.lit(h)
-        ds10 = ds10 + count * F.lit(s10)
+        ds10 = ds10 + count * F.lit(round(10 * s))
     return dh, ds10
 
 
@@ -103,6 +105,7 @@ def three_prime_dg(seq: Column, window: int = 5) -> Column:
 
 
 def has_homopolymer(seq: Column, run: int = 4) -> Column:
+    seq = F.upper(seq)
     out = F.contains(seq, F.lit("A" * run))
     for base in "CGT":
         out = out | F.contains(seq, F.lit(base * run))
@@ -118,6 +121,7 @@ def three_prime_gc(seq: Column, window: int = 5) -> Column:
 
 
 def low_complexity(seq: Column) -> Column:
+    seq = F.upper(seq)
     distinct = sum((F.contains(seq, F.lit(b)).cast("int") for b in "CGT"), F.contains(seq, F.lit("A")).cast("int"))
     other = F.size(F.array_distinct(F.split(F.regexp_replace(seq, "[ACGT]", ""), ""))) - F.when(
         F.regexp_replace(seq, "[ACGT]", "") == "", F.lit(1)).otherwise(F.lit(0))
@@ -143,15 +147,16 @@ def _shared_run(left: Column, right_rc: Column) -> Column:
 
 def complement_run(left: Column, right: Column) -> Column:
     """Longest stretch of ``left`` that can pair with a stretch of ``right``."""
-    return _shared_run(left, revcomp_clean(right))
+    return _shared_run(F.upper(left), revcomp_clean(F.upper(right)))
 
 
 def three_prime_complement_run(left: Column, right: Column, window: int = 8) -> Column:
-    return _shared_run(F.right(left, F.lit(window)), revcomp_clean(F.right(right, F.lit(window))))
+    return _shared_run(F.upper(F.right(left, F.lit(window))), revcomp_clean(F.upper(F.right(right, F.lit(window)))))
 
 
 def hairpin_run(seq: Column, min_loop: int = 3) -> Column:
     """Longest stem inside one oligo whose arms are more than ``min_loop`` bases apart."""
+    seq = F.upper(seq)
     rc = revcomp_clean(seq)
     n = F.length(seq)
     # An arm ending at 1-based position e pairs with a stretch that starts at e + min_loop + 1 or later.

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.fixed import CODONS_BY_AA
+from ..functions.fixed import CODON_TO_AA
 from ..functions.frame import barrier, let
 from ..functions.numeric import half_up
 from ..functions.seq import codon_to_aa, gc_count, revcomp
@@ -214,11 +214,12 @@ def knockout_targets(models: DataFrame) -> DataFrame:
 def mutant_codon(codon: Column, aa: Column) -> Column:
     """Codon of ``aa`` with the fewest base changes, first in A, C, G, T order."""
     out = F.lit(None).cast("string")
-    for residue, codons in CODONS_BY_AA.items():
+    for residue in sorted(set(CODON_TO_AA.values())):
+        codons = sorted(c for c, aa_of in CODON_TO_AA.items() if aa_of == residue)
         options = F.array(*[F.struct(
             sum(((F.substring(codon, i + 1, 1) != c[i]).cast("int") for i in (1, 2)),
                 (F.substring(codon, 1, 1) != c[0]).cast("int")).alias("changes"),
-            F.lit(c).alias("codon")) for c in sorted(codons.split())])
+            F.lit(c).alias("codon")) for c in codons])
         out = F.when(aa == residue, F.array_min(options)["codon"]).otherwise(out)
     return out
 

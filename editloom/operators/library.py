@@ -77,7 +77,7 @@ def summarize_targets(targets: DataFrame) -> DataFrame:
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     percents = F.filter(F.map_values("cds_percentages"), lambda v: v.isNotNull() & ~F.isnan(v))
     return targets.withColumns({
-        "full_sequence": full, "spacer": F.left(full, F.lit(20)), "pam": F.substring(full, 21, 1000),
+        "full_sequence": full, "spacer": F.left(full, F.lit(20)), "pam": F.substr(full, F.lit(21)),
         "location": F.when(truthy(F.col("chromosome")) & truthy(F.col("position")), F.concat(
             text("chromosome"), F.lit(":"), text("position"), F.lit(":"), text("strand"))).otherwise(""),
         "best_cds": best_cds_percent(percents), "transcript_count": F.size(percents),

@@ -27,6 +27,7 @@ FALLBACK_SCORE = -999.0
 SLACK = 0.02
 OUTSIDE_REACH = 650
 OUTSIDE_FLANK = 120
+# Candidates per side that the outside search of one interactive design looks at; design jobs look at all.
 OUTSIDE_LIMIT = 90
 CENTRE_SHIFT = 35
 SCREEN_SHIFT = 40
@@ -234,8 +235,10 @@ def _scored(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("score", _score(f, r, F.col("amp"), F.col("t.wanted"), F.col("pair_pen"), F.col("extra")))
 
 
-def ranked_pairs(targets: Targets, top: int = TOP) -> DataFrame:
-    """The best pairs of each target (no row for a target without any), rank 1..top."""
+def ranked_pairs(targets: Targets, top: int = TOP, per_side: int | None = None) -> DataFrame:
+    """The best pairs of each target (no row for a target without any), rank 1..top.
+
+    ``per_side`` limits the candidates of each side, those first in search order; by default all take part."""
     mode = targets.mode
     cands = primer_candidates(targets)
     side = lambda s: F.collect_list(F.when(F.col("side") == s, F.col("c")))
@@ -243,7 +246,7 @@ def ranked_pairs(targets: Targets, top: int = TOP) -> DataFrame:
     per = cands.groupBy("target_id").agg(
         F.first(F.struct("t", "bases", "bases_start")).alias("g"), side("f").alias("f_all"), side("r").alias("r_all"))
     # array_sort orders by placing (outside mode only), then start and length: the search order.
-    limit = lambda a: F.slice(a, 1, OUTSIDE_LIMIT) if mode == "outside" else a
+    limit = lambda a: a if per_side is None else F.slice(a, 1, per_side)
     number = lambda a: F.transform(a, lambda c, i: F.struct(c["cost"].alias("cost"), i.alias("i"), c.alias("c")))
     per = per.where((F.size("f_all") > 0) & (F.size("r_all") > 0)).select(
         "target_id", F.inline(F.array(F.struct(
@@ -333,9 +336,9 @@ def with_quality(pairs: DataFrame) -> DataFrame:
         "pair_warnings": F.when(high_gc, F.concat(warn, F.array(F.lit("high-GC amplicon (>65%)")))).otherwise(warn)})
 
 
-def design_pairs(targets: Targets, top: int = TOP) -> DataFrame:
+def design_pairs(targets: Targets, top: int = TOP, per_side: int | None = None) -> DataFrame:
     """Search plus fallback: the pairs every design job uses."""
-    return with_fallback(targets, ranked_pairs(targets, top))
+    return with_fallback(targets, ranked_pairs(targets, top, per_side))
 
 
 def outside_warning(arm_start: Column, arm_end: Column, seq_len: Column, has_pair: Column, is_fallback: Column) -> Column:

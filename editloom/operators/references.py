@@ -28,8 +28,3 @@ def link_definitions(definitions: DataFrame, keys: DataFrame) -> DataFrame:
     err = F.when(name.isNull(), F.concat(F.lit("Line "), F.col("line_number").cast("string"), F.lit(': could not find GenBank file "'),
                                          F.col("file_token"), F.lit('" in the uploaded folder.')))
     return df.withColumns({"file_name": name, "err": err}).drop("_k", "by_name", "by_stem")
-
-
-def gene_files(keys: DataFrame) -> DataFrame:
-    """gene_key, file_name for request parsing."""
-    return keys.where("key_kind = 'gene'").select(F.col("key").alias("gene_key"), "file_name")

@@ -37,6 +37,8 @@ def dedupe_reporters(reporters: DataFrame) -> DataFrame:
     return reporters.where(key != "").withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def limit_reporters(reporters: DataFrame, limit: int = 200, max_pages: int = 8) -> DataFrame:
-    """The first ``limit`` distinct reporters of the first ``max_pages`` pages (a top-k, not a sort of all)."""
-    return dedupe_reporters(reporters.where(F.col("page") < max_pages)).orderBy("page", "pos").limit(limit)
+def limit_reporters(reporters: DataFrame, limit: int | None = None, max_pages: int | None = None) -> DataFrame:
+    """Distinct reporters; with limits, the first ``limit`` of the first ``max_pages`` pages (a top-k, not a sort of all)."""
+    pages = reporters if max_pages is None else reporters.where(F.col("page") < max_pages)
+    out = dedupe_reporters(pages)
+    return out if limit is None else out.orderBy("page", "pos").limit(limit)

@@ -337,9 +337,10 @@ def centred_design_primers(designs: DataFrame, models: DataFrame, center: str =
     return design_pairs(centred_targets(_with_seq(d, models), center, offset=offset))
 
 
-def terminal_design_primers(designs: DataFrame, models: DataFrame) -> DataFrame:
+def terminal_design_primers(designs: DataFrame, models: DataFrame, per_side: int | None = None) -> DataFrame:
+    """Pairs outside both arms; ``per_side`` limits the candidates of each side (none by default)."""
     d = designs.where("err is null").select("request_id", "seq_id", "arm_start", "arm_end")
-    return design_pairs(outside_targets(_with_seq(d, models)))
+    return design_pairs(outside_targets(_with_seq(d, models)), per_side=per_side)
 
 
 def knockout_design_primers(designs: DataFrame, models: DataFrame, offset: int = fx.ICE_OFFSET) -> DataFrame:

@@ -165,14 +165,6 @@ def segment_table(spark: SparkSession) -> DataFrame:
                         "seg_seq string, protein_label string, protein string")
 
 
-def codon_rows() -> list[tuple]:
-    return [(c, fx.CODON_TO_AA[c]) for c in sorted(fx.CODON_TO_AA)]
-
-
-def codon_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(codon_rows(), "codon string, aa string")
-
-
 def internal_tag_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k, s, a) for k, (s, a) in fx.INTERNAL_TAGS.items()],
                                  "insert_name string, insert_seq string, insert_aa string")
@@ -205,9 +197,3 @@ def construct_rows() -> list[tuple]:
 def construct_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(construct_rows(), "terminus string, group_no int, architecture string, position int, "
                                                    "cassette string")
-
-
-def reporter_cassette_table(spark: SparkSession) -> DataFrame:
-    rows = [(key, end, i, name) for key, ends in fx.REPORTER_CASSETTES.items()
-            for end, names in zip(("nt", "ct"), ends) for i, name in enumerate(names)]
-    return spark.createDataFrame(rows, "reporter string, terminus string, position int, cassette string")

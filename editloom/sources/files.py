@@ -20,7 +20,7 @@ LIBRARY_COLUMNS = {
 
 def guide_library(spark: SparkSession, path: str) -> DataFrame:
     """Tab-separated library; columns are found by header name, rows without gene or spacer are dropped."""
-    raw = spark.read.csv(path, sep="\t", header=True)
+    raw = spark.read.csv(path, sep="\t", header=True, enforceSchema=False)
     col = lambda name: F.trim(F.coalesce(F.col(f"`{name}`"), F.lit(""))) if name in raw.columns else F.lit("")
     number = lambda name, kind: F.coalesce(F.nullif(col(name), F.lit("")).cast(kind), F.lit(0).cast(kind))
     out = {new: col(old) for old, new in LIBRARY_COLUMNS.items()}
@@ -94,12 +94,17 @@ def history(spark: SparkSession, path: str) -> DataFrame:
 FEATURE = "struct<type:string,loc:string,q:array<struct<k:string,v:string>>,last:string>"
 
 
+def _rest(items: Column) -> Column:
+    """All items but the first."""
+    return F.slice(items, F.lit(2), F.greatest(F.size(items) - 1, F.lit(0)))
+
+
 def _parse_feature(block: Column) -> Column:
     """One feature block (its lines) -> struct(type, loc, q). Qualifiers are /name="value"; a continued line
     belongs to the location until that has a closing bracket, then to the last qualifier."""
     rows = F.split(block, "\n")
     head = F.split(F.trim(F.get(rows, F.lit(0))), r"\s+")
-    start = F.struct(F.get(head, F.lit(0)).alias("type"), F.array_join(F.slice(head, 2, 1000), "").alias("loc"),
+    start = F.struct(F.get(head, F.lit(0)).alias("type"), F.array_join(_rest(head), "").alias("loc"),
                      F.array().cast("array<struct<k:string,v:string>>").alias("q"), F.lit("").alias("last")).cast(FEATURE)
     pattern = r'^/(\w+)=?"?([^"]*)"?$'
 
@@ -119,21 +124,25 @@ def _parse_feature(block: Column) -> Column:
             F.when(found, added).when(more_text, extended).otherwise(acc["q"]).alias("q"),
             F.when(found, key).otherwise(acc["last"]).alias("last")).cast(FEATURE)
 
-    return F.aggregate(F.slice(rows, 2, 1000000), start, step)
+    return F.aggregate(_rest(rows), start, step)
 
 
-def genbank_records(files: DataFrame) -> DataFrame:
-    """Whole GenBank texts (file_name, text) -> file_name, seq, features array<struct<type,loc,q>>.
+def genbank_records(files: DataFrame, first_only: bool = False) -> DataFrame:
+    """Whole GenBank texts (file_name, text) -> file_name, record_no, seq, features array<struct<type,loc,q>>.
 
-    A file is one record and one row in and out, so no shuffle is needed."""
+    One row per record of a file (records end at a line of two slashes), or the first record of each file only. A file
+    is one row in, so no shuffle is needed."""
     clean = F.regexp_replace(F.regexp_replace("text", "\r\n", "\n"), "\r", "\n")
-    body = F.get(F.split(clean, "(?m)^//"), F.lit(0))
+    texts = F.split(clean, "(?m)^//[^\n]*\n?")
+    wanted = F.slice(texts, 1, 1) if first_only else F.filter(texts, lambda t, i: (i == 0) | t.rlike(r"\S"))
+    files = files.select("*", F.posexplode(wanted).alias("record_no", "_body"))
+    body = F.col("_body")
     parts = F.split(body, "(?m)^ORIGIN[^\n]*\n?", 2)
     df = files.withColumns({"_head": F.get(parts, F.lit(0)), "_origin": F.coalesce(F.get(parts, F.lit(1)), F.lit(""))})
     table = F.get(F.split("_head", "(?m)^FEATURES[^\n]*\n", 2), F.lit(1))
     blocks = F.filter(F.split(table, "\n(?= .{4}[^ \n])"), lambda b: b.rlike("^ .{4}[^ \n]"))
     features = F.transform(F.coalesce(blocks, F.array().cast("array<string>")), _parse_feature)
-    return df.select("file_name", F.upper(F.regexp_replace("_origin", "[^a-zA-Z]", "")).alias("seq"), F.transform(
+    return df.select("file_name", "record_no", F.upper(F.regexp_replace("_origin", "[^a-zA-Z]", "")).alias("seq"), F.transform(
         features, lambda f: F.struct(f["type"].alias("type"), f["loc"].alias("loc"), f["q"].alias("q"))).alias("features"))
 
 
@@ -152,7 +161,7 @@ def _qualifier(feature: Column, key: str) -> Column:
 
 
 def genbank_models(records: DataFrame) -> DataFrame:
-    """Parsed records -> models; records without sequence or CDS ranges are left out."""
+    """Parsed records -> models; records without sequence or CDS ranges are left out. Later records of a file are named file#2, file#3."""
     of = lambda *types: F.filter("features", lambda f: f["type"].isin(*types))
     gene, mrna = F.get(of("gene"), F.lit(0)), F.get(of("mRNA", "transcript"), F.lit(0))
     cds = F.get(F.filter(F.transform(of("CDS"), lambda f: _ranges(f["loc"])), lambda r: F.size(r) > 0), F.lit(0))
@@ -164,7 +173,8 @@ def genbank_models(records: DataFrame) -> DataFrame:
         return F.struct(r["start"].alias("start"), r["end"].alias("end"), F.coalesce(number, i + 1).alias("exon_number"), label.alias("label"))
 
     df = records.select(
-        F.col("file_name").alias("seq_id"), F.coalesce(_qualifier(gene, "label"), _qualifier(gene, "gene"), F.lit("Gene")).alias("gene"),
+        F.when(F.col("record_no") == 0, F.col("file_name")).otherwise(F.concat("file_name", F.lit("#"), F.col("record_no") + 1)).alias("seq_id"),
+        F.coalesce(_qualifier(gene, "label"), _qualifier(gene, "gene"), F.lit("Gene")).alias("gene"),
         F.coalesce(_qualifier(mrna, "transcript_id"), _qualifier(mrna, "label"), _qualifier(mrna, "gene"), F.lit("")).alias("transcript_id"),
         F.lit("").alias("assembly"), F.lit("genbank").alias("source"), "seq", cds.alias("segs"),
         F.transform(of("exon"), exon).alias("exons"))

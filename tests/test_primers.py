@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from editloom.functions.fixed import NN_PARAMS
 from editloom.operators import primers as pr
 
-NN = {p: v for ps, v in NN_PARAMS.items() for p in ps}
+NN = NN_PARAMS
 
 
 def half_up(x, d):
@@ -46,13 +46,13 @@ def quality(s):
     n, gc_n = len(s), sum(c in "GC" for c in s)
     gc = math.floor(gc_n / n * 1000 + 0.5) / 10
     dh = 200 + sum(NN[s[i:i + 2]][0] for i in range(n - 1))
-    ds = -5.7 + sum(NN[s[i:i + 2]][1] for i in range(n - 1)) / 10
+    ds = -5.7 + sum(round(10 * NN[s[i:i + 2]][1]) for i in range(n - 1)) / 10
     mg = math.log(1.5e-3)
     inv = 1 / (dh / (ds + 1.987 * math.log(250e-9 / 4))) + 3.92e-5 - 9.11e-6 * mg + gc_n / n * (6.26e-5 + 1.42e-5 * mg)
     inv += 1 / (2 * (n - 1)) * (-4.82e-4 + 5.25e-4 * mg + 8.31e-5 * mg * mg)
     tm = half_up(1 / inv - 273.15, 1)
     t = s[-5:]
-    dg = half_up((sum(NN[t[i:i + 2]][0] for i in range(4)) - 310.15 * sum(NN[t[i:i + 2]][1] for i in range(4)) / 10) / 1000, 2)
+    dg = half_up((sum(NN[t[i:i + 2]][0] for i in range(4)) - 310.15 * sum(round(10 * NN[t[i:i + 2]][1]) for i in range(4)) / 10) / 1000, 2)
     low = any(a + b in s and (a + b) * 4 in s for a in "ACGT" for b in "ACGT") or len(set(s)) <= 2
     pen = abs(gc - 50) / 4 + abs(tm - 60) / 3 + 10 * low + (6 if dg > -1 else 4 if dg < -10 else 0)
     three, hair = run(s[-8:], s[-8:]), hairpin(s)
