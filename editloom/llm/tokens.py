@@ -6,7 +6,6 @@ white-space chunks one after the other; a chunk of letters and closing marks is
 from __future__ import annotations
 
 import os
-import re
 import threading
 
 import numpy as np
@@ -16,11 +15,13 @@ VOCABULARY = "word_bpe_49k.json"
 #: Id that ends each document.
 END = 1
 #: Distinct chunks, and distinct pieces of them, that a worker keeps before it starts anew.
-KEPT_CHUNKS = 500_000
-KEPT_PIECES = 800_000
+KEPT_CHUNKS = 600_000
+KEPT_PIECES = 1_000_000
 
-# Letters whose lower case is one letter and which no composition changes, then ASCII marks.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-^`{-~]*)")
+# Bytes of a plain word: ASCII letters, and the lead byte of À to ÿ with its second bytes, but for those of × and ÷.
+# Their lower case is one letter, and no composition changes them.
+_PLAIN = bytes(range(65, 91)) + bytes(range(97, 123)) + b"\xc3" + bytes(x for x in range(0x80, 0xC0) if x not in (0x97, 0xB7))
+_MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _BLOCK = 512
 
 
@@ -40,7 +41,7 @@ class Encoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.chunks: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.pieces: dict[bytes, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -52,29 +53,33 @@ class Encoder:
             ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) != len(part):
-                self.pieces.update(zip(part, self._whole(part)))
+                self.pieces.update(zip(map(str.encode, part), self._whole(part)))
                 continue
             raw, at = ids.tobytes(), 0
             for piece, cut in zip(part, (cuts * 4).tolist()):
-                self.pieces[piece] = raw[at:cut]
+                self.pieces[piece.encode()] = raw[at:cut]
                 at = cut
 
     def _encode_chunks(self, chunks: list[bytes]) -> list[bytes]:
-        split = [(c, _PLAIN.fullmatch(c)) for c in map(bytes.decode, chunks)]
-        parts = [(c, m.group(1).lower(), m.group(2)) if m else (c, None, None) for c, m in split]
-        need = {p for _, a, b in parts if a for p in (a, b) if p}
+        words = [c.rstrip(_MARKS) for c in chunks]
+        words = [w if w and not w.translate(None, _PLAIN) else b"" for w in words]
+        lower = [w.lower() if w.isascii() else w.decode().lower().encode() for w in words]
+        marks = [c[len(w):] for c, w in zip(chunks, words)]
+        odd = [m.decode() for w, m in zip(words, marks) if not w]
+        need = set(lower)
+        need.update(m for w, m in zip(words, marks) if w)
+        need.discard(b"")
         if len(self.pieces) + len(need) > KEPT_PIECES:
             self.pieces.clear()
-        self._learn(list(need - self.pieces.keys()))
-        odd = [c for c, a, _ in parts if a is None]
-        others = dict(zip(odd, self._whole(odd))) if odd else {}
+        self._learn([p.decode() for p in need.difference(self.pieces)])
+        others = iter(self._whole(odd)) if odd else iter(())
         get = self.pieces.__getitem__
-        return [others[c] if a is None else get(a) + get(b) if b else get(a) for c, a, b in parts]
+        return [(get(w) + get(m) if m else get(w)) if w else next(others) for w, m in zip(lower, marks)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         chunks = [(t or "").encode().split() for t in texts]
         need = set().union(*chunks)
-        missing = need - self.chunks.keys()
+        missing = need.difference(self.chunks)
         if len(self.chunks) + len(missing) > KEPT_CHUNKS:
             self.chunks.clear()
             missing = need
