@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 
 import numpy as np
@@ -79,10 +80,19 @@ def connected(edges: DataFrame, name: str = "components", rounds: int = 50) -> D
     return roots.unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Fewer rows per Arrow batch than by default, as one row here is a whole text."""
+_SHIPPED: set[str] = set()
+
+
+def prepare(spark: SparkSession, rows: int = 1000) -> None:
+    """Before a step in Python: fewer rows per Arrow batch than by default, as one row here is a whole text.
+
+    In a local session the workers also get this package; on a cluster it is installed, or sent with --py-files."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    context = spark.sparkContext
+    if context.master.startswith("local[") and context.applicationId not in _SHIPPED:
+        context.addFile(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), recursive=True)
+        _SHIPPED.add(context.applicationId)
 
 
 def without(docs: DataFrame, drop: DataFrame) -> DataFrame:

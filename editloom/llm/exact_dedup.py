@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, id_of, key_of, pass_rows, stage, text_of
+from .common import NO_ID, id_of, key_of, pass_rows, prepare, stage, text_of
 
 #: Characters that do not count when texts are compared.
 SPACE = r"[\x20\x09-\x0D]"
@@ -132,6 +132,7 @@ def exact_dedup(new: DataFrame, old: DataFrame) -> DataFrame:
     smallest doc_id. Rows that repeat a doc_id with equal texts count as one document: all of them are kept or dropped
     together. Rows without doc_id are told apart by text, rank after all others of equal length, and have a null keep_id
     when they stay."""
+    prepare(new.sparkSession)
     first, second = distinct_digests(old), distinct_digests(new)
     first = stage(first, "digests-old")
     shards = max(1, -(-first.count() // SHARD_KEYS))

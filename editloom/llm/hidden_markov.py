@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, mix, pass_rows, small_batches, stage, text_of
+from .common import crc_of_id, mix, pass_rows, prepare, stage, text_of
 
 #: Words that are symbols of their own, classes of the other words, latent states.
 FREQUENT = 50_000
@@ -318,7 +318,7 @@ def score(docs: DataFrame, held_out: Column | None = None, rounds: int = ROUNDS,
     Null and empty texts are the end alone. Rows that repeat a doc_id are documents of their own. Without any training
     document every probability of the base model is that of an unknown word."""
     spark = docs.sparkSession
-    small_batches(spark)
+    prepare(spark)
     rows = pass_rows(docs, {"doc_id": F.col("doc_id").cast("long"), "text": text_of(), "held_out": crc_of_id() % 10 == 0 if held_out is None else held_out})
     counts = stage(word_counts(rows.where("not held_out")), "model-counts")
     own = vocabulary(counts, frequent)

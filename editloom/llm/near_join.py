@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, connected, gram_hashes, hash_words, id_of, key_of, mix, pass_rows, small_batches, stage, text_of
+from .common import WORD, connected, gram_hashes, hash_words, id_of, key_of, mix, pass_rows, prepare, stage, text_of
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -287,7 +287,7 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESH
     ``links`` counts the other documents whose similarity reaches the threshold, copies included. Documents of fewer than
     n words are one shingle of all their words; those without words (null and empty texts too) are linked with nothing.
     Rows that repeat a doc_id with equal words are copies; with other words, they are documents of the same key."""
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     sketches = stage(pass_rows(docs, {"key": key_of(), "text": text_of()}).mapInArrow(_sketch(n), "key long, n int, hash binary, tokens binary"), "join-sketches")
     sets = stage(distinct_sets(sketches), "join-sets")
     groups = connected(candidate_edges(sets, runs_for(recall)), "join-groups")

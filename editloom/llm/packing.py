@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_of, key_of, pass_rows, small_batches, stage, text_of
+from .common import id_of, key_of, pass_rows, prepare, stage, text_of
 from .tokens import END, default_path, encoder, in_parts
 
 WINDOW = 2048
@@ -48,7 +48,7 @@ def _encode(path: str, end: int):
 
 def encode_rows(docs: DataFrame, vocabulary: str | None = None, end: int = END) -> DataFrame:
     """(key, n, ids): little-endian unsigned 32-bit ids of each whole text and the end id."""
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     return pass_rows(docs, {"key": key_of(), "text": text_of()}).mapInArrow(_encode(vocabulary or default_path(), end), "key long, n long, ids binary")
 
 

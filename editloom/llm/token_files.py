@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_of, key_of, pass_rows, small_batches, text_of
+from .common import id_of, key_of, pass_rows, prepare, text_of
 from .tokens import END, default_path, encoder, in_parts
 
 _ROWS = "part int, key long, local_start long, n_tokens long, tokens array<int>"
@@ -64,7 +64,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end:
 
     Only the counts of the file parts reach the driver."""
     spark = docs.sparkSession
-    small_batches(spark)
+    prepare(spark)
     rows = pass_rows(docs, {"key": key_of(), "text": text_of()}).repartitionByRange("key").sortWithinPartitions("key")
     coded = rows.mapInArrow(_encode_part(vocabulary or default_path(), end), _ROWS)
     data = coded.select("part", id_of(F.col("key")).alias("doc_id"), "local_start", "n_tokens", "tokens")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, pass_rows, small_batches, stage, text_of
+from .common import crc_of_id, pass_rows, prepare, stage, text_of
 
 #: Labelled rows that the lexicon and the weights are fitted on, at most: those first in the order of a hash of the id.
 SAMPLE = 30_000
@@ -190,7 +190,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
 
     Null and empty texts have no clause and get the score of a text without matches. Labels of unknown documents, null
     labels and null ids are no labels; without labels of both kinds the seed words and default weights are used."""
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample))
     rows = pass_rows(docs, {"doc_id": F.col("doc_id").cast("long"), "text": text_of()})
     scored = rows.mapInArrow(_score_rows(model), "doc_id long, score double, clauses double")
@@ -199,7 +199,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
 
 def reject(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, all columns kept; scored where they lie, without moving texts."""
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample))
     at = docs.columns.index("text")
 

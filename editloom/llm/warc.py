@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pass_rows
+from .common import pass_rows, prepare
 
 CRLF = "\r\n"
 #: Date of records whose source has none, and records of one file.
@@ -121,6 +121,7 @@ def _parse_files(batches):
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """(headers, block) of all records of the WARC files in a folder."""
+    prepare(spark)
     files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInArrow(_parse_files, _FIELDS)
 
