@@ -252,9 +252,16 @@ def join_8(spark, sf):
     return ds.terminal_design_primers(d, m).select(*_PAIR_COLS)
 
 
+@query("join_8_outside_arm_pairs_n")
+def join_8n(spark, sf):
+    m, d = one(spark, sf, "nt")
+    return ds.terminal_design_primers(d, m).select(*_PAIR_COLS)
+
+
 @query("join_8_outside_arm_pairs_90")
 def join_8b(spark, sf):
-    m, d = one(spark, sf, "nt")
+    """With the candidate limit of one interactive design."""
+    m, d = one(spark, sf, "ct")
     return ds.terminal_design_primers(d, m, per_side=pr.OUTSIDE_LIMIT).select(*_PAIR_COLS)
 
 
@@ -319,7 +326,7 @@ def set_1b(spark, sf):
 
 @query("snk_2_vendor_tables")
 def snk_2(spark, sf):
-    items = union_of(spark, sf, lambda m, d: od.order_items(d), ("pm", "ko"))
+    items = union_of(spark, sf, lambda m, d: od.order_items(d))
     v = od.vendor_tables(items, {"crispr_scale": "2nmol", "oligo_scale": "25nm", "oligo_purification": "STD", "hdr_scale": "4nmUltramer", "hdr_modification": "none"})
     rows = [v[k].select(F.lit(k).alias("table"), "Name", "Sequence", "Scale") for k in v]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])

@@ -136,8 +136,14 @@ def screen_targets(df: DataFrame, left: str = "left_cut", right: str = "right_cu
     return _as_target(df, "screen", limits, F.least(f_lo, want_f), F.greatest(r_hi + _LMAX, fb_end))
 
 
-def primer_candidates(targets: Targets) -> DataFrame:
-    """All single primers that pass the quality limits: target_id, t, bases, side, c (candidate)."""
+WHOLE = "whole"
+
+
+def primer_candidates(targets: Targets, with_targets: bool = False) -> DataFrame:
+    """All single primers that pass the quality limits: target_id, side, c (candidate).
+
+    Candidate rows hold the oligo and a few numbers only. ``with_targets`` adds one row per target (side WHOLE) that
+    carries t, bases and bases_start, so that the fold by target needs neither wide candidate rows nor a join."""
     outside = targets.mode == "outside"
 
     # Each side gets its own stretch of bases, so a substring never has to walk over the whole amplicon.
@@ -145,39 +151,45 @@ def primer_candidates(targets: Targets) -> DataFrame:
         first = F.greatest(F.lit(0).cast("bigint"), F.col("bases_start"), lo)
         piece = F.substring("bases", (first - F.col("bases_start")).cast("int") + 1, (hi - first).cast("int") + _LMAX)
         return F.struct(F.lit(name).alias("side"), lo.alias("lo"), hi.alias("hi"), first.alias("piece_start"),
-                        piece.alias("piece"))
+                        piece.alias("piece"), F.lit(None).cast(wide).alias("g"))
 
-    sides = F.array(side_of("f", F.col("t.f_lo"), F.col("t.f_hi")), side_of("r", F.col("t.r_lo"), F.col("t.r_hi")))
     kept = F.lit(None).cast("string") if targets.mode == "screen" else F.col("bases")
-    df = targets.df.select("target_id", "t", kept.alias("amplicon_bases"), "bases_start", F.inline(sides))
+    whole = F.struct("t", kept.alias("bases"), "bases_start")
+    wide = targets.df.select(whole.alias("g")).schema["g"].dataType
+    zero = F.lit(0).cast("bigint")
+    sides = [side_of("f", F.col("t.f_lo"), F.col("t.f_hi")), side_of("r", F.col("t.r_lo"), F.col("t.r_hi"))]
+    if with_targets:
+        sides.append(F.struct(F.lit(WHOLE).alias("side"), zero.alias("lo"), zero.alias("hi"), zero.alias("piece_start"),
+                              F.lit("").alias("piece"), whole.alias("g")))
+    df = targets.df.select("target_id", F.col("t.n").alias("n"), F.col("t.a").alias("a"), F.col("t.b").alias("b"), F.inline(F.array(*sides)))
     df = df.where("hi >= lo")
     df = df.select("*", F.explode(F.sequence("lo", "hi")).alias("start"))
-    df = df.select("*", F.explode(F.sequence(F.lit(_LMIN), F.lit(_LMAX))).alias("len"))
+    own = F.col("side") == WHOLE
+    df = df.select("*", F.explode(F.when(own, F.array(F.lit(_LMIN))).otherwise(F.sequence(F.lit(_LMIN), F.lit(_LMAX)))).alias("len"))
     end = F.col("start") + F.col("len")
-    fits = (F.col("start") >= 0) & (end <= F.col("t.n"))
+    fits = (F.col("start") >= 0) & (end <= F.col("n"))
     if outside:
-        fits = fits & ((F.col("side") == "r") | (end <= F.col("t.a")))
-    df = df.where(fits)
+        fits = fits & ((F.col("side") == "r") | (end <= F.col("a")))
+    df = df.where(own | fits)
     cut = F.substring("piece", (F.col("start") - F.col("piece_start")).cast("int") + 1, F.col("len"))
     cut = F.when(F.col("side") == "r", F.translate(F.reverse(cut), "ACGT", "TGCA")).otherwise(cut)
-    df = barrier(df, {"p": cut})
-    df = df.drop("lo", "hi", "piece", "piece_start")
+    df = barrier(df.drop("lo", "hi"), {"p": cut}).drop("piece", "piece_start")
     p = F.col("p")
     gc = sq.gc_percent(p)
     # Cheap tests first, in generated code; the rest in one Arrow pass.
-    df = df.where((F.length("p") == F.col("len")) & ~F.contains(p, F.lit("N")) & ~sq.has_homopolymer(p)
-                  & (gc >= fx.PRIMER_GC_MIN) & (gc <= fx.PRIMER_GC_MAX))
+    df = df.where(own | ((F.length("p") == F.col("len")) & ~F.contains(p, F.lit("N")) & ~sq.has_homopolymer(p)
+                         & (gc >= fx.PRIMER_GC_MIN) & (gc <= fx.PRIMER_GC_MAX)))
     df = df.withColumn("q", oligo_quality(p))
     q = F.col("q")
-    df = df.where((q["tm"] >= fx.PRIMER_TM_MIN) & (q["tm"] <= fx.PRIMER_TM_MAX) & (q["self_three"] < 4)
-                  & (q["hairpin"] < 6) & (q["penalty"] <= 22))
+    df = df.where(own | ((q["tm"] >= fx.PRIMER_TM_MIN) & (q["tm"] <= fx.PRIMER_TM_MAX) & (q["self_three"] < 4)
+                         & (q["hairpin"] < 6) & (q["penalty"] <= 22)))
     base = -F.abs(q["tm"] - 60) - F.abs(q["gc"] - 50) / 10 + q["clamp"] * 2 - q["penalty"] / 8
     end = F.col("start") + F.col("len")
     placing = F.lit(0.0)
     if outside:
-        flank = F.when(F.col("side") == "f", F.col("t.a") - F.col("start")).otherwise(end - F.col("t.b"))
+        flank = F.when(F.col("side") == "f", F.col("a") - F.col("start")).otherwise(end - F.col("b"))
         placing = (F.abs(flank - OUTSIDE_FLANK) + F.abs(q["tm"] - 60) * 8 + F.abs(q["gc"] - 50) * 2 - q["clamp"] * 4)
-    return df.select("target_id", "t", F.col("amplicon_bases").alias("bases"), "bases_start", "side", F.struct(
+    return df.select("target_id", "g", "side", F.struct(
         placing.alias("placing"), "start", "len", end.alias("end"), (-base).alias("cost"), "p", q["gc"].alias("gc"),
         q["tm"].alias("tm"), q["clamp"].alias("clamp"), q["penalty"].alias("pen")).alias("c"))
 
@@ -240,11 +252,11 @@ def ranked_pairs(targets: Targets, top: int = TOP, per_side: int | None = None)
 
     ``per_side`` limits the candidates of each side, those first in search order; by default all take part."""
     mode = targets.mode
-    cands = primer_candidates(targets)
+    cands = primer_candidates(targets, with_targets=True)
     side = lambda s: F.collect_list(F.when(F.col("side") == s, F.col("c")))
     # One packed column per role, so that both uses of the folded rows read the same shuffle.
     per = cands.groupBy("target_id").agg(
-        F.first(F.struct("t", "bases", "bases_start")).alias("g"), side("f").alias("f_all"), side("r").alias("r_all"))
+        F.first("g", ignorenulls=True).alias("g"), side("f").alias("f_all"), side("r").alias("r_all"))
     # array_sort orders by placing (outside mode only), then start and length: the search order.
     limit = lambda a: a if per_side is None else F.slice(a, 1, per_side)
     number = lambda a: F.transform(a, lambda c, i: F.struct(c["cost"].alias("cost"), i.alias("i"), c.alias("c")))
