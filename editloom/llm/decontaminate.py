@@ -1,8 +1,8 @@
 """Benchmark decontamination: rare word n-grams join passages to test items, Smith-Waterman alignment scores the pairs.
 
 Of each item's n-grams, those whose words make them rare are its seeds. A bit map over all seeds, of bounded size, picks
-the stretches of each document that may hold one. Their n-grams are joined with the seeds by hash, where the seeds that
-are most common in the corpus propose no pair. Every stretch that shares a seed with an item is aligned with it, word by word, so edited and paraphrased copies score too."""
+the stretches of each document that may hold one. Their n-grams, not their texts, are joined with the seeds by hash, where
+the seeds that are most common in the corpus propose no pair. Every stretch that shares a seed with an item is aligned with it, word by word, so edited and paraphrased copies score too."""
 
 from __future__ import annotations
 
@@ -16,7 +16,7 @@ from .common import WORD, gram_hashes, hash_words, id_of, key_of, pass_rows, pre
 #: Words of a seed; probability of its words in a row (by their shares in the items) up to which it is rare; share of an
 #: item's seeds (the rarest ones of the corpus) that propose pairs; and the least number of seeds kept in both choices.
 SEED_WORDS = 4
-RARE = 1e-8
+RARE = 1e-11
 SEED_SHARE = 0.6
 LEAST_SEEDS = 12
 #: Words between hits of one stretch at most, and words added on both sides of it.
@@ -26,6 +26,8 @@ MATCH, MISMATCH, GAP_COST = 2.0, -1.0, 1.0
 THRESHOLD = 0.5
 #: Bits of the map: sixteen for each n-gram, up to this bound; beyond it the map lets more stretches through.
 MAP_BITS = 1 << 27
+#: Documents with a shared seed whose lists of stretches may be broadcast to find their texts; more are joined by shuffle.
+BROADCAST_DOCUMENTS = 100_000
 
 
 def _bits(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -95,7 +97,7 @@ def stretches(at: np.ndarray, words: int) -> list[tuple[int, int, int, int]]:
     return [(max(0, int(at[a]) - PAD), min(words, int(at[b - 1]) + SEED_WORDS + PAD), int(a), int(b)) for a, b in zip(lows, highs)]
 
 
-def _passages(bits_of):
+def _hits(bits_of):
     def run(batches):
         bits, known = bits_of.value, {}
         for batch in batches:
@@ -108,12 +110,23 @@ def _passages(bits_of):
                 at = np.flatnonzero(bits[_bits(grams, len(bits))])
                 if len(at):
                     for low, high, a, b in stretches(at, len(words)):
-                        out.append((key, low, words[low:high], np.unique(grams[at[a:b]]).view(np.int64)))
-            yield pa.record_batch({"key": pa.array([o[0] for o in out], pa.int64()), "at": pa.array([o[1] for o in out], pa.int32()),
-                                   "passage": pa.array([o[2] for o in out], pa.list_(pa.string())), "grams": pa.array([o[3] for o in out], pa.list_(pa.int64()))})
+                        out.append((key, low, high, np.unique(grams[at[a:b]]).view(np.int64)))
+            yield pa.record_batch({"key": pa.array([o[0] for o in out], pa.int64()), "low": pa.array([o[1] for o in out], pa.int32()),
+                                   "high": pa.array([o[2] for o in out], pa.int32()), "grams": pa.array([o[3] for o in out], pa.list_(pa.int64()))})
     return run
 
 
+def _cut(batches):
+    """The words of the stretches that a document shares with items."""
+    for batch in batches:
+        out = []
+        for key, text, wanted in zip(batch["key"].to_pylist(), batch["text"].to_pylist(), batch["wanted"].to_pylist()):
+            words = WORD.findall(text.lower())
+            out.extend((key, w["item_id"], w["low"], words[w["low"]:w["high"]]) for w in wanted)
+        yield pa.record_batch({"key": pa.array([o[0] for o in out], pa.int64()), "item_id": pa.array([o[1] for o in out], pa.int64()),
+                               "at": pa.array([o[2] for o in out], pa.int32()), "passage": pa.array([o[3] for o in out], pa.list_(pa.string()))})
+
+
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int]:
     """Best local alignment score of two word sequences (as numbers), and where it ends in the passage."""
     steps = np.arange(len(passage) + 1, dtype=float) * GAP_COST
@@ -149,16 +162,19 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD)
     seeds = items.select("item_id", F.explode("grams").alias("gram"))
     bits = spark.sparkContext.broadcast(bit_map(seeds))
     texts = pass_rows(docs, {"key": key_of(), "text": text_of()})
-    found = stage(texts.mapInArrow(_passages(bits), "key long, at int, passage array<string>, grams array<long>"), "benchmark-passages")
-    hits = found.select("key", "at", F.explode("grams").alias("gram"))
+    found = stage(texts.mapInArrow(_hits(bits), "key long, low int, high int, grams array<long>"), "benchmark-hits")
+    hits = found.select("key", "low", "high", F.explode("grams").alias("gram"))
     held = hits.groupBy("gram").agg(F.count("*").alias("df"))
     frequent = seeds.join(held, "gram")  # grams that no document holds propose nothing
     ranked = frequent.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("all"))
     size = F.greatest(F.lit(LEAST_SEEDS), F.ceil(F.size("all") * SEED_SHARE)).cast("int")
     last = F.get("all", F.least(size, F.size("all")) - 1)["df"]
     rare = ranked.select("item_id", F.explode(F.filter("all", lambda s: s["df"] <= last)).alias("s")).select("item_id", F.col("s.gram").alias("gram"))
-    pairs = hits.join(rare, "gram").select("key", "at", "item_id").distinct()
-    both = pairs.join(found.select("key", "at", "passage"), ["key", "at"]).join(items.select("item_id", "words"), "item_id")
+    pairs = hits.join(rare, "gram").select("key", "low", "high", "item_id").distinct()
+    wanted = stage(pairs.groupBy("key").agg(F.collect_list(F.struct("low", "high", "item_id")).alias("wanted")), "benchmark-pairs")
+    small = wanted.limit(BROADCAST_DOCUMENTS + 1).count() <= BROADCAST_DOCUMENTS
+    passages = texts.join(F.broadcast(wanted) if small else wanted, "key").mapInArrow(_cut, "key long, item_id long, at int, passage array<string>")
+    both = passages.join(items.select("item_id", "words"), "item_id")
     scored = both.select("key", "at", "item_id", "words", "passage").mapInArrow(_scores, "key long, item_id long, score double, end int, at int")
     best = scored.where(F.col("score") >= threshold).groupBy("key", "item_id").agg(F.max(F.struct("score", "at", "end")).alias("best"))
     return best.select("key", "item_id", F.col("best.score").alias("score"), (F.col("best.at") + F.col("best.end")).alias("end_word"))

@@ -37,9 +37,8 @@ FOUND = 0.7
 #: Largest bucket for brute force on the tokens, and splits of one path; what is still large then is compared exactly.
 LEAF = 256
 DEPTH = 5
-#: Mean share of equal tokens from which a bucket is not split any more, measured on the last tokens of the embedding.
+#: Mean share of tokens in common with a bucket's first set from which the bucket is not split any more.
 DENSE = 0.6
-PROBES = 8
 #: Sets, and shingles, of one block in the exact comparison.
 BLOCK_SETS = 200
 BLOCK_SHINGLES = 200_000
@@ -121,11 +120,11 @@ def _children(batches):
             yield pa.record_batch({"path": pa.array(child.view(np.int64)), "sid": pa.array(sid)})
 
 
-def _probe(batches):
+def _likeness(batches):
+    """Share of tokens that each set of a bucket has in common with the bucket's first set."""
     for batch in batches:
-        tokens, path = _tokens_of(batch), batch["path"]
-        for k in range(TOKENS - PROBES, TOKENS):
-            yield pa.record_batch({"path": path, "probe": pa.array(np.full(len(path), k, np.int32)), "value": pa.array(tokens[:, k].astype(np.int64))})
+        other = np.frombuffer(b"".join(batch["first"].to_pylist()), np.uint32).reshape(batch.num_rows, TOKENS)
+        yield pa.record_batch({"path": batch["path"], "share": pa.array((_tokens_of(batch) == other).mean(axis=1))})
 
 
 def _forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -190,10 +189,9 @@ def candidate_edges(sets: DataFrame, runs: int) -> DataFrame:
             rows = None
         else:
             held = stage(large.join(tokens, "sid"), "join-large")
-            probes = held.select("path", "tokens").mapInArrow(_probe, "path long, probe int, value long").groupBy("path", "probe", "value").count()
-            pairs = F.sum(F.col("count") * (F.col("count") - 1)) / PROBES
-            alike = probes.groupBy("path").agg(pairs.alias("alike"), (F.sum("count") / PROBES).alias("size"))
-            dense = alike.select("path", (F.col("alike") >= DENSE * F.col("size") * (F.col("size") - 1)).alias("dense"))
+            firsts = held.where("sid = low").select("path", F.col("tokens").alias("first"))
+            shares = held.join(firsts, "path").select("path", "tokens", "first").mapInArrow(_likeness, "path long, share double")
+            dense = shares.groupBy("path").agg((F.avg("share") >= DENSE).alias("dense"))
             marked = stage(held.join(dense, "path"), "join-marked")
             found.append(marked.where("dense").select(F.col("sid").alias("a"), F.col("low").alias("b")))
             rows = stage(marked.where("not dense").select("path", "sid", "tokens").mapInArrow(_children, "path long, sid long"), "join-paths")
