@@ -83,7 +83,7 @@ def spans(seq, starts, reverse):
         for n in range(18, 27):
             if 0 <= a and a + n <= len(seq):
                 s = seq[a:a + n]
-                q = usable(rc(s) if reverse else s)
+                q = None if "N" in s else usable(rc(s) if reverse else s)
                 if q:
                     out[a, a + n] = q
     return out
@@ -122,6 +122,33 @@ def screen(seq, lc, rc_, flank=250):
     return out
 
 
+def crossed(seq, f_starts, r_starts, low, high, wanted, extra):
+    """All pairs of forward and reverse starts whose reach lies within bounds."""
+    out = []
+    for (a, b), x in spans(seq, f_starts, False).items():
+        for (c, d), y in spans(seq, r_starts, True).items():
+            if low <= d - a <= high and abs(x["tm"] - y["tm"]) <= 5 and rc(x["s"][-4:]) != y["s"][-4:]:
+                out.append((pair(x, y, d - a, wanted, extra(a, d)), a, b - a, c, d - c))
+    return out
+
+
+def flanking(seq, a, b):
+    n = len(seq)
+    return crossed(seq, range(max(0, a - 500), max(0, a - 80)), range(min(n, b + 80), min(n, b + 460)), 450, 500, 475, lambda s, e: 0)
+
+
+def outside(seq, a, b):
+    n = len(seq)
+    left, right = max(0, min(a, n)), max(max(0, min(a, n)), min(n, b))
+    if left < 18 or n - right < 18:
+        return []
+    low = max(right - left + 36, right - left + 48)
+    f_starts = [s for s in range(max(0, left - 650), left - 17)]
+    pairs = crossed(seq, f_starts, range(right, min(n - 18, right + 650) + 1), low, max(low, right - left + 1300 + 52), max(low, right - left + 240),
+                    lambda s, e: (abs(left - s - 120) + abs(e - right - 120)) / 25)
+    return [x for x in pairs if x[1] + x[2] <= left]
+
+
 def best(rows, order):
     rows = sorted((x for x in rows if x[0] is not None), key=order)[:5]
     return [x[0] for x in rows]
@@ -143,6 +170,34 @@ def test_centred_pairs(seqs, center, offset):
         assert [x.score for x in sorted((g for g in got if g.target_id == key), key=lambda g: g.rank)] == want
 
 
+@pytest.fixture(scope="module")
+def short_flanks(spark):
+    rnd = random.Random(11)
+    text = lambda n: "".join(rnd.choice("ACGT") for _ in range(n))
+    rows = [(1, text(560)), (2, text(150) + "N" * 30 + text(380)), (3, text(500))]
+    return rows, spark.createDataFrame(rows, "target_id bigint, seq string")
+
+
+@pytest.mark.parametrize("start,end", [(180, 230), (90, 400), (470, 490)])
+def test_flanking_pairs(short_flanks, start, end):
+    rows, df = short_flanks
+    t = df.withColumns({"anchor_start": F.lit(start).cast("bigint"), "anchor_end": F.lit(end).cast("bigint")})
+    got = pr.ranked_pairs(pr.flanking_targets(t)).collect()
+    for key, seq in rows:
+        want = best(flanking(seq, start, end), lambda x: (-x[0], x[1], x[2], x[3], x[4]))
+        assert [x.score for x in sorted((g for g in got if g.target_id == key), key=lambda g: g.rank)] == want
+
+
+@pytest.mark.parametrize("start,end", [(170, 380), (40, 520), (10, 300)])
+def test_outside_pairs(short_flanks, start, end):
+    rows, df = short_flanks
+    t = df.withColumns({"arm_start": F.lit(start).cast("bigint"), "arm_end": F.lit(end).cast("bigint")})
+    got = pr.ranked_pairs(pr.outside_targets(t)).collect()
+    for key, seq in rows:
+        want = best(outside(seq, start, end), lambda x: -x[0])
+        assert [x.score for x in sorted((g for g in got if g.target_id == key), key=lambda g: g.rank)] == want
+
+
 def test_screen_pairs(seqs):
     rows, df = seqs
     t = df.withColumns({"left_cut": F.lit(200).cast("bigint"), "right_cut": F.lit(330).cast("bigint")})
