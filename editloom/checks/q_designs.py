@@ -339,7 +339,8 @@ def snk_5(spark, sf):
 
 @query("qc_1_review_items")
 def qc_1(spark, sf):
-    return union_of(spark, sf, lambda m, d: rv.review_items(d))
+    segments = dims.segment_table(spark)
+    return union_of(spark, sf, lambda m, d: rv.review_items(d, _reporters(spark, d) if "made_insert" in d.columns else None, segments))
 
 
 def _reporters(spark, d):
@@ -383,7 +384,7 @@ def _windows(spark, sf, kind):
     m, d = finished(spark, sf, kind)
     d = d.where("err is null")
     have = [c for c in ("seq_len",) if c in d.columns]
-    return rv.locus_window(d.drop(*have).join(m.select("seq_id", "seq_len", "exons", "seq"), "seq_id"))
+    return rv.locus_window(d.drop(*have, "segs").join(m.select("seq_id", "seq_len", "exons", "segs", "seq"), "seq_id"))
 
 
 @query("gen_11_locus_window", g_sql("""SELECT seq_id AS request_id, greatest(0, c - 260) AS win_start, least(2016, greatest(0, c - 260) + 520) AS win_end FROM (SELECT seq_id, CAST(floor((l_cut + r_cut) / 2.0 + 0.5) AS BIGINT) AS c FROM bs WHERE seq_id % 5 = 0)""", SITES + PAIRS))
