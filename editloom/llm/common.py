@@ -83,7 +83,7 @@ def connected(edges: DataFrame, name: str = "components", rounds: int = 50) -> D
 _SHIPPED: set[str] = set()
 
 
-def prepare(spark: SparkSession, rows: int = 1000) -> None:
+def prepare(spark: SparkSession, rows: int = 250) -> None:
     """Before a step in Python: fewer rows per Arrow batch than by default, as one row here is a whole text.
 
     In a local session the workers also get this package; on a cluster it is installed, or sent with --py-files."""
@@ -107,7 +107,7 @@ def without(docs: DataFrame, drop: DataFrame) -> DataFrame:
 
 def hash_words(words: list[str], known: dict[str, int]) -> np.ndarray:
     """64-bit hashes of words; ``known`` keeps those met before and is emptied when it grows large."""
-    if len(known) > 1_000_000:
+    if len(known) > 250_000:
         known.clear()
     try:
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))

@@ -15,8 +15,8 @@ VOCABULARY = "word_bpe_49k.json"
 #: Id that ends each document.
 END = 1
 #: Distinct chunks, and distinct pieces of them, that a worker keeps before it starts anew.
-KEPT_CHUNKS = 600_000
-KEPT_PIECES = 1_000_000
+KEPT_CHUNKS = 300_000
+KEPT_PIECES = 450_000
 
 # Bytes of a plain word: ASCII letters, and the lead byte of À to ÿ with its second bytes, but for those of × and ÷.
 # Their lower case is one letter, and no composition changes them.
