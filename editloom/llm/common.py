@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import re
+import sys
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -105,6 +109,24 @@ def without(docs: DataFrame, drop: DataFrame) -> DataFrame:
     return docs.withColumn(mark, key_of()).join(F.broadcast(keys) if small else keys, mark, "left_anti").select(*docs.columns)
 
 
+def tidy() -> None:
+    """Give freed memory of this worker back to the system, as the next task may need it elsewhere."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidied(step):
+    """A batch function that tidies up when its task ends."""
+    def run(batches):
+        try:
+            yield from step(batches)
+        finally:
+            tidy()
+    return run
+
+
 def hash_words(words: list[str], known: dict[str, int]) -> np.ndarray:
     """64-bit hashes of words; ``known`` keeps those met before and is emptied when it grows large."""
     if len(known) > 250_000:

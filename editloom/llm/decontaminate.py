@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, gram_hashes, hash_words, id_of, key_of, pass_rows, prepare, stage, text_of
+from .common import WORD, gram_hashes, hash_words, id_of, key_of, pass_rows, prepare, stage, text_of, tidied
 
 #: Words of a seed; probability of its words in a row (by their shares in the items) up to which it is rare; share of an
 #: item's seeds (the rarest ones of the corpus) that propose pairs; and the least number of seeds kept in both choices.
@@ -162,7 +162,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD)
     seeds = items.select("item_id", F.explode("grams").alias("gram"))
     bits = spark.sparkContext.broadcast(bit_map(seeds))
     texts = pass_rows(docs, {"key": key_of(), "text": text_of()})
-    found = stage(texts.mapInArrow(_hits(bits), "key long, low int, high int, grams array<long>"), "benchmark-hits")
+    found = stage(texts.mapInArrow(tidied(_hits(bits)), "key long, low int, high int, grams array<long>"), "benchmark-hits")
     hits = found.select("key", "low", "high", F.explode("grams").alias("gram"))
     held = hits.groupBy("gram").agg(F.count("*").alias("df"))
     frequent = seeds.join(held, "gram")  # grams that no document holds propose nothing

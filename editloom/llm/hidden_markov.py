@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, mix, pass_rows, prepare, stage, text_of
+from .common import crc_of_id, mix, pass_rows, prepare, stage, text_of, tidied
 
 #: Words that are symbols of their own, classes of the other words, latent states.
 FREQUENT = 50_000
@@ -66,7 +66,7 @@ def _count(batches):
 
 def word_counts(training: DataFrame) -> DataFrame:
     """(word, c) over all training texts; the end of a text is the empty word."""
-    return training.select("text").mapInArrow(_count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return training.select("text").mapInArrow(tidied(_count), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def _class_rows(batches):
@@ -271,7 +271,7 @@ def _expect(shared):
 def baum_welch(symbols: DataFrame, model: Model, unigram: np.ndarray) -> Model:
     """One round over all training texts; the summed counts, of the size of the model, reach the driver."""
     shared = symbols.sparkSession.sparkContext.broadcast(model)
-    rows = symbols.select("symbols").mapInArrow(_expect(shared), f"symbol long, {_SUMS}")
+    rows = symbols.select("symbols").mapInArrow(tidied(_expect(shared)), f"symbol long, {_SUMS}")
     table = rows.groupBy("symbol").agg(*[F.sum(f"k{i}").alias(f"k{i}") for i in range(STATES)]).toArrow()
     at = table["symbol"].to_numpy()
     values = np.column_stack([table[f"k{i}"].to_numpy() for i in range(STATES)]) if len(at) else np.zeros((0, STATES))
@@ -323,7 +323,7 @@ def score(docs: DataFrame, held_out: Column | None = None, rounds: int = ROUNDS,
     counts = stage(word_counts(rows.where("not held_out")), "model-counts")
     own = vocabulary(counts, frequent)
     shared = spark.sparkContext.broadcast(own)
-    coded = rows.mapInArrow(_symbol_rows(shared), "doc_id long, held_out boolean, n_tokens long, base double, known long, symbols binary, "
+    coded = rows.mapInArrow(tidied(_symbol_rows(shared)), "doc_id long, held_out boolean, n_tokens long, base double, known long, symbols binary, "
                                                  "rare array<struct<word: binary, n: int, class: int>>")
     coded = stage(coded.withColumn("uid", F.monotonically_increasing_id()), "model-symbols")
     model = train(coded.where("not held_out"), own.unigram(), rounds)
@@ -335,7 +335,7 @@ def score(docs: DataFrame, held_out: Column | None = None, rounds: int = ROUNDS,
     log, n = F.log10(F.coalesce("c", F.lit(0)) + ADDED), F.col("n")
     rare = found.groupBy("uid").agg(F.sum(n * (log - whole)).alias("base_rare"), F.sum(F.when(F.col("c") > 0, n).otherwise(0)).alias("known_rare"),
                                     F.sum(n * (log - F.get(F.lit(inside.tolist()), F.col("class")))).alias("inside"))
-    scored = coded.mapInArrow(_forward(spark.sparkContext.broadcast(model)), "uid long, doc_id long, held_out boolean, n_tokens long, base double, known long, forward double")
+    scored = coded.mapInArrow(tidied(_forward(spark.sparkContext.broadcast(model))), "uid long, doc_id long, held_out boolean, n_tokens long, base double, known long, forward double")
     none = F.lit(0.0)
     return scored.join(rare, "uid", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("known_rare", F.lit(0))).alias("n_known"), F.lit(own.total).cast("long").alias("train_tokens"),

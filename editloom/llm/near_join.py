@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, connected, gram_hashes, hash_words, id_of, key_of, mix, pass_rows, prepare, stage, text_of
+from .common import WORD, connected, gram_hashes, hash_words, id_of, key_of, mix, pass_rows, prepare, stage, text_of, tidied
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -272,11 +272,11 @@ def exact_links(docs: DataFrame, sets: DataFrame, groups: DataFrame, n: int = SH
     small = placed.limit(BROADCAST_MEMBERS + 1).count() <= BROADCAST_MEMBERS
     texts = pass_rows(docs, {"sid": key_of(), "text": text_of()}).join(F.broadcast(placed) if small else placed, "sid")
     grams = texts.select("sid", "root", "hash", "copies", "blocks", "block", "text").mapInArrow(
-        _grams(n), "sid long, root long, block int, blocks int, copies long, grams binary")
+        tidied(_grams(n)), "sid long, root long, block int, blocks int, copies long, grams binary")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     pieces = grams.select("*", other.alias("other")).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
     work = pieces.groupBy("root", "i", "j").agg(F.collect_list(F.struct("sid", "block", "copies", "grams")).alias("members"))
-    return work.select((F.col("i") == F.col("j")).alias("single"), "members").mapInArrow(_exact(threshold), "sid long, links long, low long")
+    return work.select((F.col("i") == F.col("j")).alias("single"), "members").mapInArrow(tidied(_exact(threshold)), "sid long, links long, low long")
 
 
 def near_duplicates(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -286,7 +286,7 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESH
     n words are one shingle of all their words; those without words (null and empty texts too) are linked with nothing.
     Rows that repeat a doc_id with equal words are copies; with other words, they are documents of the same key."""
     prepare(docs.sparkSession)
-    sketches = stage(pass_rows(docs, {"key": key_of(), "text": text_of()}).mapInArrow(_sketch(n), "key long, n int, hash binary, tokens binary"), "join-sketches")
+    sketches = stage(pass_rows(docs, {"key": key_of(), "text": text_of()}).mapInArrow(tidied(_sketch(n)), "key long, n int, hash binary, tokens binary"), "join-sketches")
     sets = stage(distinct_sets(sketches), "join-sets")
     groups = connected(candidate_edges(sets, runs_for(recall)), "join-groups")
     links = stage(exact_links(docs, sets, groups, n, threshold), "join-links")

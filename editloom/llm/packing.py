@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_of, key_of, pass_rows, prepare, stage, text_of
-from .tokens import END, default_path, encoder, in_parts
+from .common import id_of, key_of, pass_rows, prepare, stage, text_of, tidied, tidy
+from .tokens import END, default_path, encoder, in_parts, release
 
 WINDOW = 2048
 #: Documents whose leftovers one shard of the index holds.
@@ -49,7 +49,7 @@ def _encode(path: str, end: int):
 def encode_rows(docs: DataFrame, vocabulary: str | None = None, end: int = END) -> DataFrame:
     """(key, n, ids): little-endian unsigned 32-bit ids of each whole text and the end id."""
     prepare(docs.sparkSession)
-    return pass_rows(docs, {"key": key_of(), "text": text_of()}).mapInArrow(_encode(vocabulary or default_path(), end), "key long, n long, ids binary")
+    return pass_rows(docs, {"key": key_of(), "text": text_of()}).mapInArrow(tidied(_encode(vocabulary or default_path(), end)), "key long, n long, ids binary")
 
 
 def _left(ids: bytes, window: int) -> np.ndarray:
@@ -60,6 +60,8 @@ def _left(ids: bytes, window: int) -> np.ndarray:
 
 def _count_terms(window: int):
     def run(batches):
+        release()
+        tidy()
         counts = np.zeros(0, np.int64)
         documents = length = 0
         for batch in batches:
@@ -247,9 +249,9 @@ def pack(docs: DataFrame, window: int = WINDOW, shard: int = SHARD, vocabulary:
     spark = docs.sparkSession
     coded = stage(encode_rows(docs, vocabulary, end), "packing-ids")
     statistics = spark.sparkContext.broadcast(term_statistics(coded, window))
-    parts = coded.mapInArrow(_split(window, statistics), _SPLIT)
+    parts = coded.mapInArrow(tidied(_split(window, statistics)), _SPLIT)
     whole = parts.where("kind = 0").select("key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", F.lit(0).cast("long").alias("offset"))
     left = parts.where("kind = 1").select("lead", "salt", "key", "start", "doc_tokens", "ids")
     dealt = left.repartition("lead", "salt").sortWithinPartitions("lead", "salt", "key", "start").select("key", "start", "doc_tokens", "ids")
-    packed = dealt.mapInArrow(_pack(window, shard, statistics), _PIECES)
+    packed = dealt.mapInArrow(tidied(_pack(window, shard, statistics)), _PIECES)
     return whole.unionByName(packed).select(id_of(F.col("key")).alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

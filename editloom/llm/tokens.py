@@ -90,6 +90,13 @@ class Encoder:
         return [b"".join(map(get, c)) for c in chunks]
 
 
+def release() -> None:
+    """Drop what this worker's encoders keep; steps that follow the encoding call it."""
+    for held in _ENCODERS.values():
+        held.chunks.clear()
+        held.pieces.clear()
+
+
 _ENCODERS: dict[str, Encoder] = {}
 _LOCK = threading.Lock()
 

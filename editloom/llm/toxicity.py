@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, pass_rows, prepare, stage, text_of
+from .common import crc_of_id, pass_rows, prepare, stage, text_of, tidied
 
 #: Labelled rows that the lexicon and the weights are fitted on, at most: those first in the order of a hash of the id.
 SAMPLE = 30_000
@@ -193,7 +193,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     prepare(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample))
     rows = pass_rows(docs, {"doc_id": F.col("doc_id").cast("long"), "text": text_of()})
-    scored = rows.mapInArrow(_score_rows(model), "doc_id long, score double, clauses double")
+    scored = rows.mapInArrow(tidied(_score_rows(model)), "doc_id long, score double, clauses double")
     return scored.select("doc_id", (crc_of_id() % 4 == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
@@ -211,4 +211,4 @@ def reject(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFram
             x = np.array([features(t or "", words, triggers) for t in batch.column(at).to_pylist()], float).reshape(-1, 3)
             p = 1 / (1 + np.exp(-np.clip(weights[0] + x @ weights[1:], -30, 30)))
             yield batch.filter(pa.array(p < THRESHOLD))
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
