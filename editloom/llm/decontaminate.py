@@ -1,8 +1,8 @@
 """Benchmark decontamination: rare word n-grams join passages to test items, Smith-Waterman alignment scores the pairs.
 
 Of each item's n-grams, those whose words make them rare are its seeds. A bit map over all seeds, of bounded size, picks
-the stretches of each document that may hold one. Their n-grams, not their texts, are joined with the seeds by hash, where
-the seeds that are most common in the corpus propose no pair. Every stretch that shares a seed with an item is aligned with it, word by word, so edited and paraphrased copies score too."""
+the stretches of each document that may hold one. Their n-grams, not their texts, are joined with the seeds by hash; a seed
+proposes pairs however many documents hold it. Every stretch that shares a seed with an item is aligned with it, word by word, so edited and paraphrased copies score too."""
 
 from __future__ import annotations
 
@@ -13,11 +13,10 @@ from pyspark.sql import functions as F
 
 from .common import WORD, gram_hashes, hash_words, id_of, key_of, pass_rows, prepare, stage, text_of, tidied
 
-#: Words of a seed; probability of its words in a row (by their shares in the items) up to which it is rare; share of an
-#: item's seeds (the rarest ones of the corpus) that propose pairs; and the least number of seeds kept in both choices.
+#: Words of a seed; probability of its words in a row (by their shares in the items) up to which it is rare; and the least
+#: number of seeds kept.
 SEED_WORDS = 4
 RARE = 1e-11
-SEED_SHARE = 0.6
 LEAST_SEEDS = 12
 #: Words between hits of one stretch at most, and words added on both sides of it.
 GAP, PAD = 48, 40
@@ -26,6 +25,8 @@ MATCH, MISMATCH, GAP_COST = 2.0, -1.0, 1.0
 THRESHOLD = 0.5
 #: Bits of the map: sixteen for each n-gram, up to this bound; beyond it the map lets more stretches through.
 MAP_BITS = 1 << 27
+#: Seeds (16 bytes each) that may be broadcast; more are joined by shuffle.
+BROADCAST_SEEDS = 1_000_000
 #: Documents with a shared seed whose lists of stretches may be broadcast to find their texts; more are joined by shuffle.
 BROADCAST_DOCUMENTS = 100_000
 
@@ -164,13 +165,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD)
     texts = pass_rows(docs, {"key": key_of(), "text": text_of()})
     found = stage(texts.mapInArrow(tidied(_hits(bits)), "key long, low int, high int, grams array<long>"), "benchmark-hits")
     hits = found.select("key", "low", "high", F.explode("grams").alias("gram"))
-    held = hits.groupBy("gram").agg(F.count("*").alias("df"))
-    frequent = seeds.join(held, "gram")  # grams that no document holds propose nothing
-    ranked = frequent.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("all"))
-    size = F.greatest(F.lit(LEAST_SEEDS), F.ceil(F.size("all") * SEED_SHARE)).cast("int")
-    last = F.get("all", F.least(size, F.size("all")) - 1)["df"]
-    rare = ranked.select("item_id", F.explode(F.filter("all", lambda s: s["df"] <= last)).alias("s")).select("item_id", F.col("s.gram").alias("gram"))
-    pairs = hits.join(rare, "gram").select("key", "low", "high", "item_id").distinct()
+    small = seeds.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS  # a seed that very many documents hold is then no hot key
+    pairs = hits.join(F.broadcast(seeds) if small else seeds, "gram").select("key", "low", "high", "item_id").distinct()
     wanted = stage(pairs.groupBy("key").agg(F.collect_list(F.struct("low", "high", "item_id")).alias("wanted")), "benchmark-pairs")
     small = wanted.limit(BROADCAST_DOCUMENTS + 1).count() <= BROADCAST_DOCUMENTS
     passages = texts.join(F.broadcast(wanted) if small else wanted, "key").mapInArrow(_cut, "key long, item_id long, at int, passage array<string>")
