@@ -1,6 +1,6 @@
-"""Benchmark decontamination: rare word n-grams join passages to test items, Smith-Waterman alignment scores the pairs.
+"""Benchmark decontamination: word n-grams join passages to test items, Smith-Waterman alignment scores the pairs.
 
-Of each item's n-grams, those whose words make them rare are its seeds. A bit map over all seeds, of bounded size, picks
+All n-grams of an item are its seeds. A bit map over all seeds, of bounded size, picks
 the stretches of each document that may hold one. Their n-grams, not their texts, are joined with the seeds by hash; a seed
 proposes pairs however many documents hold it. Every stretch that shares a seed with an item is aligned with it, word by word, so edited and paraphrased copies score too."""
 
@@ -13,11 +13,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD, gram_hashes, hash_words, id_of, key_of, pass_rows, prepare, stage, text_of, tidied
 
-#: Words of a seed; probability of its words in a row (by their shares in the items) up to which it is rare; and the least
-#: number of seeds kept.
+#: Words of a seed.
 SEED_WORDS = 4
-RARE = 1e-11
-LEAST_SEEDS = 12
 #: Words between hits of one stretch at most, and words added on both sides of it.
 GAP, PAD = 48, 40
 #: Alignment: match, mismatch, gap; and the share of an item's full score from which a document counts as contaminated.
@@ -35,37 +32,20 @@ def _bits(hashes: np.ndarray, size: int) -> np.ndarray:
     return (hashes & np.uint64(size - 1)).astype(np.int64)
 
 
-def _item_words(batches):
-    for batch in batches:
-        found = [(i, WORD.findall(t.lower())) for i, t in zip(batch["item_id"].to_pylist(), batch["text"].to_pylist())]
-        found = [f for f in found if len(f[1]) >= SEED_WORDS]
-        yield pa.record_batch({"item_id": pa.array([i for i, _ in found], pa.int64()), "words": pa.array([w for _, w in found], pa.list_(pa.string()))})
-
-
-def rare_seeds(grams: np.ndarray, logs: np.ndarray) -> np.ndarray:
-    """The rare ones of an item's n-grams, given the log shares of its words; at least LEAST_SEEDS, the rarest first."""
-    score = np.convolve(logs, np.ones(SEED_WORDS), "valid")
-    rank = np.argsort(np.argsort(score, kind="stable"), kind="stable")
-    return np.unique(grams[(score <= np.log(RARE)) | (rank < LEAST_SEEDS)])
-
-
 def _item_rows(batches):
     known: dict[str, int] = {}
     for batch in batches:
-        words = batch["words"].to_pylist()
-        grams = [rare_seeds(gram_hashes(hash_words(w, known), SEED_WORDS), np.array(x)).view(np.int64) for w, x in zip(words, batch["logs"].to_pylist())]
-        yield pa.record_batch({"item_id": batch["item_id"], "words": batch["words"], "grams": pa.array(grams, pa.list_(pa.int64()))})
+        found = [(i, WORD.findall(t.lower())) for i, t in zip(batch["item_id"].to_pylist(), batch["text"].to_pylist())]
+        found = [f for f in found if len(f[1]) >= SEED_WORDS]
+        grams = [np.unique(gram_hashes(hash_words(w, known), SEED_WORDS)).view(np.int64) for _, w in found]
+        yield pa.record_batch({"item_id": pa.array([i for i, _ in found], pa.int64()), "words": pa.array([w for _, w in found], pa.list_(pa.string())),
+                               "grams": pa.array(grams, pa.list_(pa.int64()))})
 
 
 def item_rows(benchmark: DataFrame) -> DataFrame:
     """(item_id, words, grams) of the items that have SEED_WORDS words or more; equal texts count once, with the smallest id."""
     rows = pass_rows(benchmark, {"item_id": F.col("item_id").cast("long"), "text": text_of()}).groupBy("text").agg(F.min("item_id").alias("item_id"))
-    rows = stage(rows.select("item_id", "text").mapInArrow(_item_words, "item_id long, words array<string>"), "benchmark-words")
-    each = rows.select("item_id", F.posexplode("words").alias("at", "word"))
-    total = each.count()
-    share = each.groupBy("word").agg(F.log(F.count("*") / total).alias("log"))
-    logs = each.join(share, "word").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("at", "log")))["log"].alias("logs"))
-    return rows.join(logs, "item_id").mapInArrow(_item_rows, "item_id long, words array<string>, grams array<long>")
+    return rows.select("item_id", "text").mapInArrow(_item_rows, "item_id long, words array<string>, grams array<long>")
 
 
 def _map_words(size: int):

@@ -25,3 +25,13 @@ def test_verbatim_copy_does_not_hide_an_edited_one(spark):
     edited = ["other" if k % 5 == 4 else w for k, w in enumerate(item)]
     docs = [(1, " ".join(filler(rng, 30) + item)), (2, " ".join(filler(rng, 30) + edited + filler(rng, 30)))]
     assert found(spark, docs, [(7, " ".join(item))]) == {(1, 7): 1.0, (2, 7): 0.7}
+
+
+def test_copy_that_rewords_the_rare_words_is_found(spark):
+    rng = np.random.default_rng(12)
+    items = [rng.choice([f"c{i}" for i in range(20)], 40).tolist() for _ in range(30)]
+    for k in (5, 15, 25):
+        items[0][k] = f"rare{k}"
+    copy = [f"reworded{w}" if w.startswith("rare") else w for w in items[0]]
+    got = found(spark, [(1, " ".join(filler(rng, 30) + copy))], [(i, " ".join(w)) for i, w in enumerate(items)])
+    assert got[1, 0] == (37 * 2 - 3) / 80
