@@ -1,8 +1,10 @@
 """Benchmark decontamination: word n-grams join passages to test items, Smith-Waterman alignment scores the pairs.
 
-All n-grams of an item are its seeds. A bit map over all seeds, of bounded size, picks
-the stretches of each document that may hold one. Their n-grams, not their texts, are joined with the seeds by hash; a seed
-proposes pairs however many documents hold it. Every stretch that shares a seed with an item is aligned with it, word by word, so edited and paraphrased copies score too."""
+All n-grams of an item are its seeds. A bit map over all seeds, of bounded size, picks the places of each document that
+may hold one. These, not the texts, are joined with the seeds by hash; a seed proposes pairs however many documents hold
+it. Around the seeds that a document shares with an item, the item's length and the gaps that the threshold allows decide
+what is aligned with it, word by word, so edited and paraphrased copies score too, and no alignment that holds a seed and
+reaches the threshold is cut."""
 
 from __future__ import annotations
 
@@ -15,17 +17,17 @@ from .common import WORD, gram_hashes, hash_words, id_of, key_of, pass_rows, pre
 
 #: Words of a seed.
 SEED_WORDS = 4
-#: Words between hits of one stretch at most, and words added on both sides of it.
-GAP, PAD = 48, 40
 #: Alignment: match, mismatch, gap; and the share of an item's full score from which a document counts as contaminated.
 MATCH, MISMATCH, GAP_COST = 2.0, -1.0, 1.0
 THRESHOLD = 0.5
-#: Bits of the map: sixteen for each n-gram, up to this bound; beyond it the map lets more stretches through.
-MAP_BITS = 1 << 27
+#: Bits of the map: sixteen for each n-gram, within these bounds; beyond the upper one the map lets more places through.
+LEAST_BITS, MAP_BITS = 1 << 22, 1 << 27
 #: Seeds (16 bytes each) that may be broadcast; more are joined by shuffle.
 BROADCAST_SEEDS = 1_000_000
-#: Documents with a shared seed whose lists of stretches may be broadcast to find their texts; more are joined by shuffle.
-BROADCAST_DOCUMENTS = 100_000
+#: Documents with a shared seed whose lists of places may be broadcast to find their texts, if these have at most so many
+#: places; and words of all items that may be broadcast to their passages. More are joined by shuffle.
+BROADCAST_DOCUMENTS, BROADCAST_PLACES = 100_000, 1_000_000
+BROADCAST_WORDS = 2_000_000
 
 
 def _bits(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -35,17 +37,17 @@ def _bits(hashes: np.ndarray, size: int) -> np.ndarray:
 def _item_rows(batches):
     known: dict[str, int] = {}
     for batch in batches:
-        found = [(i, WORD.findall(t.lower())) for i, t in zip(batch["item_id"].to_pylist(), batch["text"].to_pylist())]
-        found = [f for f in found if len(f[1]) >= SEED_WORDS]
-        grams = [np.unique(gram_hashes(hash_words(w, known), SEED_WORDS)).view(np.int64) for _, w in found]
-        yield pa.record_batch({"item_id": pa.array([i for i, _ in found], pa.int64()), "words": pa.array([w for _, w in found], pa.list_(pa.string())),
-                               "grams": pa.array(grams, pa.list_(pa.int64()))})
+        hashed = [hash_words(WORD.findall(t.lower()), known) for t in batch["text"].to_pylist()]
+        found = [(i, w) for i, w in zip(batch["item_id"].to_pylist(), hashed) if len(w) >= SEED_WORDS]
+        grams = [np.unique(gram_hashes(w, SEED_WORDS)).view(np.int64) for _, w in found]
+        yield pa.record_batch({"item_id": pa.array([i for i, _ in found], pa.int64()), "n": pa.array([len(w) for _, w in found], pa.int32()),
+                               "words": pa.array([w.tobytes() for _, w in found], pa.binary()), "grams": pa.array(grams, pa.list_(pa.int64()))})
 
 
 def item_rows(benchmark: DataFrame) -> DataFrame:
-    """(item_id, words, grams) of the items that have SEED_WORDS words or more; equal texts count once, with the smallest id."""
+    """(item_id, n, words, grams), words as hashes, of the items that have SEED_WORDS words or more; equal texts count once, with the smallest id."""
     rows = pass_rows(benchmark, {"item_id": F.col("item_id").cast("long"), "text": text_of()}).groupBy("text").agg(F.min("item_id").alias("item_id"))
-    return rows.select("item_id", "text").mapInArrow(_item_rows, "item_id long, words array<string>, grams array<long>")
+    return rows.select("item_id", "text").mapInArrow(_item_rows, "item_id long, n int, words binary, grams array<long>")
 
 
 def _map_words(size: int):
@@ -61,7 +63,7 @@ def _map_words(size: int):
 
 def bit_map(seeds: DataFrame) -> np.ndarray:
     """Bits over the hashes of all seeds; at most MAP_BITS of them reach the driver, whatever the number of items."""
-    n, size = seeds.count(), 1 << 16
+    n, size = seeds.count(), LEAST_BITS
     while size < min(16 * n, MAP_BITS):
         size *= 2
     rows = seeds.select("gram").mapInArrow(_map_words(size), "cell long, held long").groupBy("cell").agg(F.bit_or("held").alias("held")).collect()
@@ -71,41 +73,57 @@ def bit_map(seeds: DataFrame) -> np.ndarray:
     return np.unpackbits(cells.view(np.uint8), bitorder="little").astype(bool)
 
 
-def stretches(at: np.ndarray, words: int) -> list[tuple[int, int, int, int]]:
-    """(from, to, first hit, last hit + 1) of the stretches around hit positions, in words."""
-    cuts = np.flatnonzero(np.diff(at) > GAP) + 1
-    lows, highs = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(at)]])
-    return [(max(0, int(at[a]) - PAD), min(words, int(at[b - 1]) + SEED_WORDS + PAD), int(a), int(b)) for a, b in zip(lows, highs)]
+def span_of(item: int, threshold: float = THRESHOLD) -> int:
+    """Most words of a document that an alignment with an item of so many words can cover and reach the threshold: the
+    item's own, and as many further ones as its score can pay for."""
+    return item + int(MATCH * item * (1 - max(threshold, 0.0)) / GAP_COST)
+
+
+def stretches(at: np.ndarray, words: int, item: int, threshold: float = THRESHOLD) -> list[tuple[int, int]]:
+    """(from, to) in a document of so many words: all that alignments through one of the seeds at ``at`` (sorted) may
+    cover, those that overlap as one."""
+    span, seed = span_of(item, threshold), min(item, SEED_WORDS)
+    cuts = np.flatnonzero(np.diff(at) >= 2 * span - seed) + 1
+    lows, highs = at[np.concatenate([[0], cuts])] + seed - span, at[np.concatenate([cuts - 1, [len(at) - 1]])] + span
+    return list(zip(np.maximum(lows, 0).tolist(), np.minimum(highs, words).tolist()))
 
 
 def _hits(bits_of):
+    """The places of each document whose n-gram may be a seed."""
     def run(batches):
         bits, known = bits_of.value, {}
         for batch in batches:
             out = []
             for key, text in zip(batch["key"].to_pylist(), batch["text"].to_pylist()):
-                words = WORD.findall(text.lower())
+                words = hash_words(WORD.findall(text.lower()), known)
                 if len(words) < SEED_WORDS:
                     continue
-                grams = gram_hashes(hash_words(words, known), SEED_WORDS)
+                grams = gram_hashes(words, SEED_WORDS)
                 at = np.flatnonzero(bits[_bits(grams, len(bits))])
                 if len(at):
-                    for low, high, a, b in stretches(at, len(words)):
-                        out.append((key, low, high, np.unique(grams[at[a:b]]).view(np.int64)))
-            yield pa.record_batch({"key": pa.array([o[0] for o in out], pa.int64()), "low": pa.array([o[1] for o in out], pa.int32()),
-                                   "high": pa.array([o[2] for o in out], pa.int32()), "grams": pa.array([o[3] for o in out], pa.list_(pa.int64()))})
+                    out.append((key, grams[at].view(np.int64), at.astype(np.int32)))
+            yield pa.record_batch({"key": pa.array([o[0] for o in out], pa.int64()), "gram": pa.array([o[1] for o in out], pa.list_(pa.int64())),
+                                   "at": pa.array([o[2] for o in out], pa.list_(pa.int32()))})
     return run
 
 
-def _cut(batches):
-    """The words of the stretches that a document shares with items."""
-    for batch in batches:
-        out = []
-        for key, text, wanted in zip(batch["key"].to_pylist(), batch["text"].to_pylist(), batch["wanted"].to_pylist()):
-            words = WORD.findall(text.lower())
-            out.extend((key, w["item_id"], w["low"], words[w["low"]:w["high"]]) for w in wanted)
-        yield pa.record_batch({"key": pa.array([o[0] for o in out], pa.int64()), "item_id": pa.array([o[1] for o in out], pa.int64()),
-                               "at": pa.array([o[2] for o in out], pa.int32()), "passage": pa.array([o[3] for o in out], pa.list_(pa.string()))})
+def _cut(threshold: float):
+    """The words, as hashes, of the stretches that a document shares with items."""
+    def run(batches):
+        known: dict[str, int] = {}
+        for batch in batches:
+            out, wanted = [], batch["wanted"]
+            items, sizes, places = (wanted.values.field(c).to_numpy() for c in ("item_id", "n", "at"))
+            bounds = wanted.offsets.to_numpy().tolist()
+            for key, text, a, b in zip(batch["key"].to_pylist(), batch["text"].to_pylist(), bounds, bounds[1:]):
+                words = hash_words(WORD.findall(text.lower()), known)
+                order = a + np.lexsort((places[a:b], items[a:b]))
+                for own in np.split(order, np.flatnonzero(np.diff(items[order])) + 1):
+                    for low, high in stretches(places[own], len(words), int(sizes[own[0]]), threshold):
+                        out.append((key, items[own[0]], low, words[low:high].tobytes()))
+            yield pa.record_batch({"key": pa.array([o[0] for o in out], pa.int64()), "item_id": pa.array([o[1] for o in out], pa.int64()),
+                                   "at": pa.array([o[2] for o in out], pa.int32()), "passage": pa.array([o[3] for o in out], pa.binary())})
+    return run
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int]:
@@ -122,15 +140,33 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int]:
     return best, end
 
 
-def _scores(batches):
-    for batch in batches:
-        out = []
-        for item, passage in zip(batch["words"].to_pylist(), batch["passage"].to_pylist()):
-            number = {w: i for i, w in enumerate(dict.fromkeys(item))}
-            best, end = align(np.array([number[w] for w in item]), np.array([number.get(w, -1) for w in passage]))
-            out.append((best / (MATCH * len(item)), end))
-        yield pa.record_batch({"key": batch["key"], "item_id": batch["item_id"], "score": pa.array([s for s, _ in out], pa.float64()),
-                               "end": pa.array([e for _, e in out], pa.int32()), "at": batch["at"]})
+def most(same: np.ndarray) -> float:
+    """No alignment scores more: the best run of a passage when each word that the item has (``same``) is a match, each
+    other one a gap."""
+    sums = np.cumsum(np.where(same, MATCH, -min(GAP_COST, -MISMATCH)))
+    return float((sums - np.minimum(np.minimum.accumulate(sums), 0.0)).max(initial=0.0))
+
+
+def _scores(threshold: float):
+    """Alignment scores that reach the threshold; pairs that cannot reach it by :func:`most` are not aligned."""
+    def run(batches):
+        for batch in batches:
+            kept, scores, ends = [], [], []
+            for row, (item, passage) in enumerate(zip(batch["words"], batch["passage"])):
+                item, passage = (np.frombuffer(x.as_buffer(), np.uint64) for x in (item, passage))
+                names, numbers = np.unique(item, return_inverse=True)
+                at = np.minimum(np.searchsorted(names, passage), len(names) - 1)
+                same, full = names[at] == passage, MATCH * len(item)
+                if most(same) / full < threshold:
+                    continue
+                best, end = align(numbers, np.where(same, at, -1))
+                if best / full >= threshold:
+                    kept.append(row)
+                    scores.append(best / full)
+                    ends.append(end)
+            left = batch.select(["key", "item_id", "at"]).take(pa.array(kept, pa.int64()))
+            yield pa.record_batch({"key": left["key"], "item_id": left["item_id"], "score": pa.array(scores, pa.float64()), "end": pa.array(ends, pa.int32()), "at": left["at"]})
+    return run
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -140,19 +176,22 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD)
     spark = docs.sparkSession
     prepare(spark)
     items = stage(item_rows(benchmark), "benchmark-items")
-    seeds = items.select("item_id", F.explode("grams").alias("gram"))
+    seeds = items.select("item_id", "n", F.explode("grams").alias("gram"))
     bits = spark.sparkContext.broadcast(bit_map(seeds))
     texts = pass_rows(docs, {"key": key_of(), "text": text_of()})
-    found = stage(texts.mapInArrow(tidied(_hits(bits)), "key long, low int, high int, grams array<long>"), "benchmark-hits")
-    hits = found.select("key", "low", "high", F.explode("grams").alias("gram"))
+    found = stage(texts.mapInArrow(tidied(_hits(bits)), "key long, gram array<long>, at array<int>"), "benchmark-hits")
+    hits = found.select("key", F.inline(F.arrays_zip("gram", "at")))
     small = seeds.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS  # a seed that very many documents hold is then no hot key
-    pairs = hits.join(F.broadcast(seeds) if small else seeds, "gram").select("key", "low", "high", "item_id").distinct()
-    wanted = stage(pairs.groupBy("key").agg(F.collect_list(F.struct("low", "high", "item_id")).alias("wanted")), "benchmark-pairs")
-    small = wanted.limit(BROADCAST_DOCUMENTS + 1).count() <= BROADCAST_DOCUMENTS
-    passages = texts.join(F.broadcast(wanted) if small else wanted, "key").mapInArrow(_cut, "key long, item_id long, at int, passage array<string>")
-    both = passages.join(items.select("item_id", "words"), "item_id")
-    scored = both.select("key", "at", "item_id", "words", "passage").mapInArrow(_scores, "key long, item_id long, score double, end int, at int")
-    best = scored.where(F.col("score") >= threshold).groupBy("key", "item_id").agg(F.max(F.struct("score", "at", "end")).alias("best"))
+    pairs = hits.join(F.broadcast(seeds) if small else seeds, "gram")
+    wanted = stage(pairs.groupBy("key").agg(F.collect_list(F.struct("item_id", "n", "at")).alias("wanted")), "benchmark-pairs")
+    documents, places = wanted.agg(F.count("*"), F.coalesce(F.sum(F.size("wanted")), F.lit(0))).first()
+    small = documents <= BROADCAST_DOCUMENTS and places <= BROADCAST_PLACES
+    passages = texts.join(F.broadcast(wanted) if small else wanted, "key").mapInArrow(tidied(_cut(threshold)), "key long, item_id long, at int, passage binary")
+    own = items.select("item_id", "words")
+    small = items.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] <= BROADCAST_WORDS
+    both = passages.join(F.broadcast(own) if small else own, "item_id")
+    scored = both.select("key", "at", "item_id", "words", "passage").mapInArrow(_scores(threshold), "key long, item_id long, score double, end int, at int")
+    best = scored.groupBy("key", "item_id").agg(F.max(F.struct("score", "at", "end")).alias("best"))
     return best.select("key", "item_id", F.col("best.score").alias("score"), (F.col("best.at") + F.col("best.end")).alias("end_word"))
 
 

@@ -24,7 +24,7 @@ def test_verbatim_copy_does_not_hide_an_edited_one(spark):
     item = [f"v{i}" for i in range(40)]
     edited = ["other" if k % 5 == 4 else w for k, w in enumerate(item)]
     docs = [(1, " ".join(filler(rng, 30) + item)), (2, " ".join(filler(rng, 30) + edited + filler(rng, 30)))]
-    assert found(spark, docs, [(7, " ".join(item))]) == {(1, 7): 1.0, (2, 7): 0.7}
+    assert found(spark, docs, [(7, " ".join(item))]) == {(1, 7): 1.0, (2, 7): (32 * 2 - 7) / 80}
 
 
 def test_copy_that_rewords_the_rare_words_is_found(spark):
@@ -35,3 +35,30 @@ def test_copy_that_rewords_the_rare_words_is_found(spark):
     copy = [f"reworded{w}" if w.startswith("rare") else w for w in items[0]]
     got = found(spark, [(1, " ".join(filler(rng, 30) + copy))], [(i, " ".join(w)) for i, w in enumerate(items)])
     assert got[1, 0] == (37 * 2 - 3) / 80
+
+
+def test_parts_of_a_long_item_are_scored_together(spark):
+    rng = np.random.default_rng(13)
+    item = [f"v{i}" for i in range(100)]
+    copy = ["other" if k in (25, 75) else w for k, w in enumerate(item)]
+    text = filler(rng, 50) + copy[:50] + filler(rng, 60) + copy[50:] + filler(rng, 50)
+    far = filler(rng, 50) + copy[:50] + filler(rng, 300) + copy[50:]
+    got = found(spark, [(1, " ".join(text)), (2, " ".join(far))], [(7, " ".join(item))])
+    assert got == {(1, 7): slow_align(item, text) / 200} == {(1, 7): (98 * 2 - 2 - 60) / 200}
+
+
+def test_stretches_hold_all_that_an_alignment_can_cover():
+    rng = np.random.default_rng(14)
+    for _ in range(300):
+        item = rng.integers(0, 9, rng.integers(4, 10))
+        text = rng.integers(0, 9, 60)
+        text[20:20 + len(item)] = item
+        text = np.insert(text, rng.integers(18, 30, 4), 99)
+        grams = {tuple(item[k:k + 4].tolist()) for k in range(len(item) - 3)}
+        at = np.array([k for k in range(len(text) - 3) if tuple(text[k:k + 4].tolist()) in grams])
+        if len(at):
+            parts = [text[a:b] for a, b in decontaminate.stretches(at, len(text), len(item))]
+            best, full = max(slow_align(item, p) for p in parts), slow_align(item, text)
+            assert decontaminate.most(np.isin(text, item)) >= full
+            through = [slow_align(item, text[max(0, k + 4 - decontaminate.span_of(len(item))):k + decontaminate.span_of(len(item))]) for k in at.tolist()]
+            assert best >= max(through)
