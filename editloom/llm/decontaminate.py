@@ -38,16 +38,18 @@ def _item_rows(batches):
     known: dict[str, int] = {}
     for batch in batches:
         hashed = [hash_words(WORD.findall(t.lower()), known) for t in batch["text"].to_pylist()]
-        found = [(i, w) for i, w in zip(batch["item_id"].to_pylist(), hashed) if len(w) >= SEED_WORDS]
+        found = [(i, w) for i, w in zip(batch["item_id"].to_pylist(), hashed) if len(w)]
         grams = [np.unique(gram_hashes(w, SEED_WORDS)).view(np.int64) for _, w in found]
         yield pa.record_batch({"item_id": pa.array([i for i, _ in found], pa.int64()), "n": pa.array([len(w) for _, w in found], pa.int32()),
                                "words": pa.array([w.tobytes() for _, w in found], pa.binary()), "grams": pa.array(grams, pa.list_(pa.int64()))})
 
 
 def item_rows(benchmark: DataFrame) -> DataFrame:
-    """(item_id, n, words, grams), words as hashes, of the items that have SEED_WORDS words or more; equal texts count once, with the smallest id."""
+    """(item, item_id, n, words, grams), words as hashes, of the items that have words; ``item`` is a key of the distinct text
+    (once staged). Equal texts count once, with the smallest id; an id may be null or have several texts."""
     rows = pass_rows(benchmark, {"item_id": F.col("item_id").cast("long"), "text": text_of()}).groupBy("text").agg(F.min("item_id").alias("item_id"))
-    return rows.select("item_id", "text").mapInArrow(_item_rows, "item_id long, n int, words binary, grams array<long>")
+    made = rows.select("item_id", "text").mapInArrow(_item_rows, "item_id long, n int, words binary, grams array<long>")
+    return made.select(F.monotonically_increasing_id().alias("item"), "*")
 
 
 def _map_words(size: int):
@@ -88,20 +90,18 @@ def stretches(at: np.ndarray, words: int, item: int, threshold: float = THRESHOL
     return list(zip(np.maximum(lows, 0).tolist(), np.minimum(highs, words).tolist()))
 
 
-def _hits(bits_of):
-    """The places of each document whose n-gram may be a seed."""
+def _hits(bits_of, lengths: list[int]):
+    """The places of each document whose n-gram, of one of these lengths, may be a seed."""
     def run(batches):
         bits, known = bits_of.value, {}
         for batch in batches:
             out = []
             for key, text in zip(batch["key"].to_pylist(), batch["text"].to_pylist()):
                 words = hash_words(WORD.findall(text.lower()), known)
-                if len(words) < SEED_WORDS:
-                    continue
-                grams = gram_hashes(words, SEED_WORDS)
-                at = np.flatnonzero(bits[_bits(grams, len(bits))])
-                if len(at):
-                    out.append((key, grams[at].view(np.int64), at.astype(np.int32)))
+                made = [gram_hashes(words, n) for n in lengths if n <= len(words)]
+                places = [np.flatnonzero(bits[_bits(grams, len(bits))]) for grams in made]
+                if any(len(at) for at in places):
+                    out.append((key, np.concatenate([g[at] for g, at in zip(made, places)]).view(np.int64), np.concatenate(places).astype(np.int32)))
             yield pa.record_batch({"key": pa.array([o[0] for o in out], pa.int64()), "gram": pa.array([o[1] for o in out], pa.list_(pa.int64())),
                                    "at": pa.array([o[2] for o in out], pa.list_(pa.int32()))})
     return run
@@ -113,7 +113,7 @@ def _cut(threshold: float):
         known: dict[str, int] = {}
         for batch in batches:
             out, wanted = [], batch["wanted"]
-            items, sizes, places = (wanted.values.field(c).to_numpy() for c in ("item_id", "n", "at"))
+            items, sizes, places = (wanted.values.field(c).to_numpy() for c in ("item", "n", "at"))
             bounds = wanted.offsets.to_numpy().tolist()
             for key, text, a, b in zip(batch["key"].to_pylist(), batch["text"].to_pylist(), bounds, bounds[1:]):
                 words = hash_words(WORD.findall(text.lower()), known)
@@ -164,34 +164,37 @@ def _scores(threshold: float):
                     kept.append(row)
                     scores.append(best / full)
                     ends.append(end)
-            left = batch.select(["key", "item_id", "at"]).take(pa.array(kept, pa.int64()))
-            yield pa.record_batch({"key": left["key"], "item_id": left["item_id"], "score": pa.array(scores, pa.float64()), "end": pa.array(ends, pa.int32()), "at": left["at"]})
+            left = batch.select(["key", "item", "item_id", "at"]).take(pa.array(kept, pa.int64()))
+            yield pa.record_batch({"key": left["key"], "item": left["item"], "item_id": left["item_id"], "score": pa.array(scores, pa.float64()), "end": pa.array(ends, pa.int32()), "at": left["at"]})
     return run
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(key, item_id, score, end_word): contaminated documents with each item they hold, best score over their stretches.
 
-    Null and empty texts hold nothing; items of fewer than SEED_WORDS words are not searched. Equal items count once."""
+    Null and empty texts hold nothing; items of fewer than SEED_WORDS words are searched by the run of
+    all their words, items without words not at all. Equal items count once; distinct texts with one item_id, or with none,
+    are items of their own."""
     spark = docs.sparkSession
     prepare(spark)
     items = stage(item_rows(benchmark), "benchmark-items")
-    seeds = items.select("item_id", "n", F.explode("grams").alias("gram"))
+    seeds = items.select("item", "n", F.explode("grams").alias("gram"))
     bits = spark.sparkContext.broadcast(bit_map(seeds))
+    lengths = [r[0] for r in items.select(F.least("n", F.lit(SEED_WORDS))).distinct().collect()]
     texts = pass_rows(docs, {"key": key_of(), "text": text_of()})
-    found = stage(texts.mapInArrow(tidied(_hits(bits)), "key long, gram array<long>, at array<int>"), "benchmark-hits")
+    found = stage(texts.mapInArrow(tidied(_hits(bits, lengths)), "key long, gram array<long>, at array<int>"), "benchmark-hits")
     hits = found.select("key", F.inline(F.arrays_zip("gram", "at")))
     small = seeds.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS  # a seed that very many documents hold is then no hot key
     pairs = hits.join(F.broadcast(seeds) if small else seeds, "gram")
-    wanted = stage(pairs.groupBy("key").agg(F.collect_list(F.struct("item_id", "n", "at")).alias("wanted")), "benchmark-pairs")
+    wanted = stage(pairs.groupBy("key").agg(F.collect_list(F.struct("item", "n", "at")).alias("wanted")), "benchmark-pairs")
     documents, places = wanted.agg(F.count("*"), F.coalesce(F.sum(F.size("wanted")), F.lit(0))).first()
     small = documents <= BROADCAST_DOCUMENTS and places <= BROADCAST_PLACES
-    passages = texts.join(F.broadcast(wanted) if small else wanted, "key").mapInArrow(tidied(_cut(threshold)), "key long, item_id long, at int, passage binary")
-    own = items.select("item_id", "words")
+    passages = texts.join(F.broadcast(wanted) if small else wanted, "key").mapInArrow(tidied(_cut(threshold)), "key long, item long, at int, passage binary")
+    own = items.select("item", "item_id", "words")
     small = items.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] <= BROADCAST_WORDS
-    both = passages.join(F.broadcast(own) if small else own, "item_id")
-    scored = both.select("key", "at", "item_id", "words", "passage").mapInArrow(_scores(threshold), "key long, item_id long, score double, end int, at int")
-    best = scored.groupBy("key", "item_id").agg(F.max(F.struct("score", "at", "end")).alias("best"))
+    both = passages.join(F.broadcast(own) if small else own, "item")
+    scored = both.select("key", "at", "item", "item_id", "words", "passage").mapInArrow(_scores(threshold), "key long, item long, item_id long, score double, end int, at int")
+    best = scored.groupBy("key", "item", "item_id").agg(F.max(F.struct("score", "at", "end")).alias("best"))
     return best.select("key", "item_id", F.col("best.score").alias("score"), (F.col("best.at") + F.col("best.end")).alias("end_word"))
 
 

@@ -62,3 +62,12 @@ def test_stretches_hold_all_that_an_alignment_can_cover():
             assert decontaminate.most(np.isin(text, item)) >= full
             through = [slow_align(item, text[max(0, k + 4 - decontaminate.span_of(len(item))):k + decontaminate.span_of(len(item))]) for k in at.tolist()]
             assert best >= max(through)
+
+
+def test_each_item_text_is_searched(spark):
+    rng = np.random.default_rng(15)
+    texts = [" ".join(f"{c}{i}" for i in range(20)) for c in "abc"]
+    items = [(None, texts[0]), (5, texts[1]), (5, texts[2] + " c20"), (6, "short run"), (7, "one"), (8, "..."), (None, None)]
+    docs = [(1, " ".join([*filler(rng, 20), texts[0]])), (2, " ".join([*filler(rng, 20), texts[1]])), (3, texts[2] + " c20"),
+            (4, "a Short, run of words"), (5, "short other run"), (6, "One"), (7, "")]
+    assert found(spark, docs, items) == {(1, None): 1.0, (2, 5): 1.0, (3, 5): 1.0, (4, 6): 1.0, (6, 7): 1.0}
