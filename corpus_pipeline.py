@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from editloom.llm import decontaminate, exact_dedup, near_join, packing, toxicity
-from editloom.llm.common import key_of, stage, table, without
+from editloom.llm.common import hash_of_text, key_of, stage, table, without
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,29 +19,32 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one stays; of rows that repeat a doc_id with equal texts too."""
+    """Of equal texts one stays; of rows that repeat a doc_id with equal texts too. Rows of one doc_id with other texts are
+    documents of their own, in each stage."""
     rows = stage(exact_dedup.dedup_keys(docs), "pipeline-copies")
-    keys = rows.groupBy("key").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("rows"))
-    left = without(docs, stage(keys.where("not kept").select("key"), "pipeline-dropped"))
-    again = stage(keys.where("kept and rows > 1").select("key"), "pipeline-repeated")
+    left = without(docs, stage(rows.where("not kept").select("key", "text_hash").distinct(), "pipeline-dropped"))
+    kept = rows.where("kept")
+    several = kept.groupBy("key", "text_sha256").agg(F.count("*").alias("rows")).where("rows > 1").select("key", "text_sha256")
+    again = stage(kept.select("key", "text_hash", "text_sha256").distinct().join(several, ["key", "text_sha256"]), "pipeline-repeated")
     if again.limit(1).count() == 0:
         return left
-    marked = left.withColumn("__key", key_of())
-    number = F.row_number().over(Window.partitionBy("__key").orderBy(F.length("text").desc_nulls_last(), "text"))
-    first = marked.join(again.withColumnRenamed("key", "__key"), "__key", "left_semi").withColumn("__row", number).where("__row = 1")
+    marked = left.withColumns({"__key": key_of(), "__hash": hash_of_text()})
+    number = F.row_number().over(Window.partitionBy("__key", "__digest").orderBy(F.length("text").desc_nulls_last(), "text"))
+    names = again.select(F.col("key").alias("__key"), F.col("text_hash").alias("__hash"), F.col("text_sha256").alias("__digest"))
+    first = marked.join(names, ["__key", "__hash"]).withColumn("__row", number).where("__row = 1")
     return without(left, again).unionByName(first.select(*docs.columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id stays."""
     rows = near_join.near_duplicates(docs)
-    return without(docs, stage(rows.where("key <> class_key").select("key").distinct(), "pipeline-near"))
+    return without(docs, stage(rows.where("not first").select("key", "text_hash").distinct(), "pipeline-near"))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a test item go."""
     found = decontaminate.matches(docs, table(spark, sf_dir, "benchmark"))
-    return without(docs, stage(found.select("key").distinct(), "pipeline-benchmark"))
+    return without(docs, stage(found.select("key", "text_hash").distinct(), "pipeline-benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

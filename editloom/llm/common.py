@@ -18,7 +18,7 @@ from editloom.session import staging_folder
 
 #: Words for shingles and seeds: letters, digits and underscores, lower-cased.
 WORD = re.compile(r"\w+")
-#: Rows of ids (16 bytes each) that may be broadcast; longer lists are joined by shuffle.
+#: Rows of ids (24 bytes each) that may be broadcast; longer lists are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 #: Keys from here on belong to rows without doc_id, so these rank after all others.
 NO_ID = 1 << 62
@@ -45,6 +45,11 @@ def key_of(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.coalesce(F.col(doc_id).cast("long"), F.shiftrightunsigned(F.xxhash64(text_of(text)), 2) + F.lit(NO_ID))
 
 
+def hash_of_text(text: str = "text") -> Column:
+    """With the key, what tells apart rows that share a doc_id and have different texts."""
+    return F.xxhash64(text_of(text))
+
+
 def id_of(key: Column) -> Column:
     """The doc_id behind a key; null for rows without one."""
     return F.when(key < NO_ID, key)
@@ -100,13 +105,13 @@ def prepare(spark: SparkSession, rows: int = 250) -> None:
 
 
 def without(docs: DataFrame, drop: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose key is not in ``drop`` (key), a staged table of distinct keys; all columns are kept.
+    """The rows of ``docs`` that are not in ``drop`` (key, text_hash), a staged table of distinct rows; all columns are kept.
 
-    A list of at most BROADCAST_IDS keys is broadcast, so no text is moved; a longer one is joined by shuffle."""
-    mark = "__key"
+    A list of at most BROADCAST_IDS rows is broadcast, so no text is moved; a longer one is joined by shuffle."""
+    mark = ["__key", "__hash"]
     small = drop.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    keys = drop.select(F.col("key").alias(mark))
-    return docs.withColumn(mark, key_of()).join(F.broadcast(keys) if small else keys, mark, "left_anti").select(*docs.columns)
+    keys = drop.select(F.col("key").alias(mark[0]), F.col("text_hash").alias(mark[1]))
+    return docs.withColumns({mark[0]: key_of(), mark[1]: hash_of_text()}).join(F.broadcast(keys) if small else keys, mark, "left_anti").select(*docs.columns)
 
 
 def tidy() -> None:

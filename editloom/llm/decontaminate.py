@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, gram_hashes, hash_words, id_of, key_of, pass_rows, prepare, stage, text_of, tidied
+from .common import WORD, gram_hashes, hash_of_text, hash_words, id_of, key_of, pass_rows, prepare, stage, text_of, tidied
 
 #: Words of a seed.
 SEED_WORDS = 4
@@ -96,14 +96,14 @@ def _hits(bits_of, lengths: list[int]):
         bits, known = bits_of.value, {}
         for batch in batches:
             out = []
-            for key, text in zip(batch["key"].to_pylist(), batch["text"].to_pylist()):
+            for key, mark, text in zip(batch["key"].to_pylist(), batch["text_hash"].to_pylist(), batch["text"].to_pylist()):
                 words = hash_words(WORD.findall(text.lower()), known)
                 made = [gram_hashes(words, n) for n in lengths if n <= len(words)]
                 places = [np.flatnonzero(bits[_bits(grams, len(bits))]) for grams in made]
                 if any(len(at) for at in places):
-                    out.append((key, np.concatenate([g[at] for g, at in zip(made, places)]).view(np.int64), np.concatenate(places).astype(np.int32)))
-            yield pa.record_batch({"key": pa.array([o[0] for o in out], pa.int64()), "gram": pa.array([o[1] for o in out], pa.list_(pa.int64())),
-                                   "at": pa.array([o[2] for o in out], pa.list_(pa.int32()))})
+                    out.append((key, mark, np.concatenate([g[at] for g, at in zip(made, places)]).view(np.int64), np.concatenate(places).astype(np.int32)))
+            yield pa.record_batch({"key": pa.array([o[0] for o in out], pa.int64()), "text_hash": pa.array([o[1] for o in out], pa.int64()),
+                                   "gram": pa.array([o[2] for o in out], pa.list_(pa.int64())), "at": pa.array([o[3] for o in out], pa.list_(pa.int32()))})
     return run
 
 
@@ -115,14 +115,14 @@ def _cut(threshold: float):
             out, wanted = [], batch["wanted"]
             items, sizes, places = (wanted.values.field(c).to_numpy() for c in ("item", "n", "at"))
             bounds = wanted.offsets.to_numpy().tolist()
-            for key, text, a, b in zip(batch["key"].to_pylist(), batch["text"].to_pylist(), bounds, bounds[1:]):
+            for key, mark, text, a, b in zip(batch["key"].to_pylist(), batch["text_hash"].to_pylist(), batch["text"].to_pylist(), bounds, bounds[1:]):
                 words = hash_words(WORD.findall(text.lower()), known)
                 order = a + np.lexsort((places[a:b], items[a:b]))
                 for own in np.split(order, np.flatnonzero(np.diff(items[order])) + 1):
                     for low, high in stretches(places[own], len(words), int(sizes[own[0]]), threshold):
-                        out.append((key, items[own[0]], low, words[low:high].tobytes()))
-            yield pa.record_batch({"key": pa.array([o[0] for o in out], pa.int64()), "item_id": pa.array([o[1] for o in out], pa.int64()),
-                                   "at": pa.array([o[2] for o in out], pa.int32()), "passage": pa.array([o[3] for o in out], pa.binary())})
+                        out.append((key, mark, items[own[0]], low, words[low:high].tobytes()))
+            yield pa.record_batch({"key": pa.array([o[0] for o in out], pa.int64()), "text_hash": pa.array([o[1] for o in out], pa.int64()), "item": pa.array([o[2] for o in out], pa.int64()),
+                                   "at": pa.array([o[3] for o in out], pa.int32()), "passage": pa.array([o[4] for o in out], pa.binary())})
     return run
 
 
@@ -164,13 +164,13 @@ def _scores(threshold: float):
                     kept.append(row)
                     scores.append(best / full)
                     ends.append(end)
-            left = batch.select(["key", "item", "item_id", "at"]).take(pa.array(kept, pa.int64()))
-            yield pa.record_batch({"key": left["key"], "item": left["item"], "item_id": left["item_id"], "score": pa.array(scores, pa.float64()), "end": pa.array(ends, pa.int32()), "at": left["at"]})
+            left = batch.select(["key", "text_hash", "item", "item_id", "at"]).take(pa.array(kept, pa.int64()))
+            yield pa.record_batch({"key": left["key"], "text_hash": left["text_hash"], "item": left["item"], "item_id": left["item_id"], "score": pa.array(scores, pa.float64()), "end": pa.array(ends, pa.int32()), "at": left["at"]})
     return run
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(key, item_id, score, end_word): contaminated documents with each item they hold, best score over their stretches.
+    """(key, text_hash, item_id, score, end_word): contaminated documents with each item they hold, best score over their stretches.
 
     Null and empty texts hold nothing; items of fewer than SEED_WORDS words are searched by the run of
     all their words, items without words not at all. Equal items count once; distinct texts with one item_id, or with none,
@@ -181,21 +181,21 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD)
     seeds = items.select("item", "n", F.explode("grams").alias("gram"))
     bits = spark.sparkContext.broadcast(bit_map(seeds))
     lengths = [r[0] for r in items.select(F.least("n", F.lit(SEED_WORDS))).distinct().collect()]
-    texts = pass_rows(docs, {"key": key_of(), "text": text_of()})
-    found = stage(texts.mapInArrow(tidied(_hits(bits, lengths)), "key long, gram array<long>, at array<int>"), "benchmark-hits")
-    hits = found.select("key", F.inline(F.arrays_zip("gram", "at")))
+    texts = pass_rows(docs, {"key": key_of(), "text_hash": hash_of_text(), "text": text_of()})
+    found = stage(texts.mapInArrow(tidied(_hits(bits, lengths)), "key long, text_hash long, gram array<long>, at array<int>"), "benchmark-hits")
+    hits = found.select("key", "text_hash", F.inline(F.arrays_zip("gram", "at")))
     small = seeds.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS  # a seed that very many documents hold is then no hot key
     pairs = hits.join(F.broadcast(seeds) if small else seeds, "gram")
-    wanted = stage(pairs.groupBy("key").agg(F.collect_list(F.struct("item", "n", "at")).alias("wanted")), "benchmark-pairs")
+    wanted = stage(pairs.groupBy("key", "text_hash").agg(F.collect_list(F.struct("item", "n", "at")).alias("wanted")), "benchmark-pairs")
     documents, places = wanted.agg(F.count("*"), F.coalesce(F.sum(F.size("wanted")), F.lit(0))).first()
     small = documents <= BROADCAST_DOCUMENTS and places <= BROADCAST_PLACES
-    passages = texts.join(F.broadcast(wanted) if small else wanted, "key").mapInArrow(tidied(_cut(threshold)), "key long, item long, at int, passage binary")
+    passages = texts.join(F.broadcast(wanted) if small else wanted, ["key", "text_hash"]).mapInArrow(tidied(_cut(threshold)), "key long, text_hash long, item long, at int, passage binary")
     own = items.select("item", "item_id", "words")
     small = items.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] <= BROADCAST_WORDS
     both = passages.join(F.broadcast(own) if small else own, "item")
-    scored = both.select("key", "at", "item", "item_id", "words", "passage").mapInArrow(_scores(threshold), "key long, item long, item_id long, score double, end int, at int")
-    best = scored.groupBy("key", "item", "item_id").agg(F.max(F.struct("score", "at", "end")).alias("best"))
-    return best.select("key", "item_id", F.col("best.score").alias("score"), (F.col("best.at") + F.col("best.end")).alias("end_word"))
+    scored = both.select("key", "text_hash", "at", "item", "item_id", "words", "passage").mapInArrow(_scores(threshold), "key long, text_hash long, item long, item_id long, score double, end int, at int")
+    best = scored.groupBy("key", "text_hash", "item", "item_id").agg(F.max(F.struct("score", "at", "end")).alias("best"))
+    return best.select("key", "text_hash", "item_id", F.col("best.score").alias("score"), (F.col("best.at") + F.col("best.end")).alias("end_word"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, id_of, key_of, pass_rows, prepare, stage, text_of
+from .common import NO_ID, hash_of_text, id_of, key_of, pass_rows, prepare, stage, text_of
 
 #: Characters that do not count when texts are compared.
 SPACE = r"[\x20\x09-\x0D]"
@@ -96,8 +96,8 @@ def _probe(key, rows, shard):
 
 
 def digest_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, digest, length): digest of the text without white space, length in code points of the text as it is."""
-    return pass_rows(docs, {"doc_id": F.col("doc_id"), "key": key_of(), "digest": F.unhex(F.sha2(F.regexp_replace(text_of(), SPACE, ""), 256)),
+    """(doc_id, key, text_hash, digest, length): digest of the text without white space, length in code points of the text as it is."""
+    return pass_rows(docs, {"doc_id": F.col("doc_id"), "key": key_of(), "text_hash": hash_of_text(), "digest": F.unhex(F.sha2(F.regexp_replace(text_of(), SPACE, ""), 256)),
                             "length": F.length(text_of())})
 
 
@@ -145,7 +145,7 @@ def exact_dedup(new: DataFrame, old: DataFrame) -> DataFrame:
     gone = first.join(seen.select("digest"), "digest", "left_anti").select("digest", F.col("id").alias("keep"), F.col("count").alias("size"))
     groups = seen.unionByName(fresh).unionByName(gone)
     return new.unionByName(old).join(groups, "digest").select(
-        "doc_id", "key", id_of(F.col("keep")).alias("keep_id"), F.col("size").alias("group_size"), (F.col("key") == F.col("keep")).alias("kept"),
+        "doc_id", "key", "text_hash", id_of(F.col("keep")).alias("keep_id"), F.col("size").alias("group_size"), (F.col("key") == F.col("keep")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"))
 
 
@@ -159,4 +159,4 @@ def dedup_keys(docs: DataFrame) -> DataFrame:
 
 def dedup_documents(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row of ``docs``; see :func:`exact_dedup`."""
-    return dedup_keys(docs).drop("key")
+    return dedup_keys(docs).drop("key", "text_hash")

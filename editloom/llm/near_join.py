@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, connected, gram_hashes, hash_words, id_of, key_of, mix, pass_rows, prepare, stage, text_of, tidied
+from .common import WORD, connected, gram_hashes, hash_of_text, hash_words, id_of, key_of, mix, pass_rows, prepare, stage, text_of, tidied
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -83,7 +83,7 @@ def _sketch(n: int):
                 sizes.append(len(grams))
                 hashes.append(set_hash(grams) if len(grams) else None)
                 tokens.append(embed(grams).tobytes() if len(grams) else None)
-            yield pa.record_batch({"key": batch["key"], "n": pa.array(sizes, pa.int32()), "hash": pa.array(hashes, pa.binary()), "tokens": pa.array(tokens, pa.binary())})
+            yield pa.record_batch({"key": batch["key"], "text_hash": batch["text_hash"], "n": pa.array(sizes, pa.int32()), "hash": pa.array(hashes, pa.binary()), "tokens": pa.array(tokens, pa.binary())})
     return run
 
 
@@ -166,8 +166,10 @@ def _leaf_edges(batches):
 
 
 def distinct_sets(sketches: DataFrame) -> DataFrame:
-    """(sid, hash, n, copies, tokens): one row per distinct set that has shingles; sid is the smallest key of its documents."""
-    return (sketches.where("n > 0").groupBy("hash").agg(F.min("key").alias("sid"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("tokens").alias("tokens")))
+    """(sid, low, hash, n, copies, tokens): one row per distinct set that has shingles; sid comes from the set's hash, low is
+    the first (key, text_hash) of its documents."""
+    return (sketches.where("n > 0").groupBy("hash").agg(F.min(F.struct("key", "text_hash")).alias("low"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+            .withColumn("sid", F.xxhash64("hash")))
 
 
 def candidate_edges(sets: DataFrame, runs: int) -> DataFrame:
@@ -264,13 +266,13 @@ def _exact(threshold: float):
 
 def exact_links(docs: DataFrame, sets: DataFrame, groups: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
     """(sid, links, low): all pairs within each candidate group (node, root), compared exactly."""
-    members = groups.join(sets.select(F.col("sid").alias("node"), "n", "copies", "hash"), "node")
+    members = groups.join(sets.select(F.col("sid").alias("node"), "low", "n", "copies", "hash"), "node")
     sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    placed = members.join(sizes, "root").select(F.col("node").alias("sid"), "root", "hash", "copies", "blocks",
+    placed = members.join(sizes, "root").select("low.key", "low.text_hash", F.col("node").alias("sid"), "root", "hash", "copies", "blocks",
                                                 F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
     placed = stage(placed, "join-members")
     small = placed.limit(BROADCAST_MEMBERS + 1).count() <= BROADCAST_MEMBERS
-    texts = pass_rows(docs, {"sid": key_of(), "text": text_of()}).join(F.broadcast(placed) if small else placed, "sid")
+    texts = pass_rows(docs, {"key": key_of(), "text_hash": hash_of_text(), "text": text_of()}).join(F.broadcast(placed) if small else placed, ["key", "text_hash"])
     grams = texts.select("sid", "root", "hash", "copies", "blocks", "block", "text").mapInArrow(
         tidied(_grams(n)), "sid long, root long, block int, blocks int, copies long, grams binary")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -280,22 +282,27 @@ def exact_links(docs: DataFrame, sets: DataFrame, groups: DataFrame, n: int = SH
 
 
 def near_duplicates(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """(key, class_key, links) of every row: class_key is the smallest key that the row is linked with through any chain.
+    """(key, text_hash, class_key, first, links) of every row: class_key is the smallest key that the row is linked with through
+    any chain; first tells the row that stays of its class, of rows with that key the one of the smallest text_hash.
 
     ``links`` counts the other documents whose similarity reaches the threshold, copies included. Documents of fewer than
     n words are one shingle of all their words; those without words (null and empty texts too) are linked with nothing.
     Rows that repeat a doc_id with equal words are copies; with other words, they are documents of the same key."""
     prepare(docs.sparkSession)
-    sketches = stage(pass_rows(docs, {"key": key_of(), "text": text_of()}).mapInArrow(tidied(_sketch(n)), "key long, n int, hash binary, tokens binary"), "join-sketches")
+    sketches = stage(pass_rows(docs, {"key": key_of(), "text_hash": hash_of_text(), "text": text_of()}).mapInArrow(tidied(_sketch(n)), "key long, text_hash long, n int, hash binary, tokens binary"), "join-sketches")
     sets = stage(distinct_sets(sketches), "join-sets")
     groups = connected(candidate_edges(sets, runs_for(recall)), "join-groups")
     links = stage(exact_links(docs, sets, groups, n, threshold), "join-links")
     classes = connected(links.select(F.col("sid").alias("a"), F.col("low").alias("b")), "join-classes")
     counts = links.groupBy("sid").agg(F.sum("links").alias("links"))
-    known = (sets.select("sid", "hash", "copies").join(classes.select(F.col("node").alias("sid"), "root"), "sid", "left").join(counts, "sid", "left")
-             .select("hash", F.coalesce("root", "sid").alias("class_key"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")))
-    return (sketches.select("key", "hash").join(known, "hash", "left")
-            .select("key", F.coalesce("class_key", "key").alias("class_key"), F.coalesce("links", F.lit(0)).cast("long").alias("links")))
+    linked = classes.select(F.col("node").alias("sid"), "root").join(sets.select("sid", "low"), "sid")
+    lows = linked.groupBy("root").agg(F.min("low").alias("least"))
+    least = linked.select("sid", "root").join(lows, "root").select("sid", "least")
+    known = (sets.select("sid", "hash", "copies", "low").join(least, "sid", "left").join(counts, "sid", "left")
+             .select("hash", F.coalesce("least", "low").alias("least"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")))
+    return (sketches.select("key", "text_hash", "hash").join(known, "hash", "left")
+            .select("key", "text_hash", F.coalesce("least.key", "key").alias("class_key"),
+                    F.coalesce(F.col("least") == F.struct("key", "text_hash"), F.lit(True)).alias("first"), F.coalesce("links", F.lit(0)).cast("long").alias("links")))
 
 
 def classes_of(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:

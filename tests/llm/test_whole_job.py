@@ -2,7 +2,10 @@
 
 import numpy as np
 
-from editloom.llm import decontaminate
+import corpus_pipeline
+from conftest import DATA
+from editloom.llm import decontaminate, near_join
+from editloom.llm.common import stage, table
 from test_operators import frame, slow_align
 
 ITEMS = "item_id long, text string"
@@ -71,3 +74,23 @@ def test_each_item_text_is_searched(spark):
     docs = [(1, " ".join([*filler(rng, 20), texts[0]])), (2, " ".join([*filler(rng, 20), texts[1]])), (3, texts[2] + " c20"),
             (4, "a Short, run of words"), (5, "short other run"), (6, "One"), (7, "")]
     assert found(spark, docs, items) == {(1, None): 1.0, (2, 5): 1.0, (3, 5): 1.0, (4, 6): 1.0, (6, 7): 1.0}
+
+
+# rows that share a doc_id
+
+def test_texts_of_one_id_are_documents_of_their_own(spark):
+    rng = np.random.default_rng(16)
+    a, b, c, d, e = (" ".join(filler(rng, 60)) for _ in range(5))
+    bench = [r.text for r in table(spark, DATA, "benchmark").limit(1).collect()][0]
+    docs = frame(spark, [(1, a), (2, a), (2, b), (3, c), (3, "longer than c " + d), (4, e), (4, e + " end"), (4, bench), (5, e + " end"), (6, d + " tail")])
+    for _, step in corpus_pipeline.STAGES[1:-1]:
+        docs = stage(step(spark, docs, DATA), "test-ids")
+    got = sorted((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect())
+    assert len(got) == 5 and [g for g in got if g[0] < 4] == sorted([(1, a), (2, b), (3, c), (3, "longer than c " + d)]) and got[-1] in [(4, e), (4, e + " end")]
+
+
+def test_links_of_texts_that_share_an_id(spark):
+    rng = np.random.default_rng(17)
+    a, b = " ".join(filler(rng, 60)), " ".join(filler(rng, 60))
+    rows = [(1, a), (1, b), (2, a + " end"), (3, b + " end")]
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in near_join.classes_of(frame(spark, rows)).collect()) == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)]
