@@ -2,8 +2,8 @@
 
 Symbols are the end of a text, the most frequent words and, for all other words, a class by their last two bytes. Latent
 states emit symbols; a word of a class then comes from the class by its smoothed training count, so every text has a
-probability. Baum-Welch counts are taken per partition, summed across partitions and turned into the next model; the
-start is fitted on a bounded sample. A text's likelihood is exact: one scaled forward recursion over all of its symbols.
+probability. Baum-Welch counts are taken per partition, summed across partitions and turned into the next model, over
+whole texts in each round and until the likelihood settles. A text's likelihood is exact: one scaled forward recursion over all of its symbols.
 
 Counts of words run over all training documents. Words beyond the frequent ones meet their counts by a join, so nothing
 that grows with the vocabulary is held by one task or the driver."""
@@ -24,9 +24,9 @@ from .common import crc_of_id, mix, pass_rows, prepare, stage, text_of, tidied
 FREQUENT = 50_000
 CLASSES = 512
 STATES = 8
-#: Rounds over a bounded sample (documents, symbols of each at most) for the start, then rounds over all training documents.
-SAMPLE_ROUNDS, SAMPLE, SAMPLE_SYMBOLS = 15, 600, 2000
-ROUNDS = 2
+#: Gain of the log likelihood in a round, as a share of it, from which training goes on; and a guard against endless rounds.
+SETTLED = 1e-4
+ROUNDS = 200
 #: Words of unigram mass mixed into each state's emissions; added count of a word in the base model and in its class.
 MIXED, ADDED = 200.0, 0.1
 #: Symbols of one stretch in Baum-Welch; long texts are cut, a later stretch starts from the states' overall shares.
@@ -187,10 +187,11 @@ def log_likelihoods(sequences: list[np.ndarray], model: Model) -> np.ndarray:
 
 
 class Sums:
-    """Expected counts: emissions by symbol and state, transitions, first states."""
+    """Expected counts: emissions by symbol and state, transitions, first states; and the log likelihood of the stretches."""
 
     def __init__(self, symbols: int, states: int):
         self.emissions, self.moves, self.start = np.zeros((symbols, states)), np.zeros((states, states)), np.zeros(states)
+        self.likelihood = 0.0
 
     def add(self, sequences: list[np.ndarray], opens: list[bool], model: Model) -> None:
         """Forward-backward over stretches; ``opens`` tells those that begin a text."""
@@ -205,6 +206,7 @@ class Sums:
             alpha = (begin if alpha is None else alpha[:m] @ moves) * e
             scale = alpha.sum(axis=1, keepdims=True)
             alpha /= scale
+            self.likelihood += float(np.log(scale).sum(dtype=float))
             alphas.append(alpha)
             given.append(e / scale)
         beta = np.zeros((0, len(model.start)), np.float32)
@@ -252,7 +254,8 @@ def _batched(rows, most: int):
 
 
 def _expect(shared):
-    """Baum-Welch counts of one partition: per symbol seen one row, transitions as -1, -2, ..., first states as -1000."""
+    """Baum-Welch counts of one partition: per symbol seen one row, transitions as -1, -2, ..., first states as -1000,
+    the likelihood as -2000 (in its first column)."""
     def run(batches):
         model: Model = shared.value
         sums = Sums(*model.emissions.shape)
@@ -262,14 +265,14 @@ def _expect(shared):
             sums.add([p for parts in cut for p in parts], [k == 0 for parts in cut for k in range(len(parts))], model)
         seen = np.flatnonzero(sums.emissions.any(axis=1))
         states = len(sums.start)
-        symbol = np.concatenate([seen, -1 - np.arange(states), [-1000]])
-        values = np.concatenate([sums.emissions[seen], sums.moves, sums.start[None]])
+        symbol = np.concatenate([seen, -1 - np.arange(states), [-1000, -2000]])
+        values = np.concatenate([sums.emissions[seen], sums.moves, sums.start[None], sums.likelihood * (np.arange(states) == 0)[None]])
         yield pa.record_batch({"symbol": pa.array(symbol, pa.int64()), **{f"k{i}": pa.array(np.ascontiguousarray(values[:, i])) for i in range(states)}})
     return run
 
 
-def baum_welch(symbols: DataFrame, model: Model, unigram: np.ndarray) -> Model:
-    """One round over all training texts; the summed counts, of the size of the model, reach the driver."""
+def baum_welch(symbols: DataFrame, model: Model, unigram: np.ndarray) -> tuple[Model, float]:
+    """The next model after a round over all training texts, and the log likelihood under ``model``; the summed counts, of the size of the model, reach the driver."""
     shared = symbols.sparkSession.sparkContext.broadcast(model)
     rows = symbols.select("symbols").mapInArrow(tidied(_expect(shared)), f"symbol long, {_SUMS}")
     table = rows.groupBy("symbol").agg(*[F.sum(f"k{i}").alias(f"k{i}") for i in range(STATES)]).toArrow()
@@ -282,21 +285,20 @@ def baum_welch(symbols: DataFrame, model: Model, unigram: np.ndarray) -> Model:
             sums.moves[k] = values[at == -1 - k][0]
     if (at == -1000).any():
         sums.start = values[at == -1000][0]
+    if (at == -2000).any():
+        sums.likelihood = float(values[at == -2000][0, 0])
     shared.unpersist()
-    return sums.model(unigram)
+    return sums.model(unigram), sums.likelihood
 
 
-def train(symbols: DataFrame, unigram: np.ndarray, rounds: int = ROUNDS, sample: int = SAMPLE) -> Model:
-    """Start on at most ``sample`` texts (their first SAMPLE_SYMBOLS symbols), then ``rounds`` over all of them."""
-    picked = symbols.select("uid", F.substring("symbols", 1, 2 * SAMPLE_SYMBOLS).alias("symbols")).orderBy(F.xxhash64("uid"), "uid").limit(sample).collect()
-    held = [p for r in picked for p in stretches(np.frombuffer(bytes(r["symbols"]), "<u2"))]
-    model = first_model(unigram)
-    for _ in range(SAMPLE_ROUNDS if held else 0):
-        sums = Sums(*model.emissions.shape)
-        sums.add(held, [True] * len(held), model)
-        model = sums.model(unigram)
+def train(symbols: DataFrame, unigram: np.ndarray, rounds: int = ROUNDS) -> Model:
+    """Rounds over all symbols of all training texts, until their likelihood settles; ``rounds`` at most."""
+    model, last = first_model(unigram), -np.inf
     for _ in range(rounds):
-        model = baum_welch(symbols, model, unigram)
+        model, now = baum_welch(symbols, model, unigram)
+        if now - last <= SETTLED * abs(now):
+            break
+        last = now
     return model
 
 

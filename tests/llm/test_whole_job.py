@@ -4,7 +4,7 @@ import numpy as np
 
 import corpus_pipeline
 from conftest import DATA
-from editloom.llm import decontaminate, near_join
+from editloom.llm import decontaminate, hidden_markov, near_join
 from editloom.llm.common import stage, table
 from test_operators import frame, slow_align
 
@@ -94,3 +94,24 @@ def test_links_of_texts_that_share_an_id(spark):
     a, b = " ".join(filler(rng, 60)), " ".join(filler(rng, 60))
     rows = [(1, a), (1, b), (2, a + " end"), (3, b + " end")]
     assert sorted((r.doc_id, r.class_id, r.n_links) for r in near_join.classes_of(frame(spark, rows)).collect()) == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)]
+
+
+# hidden Markov model
+
+def test_all_symbols_of_all_texts_train_the_model(spark):
+    rng = np.random.default_rng(18)
+    texts = [(rng.integers(0, 6, 3000) + 6 * (np.arange(3000) > 2200)).astype("<u2") for _ in range(6)]
+    rows = spark.createDataFrame([(i, bytearray(t.tobytes())) for i, t in enumerate(texts)], "uid long, symbols binary").repartition(2)
+    unigram = np.full(12, 1 / 12)
+    cut = [hidden_markov.stretches(t) for t in texts]
+    parts, opens = [p for c in cut for p in c], [k == 0 for c in cut for k in range(len(c))]
+    model, last = hidden_markov.first_model(unigram), -np.inf
+    while True:
+        sums = hidden_markov.Sums(*model.emissions.shape)
+        sums.add(parts, opens, model)
+        model = sums.model(unigram)
+        if sums.likelihood - last <= hidden_markov.SETTLED * abs(sums.likelihood):
+            break
+        last = sums.likelihood
+    got = hidden_markov.train(rows, unigram)
+    assert abs(hidden_markov.log_likelihoods(texts, got).sum() / hidden_markov.log_likelihoods(texts, model).sum() - 1) < 1e-6
