@@ -27,7 +27,8 @@ def test_verbatim_copy_does_not_hide_an_edited_one(spark):
     item = [f"v{i}" for i in range(40)]
     edited = ["other" if k % 5 == 4 else w for k, w in enumerate(item)]
     docs = [(1, " ".join(filler(rng, 30) + item)), (2, " ".join(filler(rng, 30) + edited + filler(rng, 30)))]
-    assert found(spark, docs, [(7, " ".join(item))]) == {(1, 7): 1.0, (2, 7): (32 * 2 - 7) / 80}
+    other = " ".join(f"o{i}" for i in range(800))
+    assert found(spark, docs, [(7, " ".join(item)), (8, other)]) == {(1, 7): 1.0, (2, 7): (32 * 2 - 7) / 80}
 
 
 def test_copy_that_rewords_the_rare_words_is_found(spark):
