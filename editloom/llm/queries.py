@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from editloom.session import staging_folder
 
-from . import decontaminate, exact_dedup, hidden_markov, near_join, packing, secret_scan, token_files, toxicity, url_filter, warc
-from .common import table
+from . import (conversations, decontaminate, exact_dedup, hidden_markov, near_join, packing, periodic, secret_scan, sharding, token_files,
+               toxicity, url_filter, warc)
+from .common import table, text_of
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -154,3 +155,21 @@ SELECT page_id, kind, {own} AS record_id, rid AS refers_to, uri AS target_uri, '
 @query("op6_warc_derivatives", _warc_sql())
 def op6(spark, sf_dir):
     return warc.build(table(spark, sf_dir, "pages"), staging_folder(spark, "warc"))
+
+
+@query("op11_ring_shards")
+def op11(spark, sf_dir):
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), staging_folder(spark, "shards"))
+
+
+@query("op12_periodic_runs")
+def op12(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    text = periodic.with_planted_runs(text_of(), F.col("doc_id"))
+    return periodic.digests(periodic.periodic_runs(docs, {"doc_id": F.col("doc_id")}, text))
+
+
+@query("op13_conversation_repair")
+def op13(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.repair(conversations.damaged(rows), rows)
