@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as fx
 from ..functions import norm
+from ..functions.seq import gc_flag
 from ..operators import genome as gn
 from ..operators import guides as gd
 from ..operators import library as lib
@@ -205,6 +206,28 @@ def _finish(spark, sf, kind):
     return out.withColumns({"slot": F.col("request_id"), "file_name": F.lit("ref.gb"), "reference_source": F.lit("genbank"), "notes": F.lit("")})
 
 
+def planned(spark, sf, kind):
+    """Designs of one class whose primers come from a given table instead of a pair search: one pair per document. Written
+    once per session, as in ``finished``."""
+    n = F.col("doc_id")
+    dna = lambda word: F.substring(F.translate(F.md5(F.concat(F.lit(word), n.cast("string"))), "0123456789abcdef", "ACGTACGTACGTACGT"), 1, 20)
+    pairs = table(spark, sf, "documents").select(n.alias("target_id"), F.lit(1).alias("rank"), dna("fw").alias("fw_seq"), dna("rev").alias("rev_seq"), (n % 100 + 400).alias("amp"),
+                                                 F.lit(None).cast("bigint").alias("wt_amp"), F.lit(None).cast("bigint").alias("del_amp"),
+                                                 F.lit("outside" if kind in ("ct", "nt") else "centred").alias("mode"), F.lit(False).alias("is_fallback")).where(n % 11 != 5)
+    key = (spark.sparkContext.applicationId, sf, "planned-" + kind)
+    if key in _WRITTEN:
+        return models(spark, sf), spark.read.parquet(_WRITTEN[key])
+    m, d = one(spark, sf, kind)
+    out = ds.with_best_pair(d.where("err is null"), pairs, F.lit(""), F.col("tag") if kind in ("it", "ct", "nt") else F.lit(""))
+    third = F.col("request_id") % 3
+    out = out.withColumns({"slot": F.col("request_id"), "file_name": F.when(third != 1, F.concat(F.lit("ref"), F.col("request_id").cast("string"), F.lit(".gb"))).otherwise(""),
+                               "reference_source": F.when(third == 1, "raw").otherwise("genbank"), "notes": F.when(F.col("request_id") % 2 == 0, "").otherwise("kept")})
+    path = staging_folder(spark, "planned-" + kind)
+    out.write.parquet(path)
+    _WRITTEN[key] = path
+    return m, spark.read.parquet(path)
+
+
 def union_of(spark, sf, fn, kinds=("ko", "pm", "it", "ct", "nt")):
     out = None
     for k in kinds:
@@ -214,6 +237,52 @@ def union_of(spark, sf, fn, kinds=("ko", "pm", "it", "ct", "nt")):
     return out
 
 
+# Knockouts with given primers: one row per design, then its guides and primers.
+_KO = SITES + PAIRS + _CTX + _PLACE + """, dk AS MATERIALIZED (SELECT b.*, 'GENE' || CAST(seq_id AS VARCHAR) AS gene, 'Exon ' || CAST(seg_no + 1 AS VARCHAR) || ' (' || CAST(seg_start + 1 AS VARCHAR) || '-' || CAST(seg_end AS VARCHAR) || ', ' || CAST(seg_end - seg_start AS VARCHAR) || ' bp)' AS exon,
+ CASE WHEN seq_id % 3 = 1 THEN '' ELSE 'ref' || CAST(seq_id AS VARCHAR) || '.gb' END AS file_name, seq_id % 11 <> 5 AS has, '~' || CAST(seq_id % 100 + 400 AS VARCHAR) || ' bp' AS amplicon,
+ substr(translate(md5('fw' || CAST(seq_id AS VARCHAR)),'0123456789abcdef','ACGTACGTACGTACGT'),1,20) AS fw, substr(translate(md5('rev' || CAST(seq_id AS VARCHAR)),'0123456789abcdef','ACGTACGTACGTACGT'),1,20) AS rev FROM bs b WHERE seq_id % 5 = 0),
+kg AS MATERIALIZED (SELECT k.*, i, s.spacer, s.pam, s.strand, s.gc, s.cut, gene || '_KO_gRNA' || CAST(i AS VARCHAR) AS name, 'Cut at ' || CAST(s.cut + 1 AS VARCHAR) || ', ' || c.label || ' (' || c.detail || ') | ' || p.label || ': ' || p.detail || ' | pair spacing ' || CAST(spacing AS VARCHAR) || ' bp' AS note
+ FROM (SELECT *, unnest([1, 2]) AS i FROM dk) k JOIN sites s ON s.seq_id = k.seq_id AND s.ps = CASE i WHEN 1 THEN l_ps ELSE r_ps END AND s.strand = CASE i WHEN 1 THEN l_strand ELSE r_strand END
+ JOIN ctx c ON c.seq_id = s.seq_id AND c.ps = s.ps AND c.strand = s.strand JOIN place p ON p.seq_id = s.seq_id AND p.ps = s.ps AND p.strand = s.strand),
+ki AS MATERIALIZED (SELECT seq_id AS slot, gene || ' knockout' AS design_label, gene, 'Knockout' AS design_type, CASE WHEN file_name = '' THEN 'Raw DNA + CDS coordinates' ELSE file_name END AS reference_file, 'gRNA' AS item_type, name, spacer AS sequence, spacer, pam, strand, 20 AS len, '' AS linked_guide, 'Yes' AS recommended, note AS notes FROM kg
+ UNION ALL SELECT seq_id, gene || ' knockout', gene, 'Knockout', CASE WHEN file_name = '' THEN 'Raw DNA + CDS coordinates' ELSE file_name END, 'Primer', gene || '_KO_' || e.e, CASE e.e WHEN 'Fw' THEN fw ELSE rev END, '', '', '', 20, '', 'Yes', 'Validation primer' FROM dk, (VALUES ('Fw'),('Rev')) e(e) WHERE has)
+"""
+_STRATEGY = "NHEJ-mediated frameshift using Cas9 RNP. Screen by Sanger sequencing plus ICE/TIDE, then confirm protein loss."
+
+
+@query("flt_4_atypical_guide_gc", g_sql("SELECT seq_id, ps, strand, spacer, gc, CASE WHEN gc < 30 THEN 'low' ELSE 'high' END AS flag FROM sites WHERE gc < 30 OR gc > 80", SITES))
+def flt_4(spark, sf):
+    sites = gn.scan_sequences(view(spark, sf, "fx_sequences"))
+    return sites.select("seq_id", "ps", "strand", "spacer", "gc", gc_flag(F.col("gc")).alias("flag")).where("flag is not null")
+
+
+_PICKED = """SELECT p.seq_id AS request_id, CAST(gno AS INT) AS guide_no, spacer, gc FROM pick p WHERE (kind = 'ct' AND seq_id % 5 = 3) OR (kind = 'nt' AND seq_id % 5 = 4)
+ UNION ALL SELECT seq_id, CAST(i AS INT), spacer, gc FROM kg"""
+
+
+@query("flt_4_design_guide_flags", g_sql(f"SELECT *, CASE WHEN gc < 30 THEN 'low' ELSE 'high' END AS flag FROM ({_PICKED}) WHERE gc < 30 OR gc > 80", _KO + CODING + TARGETS))
+def flt_4b(spark, sf):
+    """Flags of the guides that designs took: knockouts and both terminal classes."""
+    out = None
+    for kind in ("ko", "ct", "nt"):
+        part = rv.guide_gc_flags(planned(spark, sf, kind)[1])
+        out = part if out is None else out.unionByName(part)
+    return out.select("request_id", "guide_no", "spacer", "gc", "flag")
+
+
+@query("flt_4_review_counts", g_sql(f"""SELECT request_id, CAST(count(*) AS BIGINT) AS guides, 'Guide GC content is atypical for ' || CAST(count(*) AS VARCHAR) || CASE count(*) WHEN 1 THEN ' guide' ELSE ' guides' END || '; review activity and synthesis risk manually.' AS text
+ FROM ({_PICKED}) WHERE gc < 30 OR gc > 80 GROUP BY request_id""", _KO + CODING + TARGETS))
+def flt_4c(spark, sf):
+    """The review row of each design beside the number of its flagged guides."""
+    out = None
+    for kind in ("ko", "ct", "nt"):
+        d = planned(spark, sf, kind)[1]
+        counts = rv.guide_gc_flags(d).groupBy("request_id").agg(F.count("*").alias("guides"))
+        part = rv.review_items(d).where(F.contains("text", F.lit("Guide GC content"))).join(counts, "request_id", "full").select("request_id", "guides", "text")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("set_4_fallback_pairs", g_sql("""SELECT target_id, mode, fw_start, rev_end, fw_seq, rev_seq, amp, CAST(-999 AS DOUBLE) AS score, true AS is_fallback FROM (
  SELECT seq_id AS target_id, 'centred' AS mode, s AS fw_start, s + 475 AS rev_end, substr(q, CAST(s + 1 AS INT), 24) AS fw_seq, translate(reverse(substr(q, CAST(s + 475 - 23 AS INT), 24)),'ACGT','TGCA') AS rev_seq, CAST(475 AS BIGINT) AS amp FROM (SELECT seq_id, translate(seq,'CG','AT') AS q, greatest(0, least(2016 - 475, CAST(floor(c - 237.5 + 0.5) AS BIGINT))) AS s FROM (SELECT *, seq_id % 2016 AS c FROM fx_sequences))
  UNION ALL SELECT seq_id, 'flanking', s, s + 475, substr(q, CAST(s + 1 AS INT), 24), translate(reverse(substr(q, CAST(s + 475 - 23 AS INT), 24)),'ACGT','TGCA'), 475 FROM (SELECT seq_id, translate(seq,'CG','AT') AS q, greatest(0, least(2016 - 475, CAST(floor((c + c + 40) / 2.0 - 237.5 + 0.5) AS BIGINT))) AS s FROM (SELECT *, seq_id % 2016 AS c FROM fx_sequences))

@@ -287,7 +287,7 @@ def win_14(spark, sf):
 BLOCK = f""", bsite AS (SELECT p.seq_id, p.kind, p.gno, p.ps, p.strand, o AS ord, CASE WHEN o < 2 THEN CASE WHEN strand = '+' THEN ps + 21 + o ELSE ps + o END
   ELSE CASE WHEN strand = '+' THEN ps + si ELSE ps + 22 - si END END AS gp, CASE WHEN o < 2 THEN 'PAM' WHEN o < 12 THEN 'Seed pos ' || CAST(si + 1 AS VARCHAR) || '/20' ELSE 'Guide pos ' || CAST(si + 1 AS VARCHAR) || '/20' END AS lab
  FROM (SELECT *, CASE WHEN o < 12 THEN o + 8 ELSE o - 12 END AS si FROM (SELECT *, unnest(range(0, 22)) AS o FROM pick)) p),
-bopt AS (SELECT b.*, n.nb, c.cp, c.residue, c.frame, k.codon, k.aa, substr(f.seq, CAST(b.gp+1 AS INT), 1) AS ob, CASE WHEN k.codon IS NOT NULL THEN substr(k.codon, 1, frame) || n.nb || substr(k.codon, frame + 2) END AS nc, f.seq
+bopt AS MATERIALIZED (SELECT b.*, n.nb, c.cp, c.residue, c.frame, k.codon, k.aa, substr(f.seq, CAST(b.gp+1 AS INT), 1) AS ob, CASE WHEN k.codon IS NOT NULL THEN substr(k.codon, 1, frame) || n.nb || substr(k.codon, frame + 2) END AS nc, f.seq
  FROM bsite b JOIN fx_sequences f USING (seq_id) CROSS JOIN (VALUES ('A'),('C'),('G'),('T')) n(nb) LEFT JOIN cod c ON c.seq_id = b.seq_id AND c.gp = b.gp LEFT JOIN codon k ON k.seq_id = b.seq_id AND k.residue = c.residue),
 bok AS (SELECT *, {_AA.format(c='nc')} AS na FROM bopt WHERE nb <> ob),
 """

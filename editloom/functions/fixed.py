@@ -93,6 +93,8 @@ PRIMER_GC_MIN, PRIMER_GC_MAX = 38, 67
 PRIMER_TM_DELTA = 5
 SCREEN_FLANK = 250
 LONG_DELETION = 1000
+# Guide GC percent below or above which a guide is called atypical.
+GUIDE_GC_LOW, GUIDE_GC_HIGH = 30, 80
 ICE_OFFSET = 175
 DEFAULT_ARM = 250
 DEFAULT_TAG = "dTAG-V5"

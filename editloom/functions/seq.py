@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .fixed import CODON_TO_AA, NN_PARAMS
+from .fixed import CODON_TO_AA, GUIDE_GC_HIGH, GUIDE_GC_LOW, NN_PARAMS
 from .numeric import half_up
 
 BASES = "ACGT"
@@ -42,6 +42,11 @@ def gc_count(seq: Column) -> Column:
     return F.length(seq) - F.length(F.translate(seq, "GC", ""))
 
 
+def gc_flag(gc: Column) -> Column:
+    """low or high for an atypical guide GC percent, else null; so is a GC that is not known."""
+    return F.when(gc < GUIDE_GC_LOW, "low").when(gc > GUIDE_GC_HIGH, "high")
+
+
 def gc_percent(seq: Column) -> Column:
     """GC percent with one decimal; 0 for an empty sequence."""
     return F.when(F.length(seq) == 0, F.lit(0.0)).otherwise(
