@@ -14,6 +14,8 @@ from ..functions.numeric import half_up
 from ..functions.seq import codon_to_aa, gc_count, revcomp
 
 SITE = 23  # 20-base spacer plus 3-base PAM
+#: Bases that a tile of a long sequence owns, and those it holds after them.
+TILE, HALO = 65536, 1024
 
 
 # --- coding coordinates --------------------------------------------------------------------------
@@ -155,28 +157,31 @@ def coding_window(segs: Column, cds: Column, start: Column, end: Column, payload
 
 # --- guide sites ---------------------------------------------------------------------------------
 
-def chunked(df: DataFrame, overlap: int = SITE - 1, size: int = 256, block: int = 65536) -> DataFrame:
-    """Replace ``bases``/``bases_start`` (one long text per row) by overlapping chunks of ``size`` owned bases.
+def _cut(frame: DataFrame, width: int, overlap: int, keep: list[str]) -> DataFrame:
+    """``bases`` in pieces of ``width`` with the ``overlap`` bases after each, in one pass over the text."""
+    pieces = F.regexp_extract_all(F.col("bases"), F.lit("(?s).{1,%d}" % width), F.lit(0))
+    joined = F.transform(F.col("_p"), lambda x, i: F.concat(x, F.left(F.coalesce(F.get(F.col("_p"), i + 1), F.lit("")), F.lit(overlap))))
+    return (frame.withColumn("_p", pieces).select(*keep, "bases_start", F.posexplode(joined).alias("_i", "bases"))
+            .select(*keep, (F.col("bases_start") + F.col("_i").cast("bigint") * width).alias("bases_start"), "bases"))
 
-    Both cuts read the text once (fixed-size regex pieces), first into blocks that are spread over tasks,
-    then into small chunks, so neither the row size nor the cost of a substring grows with the sequence.
-    A site belongs to the chunk that owns its first base; the overlap holds the rest of it.
-    """
-    keep = [c for c in df.columns if c not in ("bases", "bases_start")]
 
-    def cut(frame, width):
-        pieces = F.regexp_extract_all(F.col("bases"), F.lit("(?s).{1,%d}" % width), F.lit(0))
-        joined = F.transform(F.col("_p"), lambda x, i: F.concat(
-            x, F.left(F.coalesce(F.get(F.col("_p"), i + 1), F.lit("")), F.lit(overlap))))
-        return (frame.withColumn("_p", pieces).select(*keep, "bases_start", F.posexplode(joined).alias("_i", "bases"))
-                .select(*keep, (F.col("bases_start") + F.col("_i").cast("bigint") * width).alias("bases_start"), "bases"))
+def _small(blocks: DataFrame, overlap: int, size: int) -> DataFrame:
+    """Blocks that own the bases up to ``_own`` -> chunks of ``size`` with the number of bases each owns."""
+    keep = [c for c in blocks.columns if c not in ("bases", "bases_start")]
+    # The overlap of a block is seen again by its last chunks; they own less or nothing.
+    owned = F.least(F.lit(size).cast("bigint"), F.col("_own") - F.col("bases_start"))
+    return _cut(blocks, size, overlap, keep).withColumn("owned", owned).drop("_own")
 
-    blocks = cut(df, block)
-    # The block overlap is seen again by the last small chunk of a block; drop the sites it does not own.
-    blocks = blocks.withColumn("_own", F.col("bases_start") + block)
-    keep = [*keep, "_own"]
-    small = cut(blocks, size)
-    return small.withColumn("owned", F.least(F.lit(size).cast("bigint"), F.col("_own") - F.col("bases_start"))).drop("_own")
+
+def chunked(df: DataFrame, overlap: int = SITE - 1, size: int = 256, block: int = TILE) -> DataFrame:
+    """Replace ``bases``/``bases_start`` (one long text per row) by overlapping chunks of ``size`` owned bases.
+
+    Both cuts read the text once (fixed-size regex pieces), first into blocks, then into small chunks, so neither the row size
+    nor the cost of a substring grows with the sequence. A site belongs to the chunk that owns its first base; the overlap holds
+    the rest of it."""
+    keep = [c for c in df.columns if c not in ("bases", "bases_start")]
+    blocks = _cut(df, block, overlap, keep)
+    return _small(blocks.withColumn("_own", F.col("bases_start") + block), overlap, size)
 
 
 def scan_sites(df: DataFrame, any_pam: bool = False, drop_runs: bool = True) -> DataFrame:
@@ -185,7 +190,10 @@ def scan_sites(df: DataFrame, any_pam: bool = False, drop_runs: bool = True) ->
     Adds spacer, pam, strand, cut, gc, ps. ``any_pam`` accepts any letter before GG, ``drop_runs`` leaves
     out spacers with five A or five T in a row.
     """
-    chunks = chunked(df)
+    return _sites_of(chunked(df), any_pam, drop_runs)
+
+
+def _sites_of(chunks: DataFrame, any_pam: bool, drop_runs: bool) -> DataFrame:
     keep = [c for c in chunks.columns if c not in ("bases", "bases_start", "owned")]
     last = F.least(F.col("owned") - 1, F.length("bases") - SITE).cast("int")
     pos = chunks.where(last >= 0).select(*keep, "bases", "bases_start", F.explode(F.sequence(F.lit(0), last)).alias("_p"))
@@ -208,17 +216,57 @@ def scan_sites(df: DataFrame, any_pam: bool = False, drop_runs: bool = True) ->
     return out.withColumn("gc", half_up(gc_count(F.col("spacer")) / F.lit(20.0) * F.lit(100.0)).cast("int"))
 
 
+def tile_table(sequences: DataFrame, halo: int = HALO) -> DataFrame:
+    """Sequences (seq_id, seq, and seq_len where there is one) as tiles: seq_id, tile, start, bases, seq_len. A tile owns TILE
+    bases and holds ``halo`` more. Sequences of one tile stay where they are; the tiles of longer ones are dealt out by their
+    number, so all cores share one chromosome. A stored seq_len lets the reader skip what is not of the asked kind."""
+    have = "seq_len" in sequences.columns
+    size = F.col("seq_len") if have else F.length("seq")
+    rows = sequences.select("seq_id", F.col("seq").alias("bases"), size.cast("bigint").alias("seq_len"), F.lit(0).cast("bigint").alias("bases_start"))
+    short = rows.where(F.col("seq_len") <= TILE).select("seq_id", F.lit(0).cast("bigint").alias("tile"), F.col("bases_start").alias("start"), "bases", "seq_len")
+    cut = _cut(rows.where(F.col("seq_len") > TILE), TILE, halo, ["seq_id", "seq_len"])
+    long = cut.select("seq_id", F.expr(f"bases_start div {TILE}").alias("tile"), F.col("bases_start").alias("start"), "bases", "seq_len")
+    # The number keeps the small tiles from being gathered again by size: each becomes thousands of sites.
+    return short.unionByName(long.repartition(int(sequences.sparkSession.conf.get("spark.sql.shuffle.partitions")), "seq_id", "tile"))
+
+
+def write_tiles(sequences: DataFrame, path: str, halo: int = HALO) -> None:
+    """Store the tile table in order of sequence and tile, so that a reader of a few stretches skips the other row groups."""
+    tile_table(sequences, halo).repartitionByRange("seq_id", "tile").sortWithinPartitions("seq_id", "tile").write.option(
+        "parquet.block.size", 8 << 20).parquet(path)
+
+
+def scan_tiles(tiles: DataFrame, any_pam: bool = False, drop_runs: bool = True) -> DataFrame:
+    """Guide sites of a tile table, each found by the tile that owns its first base."""
+    blocks = tiles.select("seq_id", F.left("bases", F.lit(TILE + SITE - 1)).alias("bases"), F.col("start").alias("bases_start"), (F.col("start") + TILE).alias("_own"))
+    return _sites_of(_small(blocks, SITE - 1, 256), any_pam, drop_runs)
+
+
+def tile_windows(tiles: DataFrame, targets: DataFrame, reach: int, halo: int = HALO) -> DataFrame:
+    """Targets (seq_id, target, ...) with the bases within ``reach`` attached as bases/bases_start/seq_len. A window begins in one
+    tile and ends in its halo, so it takes one equality join of tiles that hold at most TILE and a few bases; no row holds a
+    whole sequence. A target beyond its sequence has an empty window."""
+    if 2 * reach > halo:
+        raise ValueError("the window is wider than the halo of a tile")
+    low = F.greatest(F.lit(0).cast("bigint"), F.col("target") - reach)
+    wanted = targets.withColumns({"_low": low, "tile": F.expr(f"greatest(0L, target - {reach}) div {TILE}")})
+    joined = wanted.join(tiles, ["seq_id", "tile"])
+    high = F.least("seq_len", F.col("target") + reach)
+    size = F.greatest(F.lit(0).cast("bigint"), high - F.col("_low"))
+    return joined.select(*targets.columns, F.substring("bases", (F.col("_low") - F.col("start")).cast("int") + 1, size.cast("int")).alias("bases"),
+                         F.col("_low").alias("bases_start"), "seq_len")
+
+
 def scan_sequences(sequences: DataFrame, **options) -> DataFrame:
     """Guide sites of whole sequences (seq_id, seq)."""
-    return scan_sites(sequences.select("seq_id", F.col("seq").alias("bases"), F.lit(0).cast("bigint").alias("bases_start")),
-                      **options)
+    return scan_tiles(tile_table(sequences, SITE - 1), **options)
 
 
 def match_spacers(sequences: DataFrame, spacers: DataFrame) -> DataFrame:
     """Exact spacer hits. ``spacers``: seq_id, spacer and any other columns, optionally pam (then the PAM
-    must be equal). Only PAM-adjacent 20-mers are joined, on (seq_id, spacer): no scan per spacer."""
-    sites = scan_sequences(sequences, any_pam=True, drop_runs=False)
+    must be equal). Only sequences that are asked for are scanned, and only PAM-adjacent 20-mers are joined, on
+    (seq_id, spacer): no scan per spacer."""
     wanted = spacers.where(F.length("spacer") == 20)
-    if "pam" in spacers.columns:
-        return sites.join(wanted, ["seq_id", "spacer", "pam"])
-    return sites.join(wanted, ["seq_id", "spacer"])
+    asked = sequences.join(wanted.select("seq_id").distinct(), "seq_id", "left_semi")
+    sites = scan_sequences(asked, any_pam=True, drop_runs=False)
+    return sites.join(wanted, ["seq_id", "spacer", "pam"] if "pam" in spacers.columns else ["seq_id", "spacer"])

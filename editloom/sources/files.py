@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import norm
 from ..functions import text as tx
 from ..functions.numeric import truthy
+from ..session import staging_folder
 from .models import finish_model
 
 # Column names of the guide-library table.
@@ -91,6 +92,7 @@ def history(spark: SparkSession, path: str) -> DataFrame:
 
 # --- GenBank -------------------------------------------------------------------------------------
 
+GENBANK_FILES = "*.{gb,gbk,genbank,txt,GB,GBK,GENBANK,TXT}"
 FEATURE = "struct<type:string,loc:string,q:array<struct<k:string,v:string>>,last:string>"
 
 
@@ -135,17 +137,54 @@ def genbank_records(files: DataFrame, first_only: bool = False) -> DataFrame:
     clean = F.regexp_replace(F.regexp_replace("text", "\r\n", "\n"), "\r", "\n")
     texts = F.split(clean, "(?m)^//[^\n]*\n?")
     wanted = F.slice(texts, 1, 1) if first_only else F.filter(texts, lambda t, i: (i == 0) | t.rlike(r"\S"))
-    files = files.select("*", F.posexplode(wanted).alias("record_no", "_body"))
-    body = F.col("_body")
-    parts = F.split(body, "(?m)^ORIGIN[^\n]*\n?", 2)
-    df = files.withColumns({"_head": F.get(parts, F.lit(0)), "_origin": F.coalesce(F.get(parts, F.lit(1)), F.lit(""))})
+    return _parsed(files.select("*", F.posexplode(wanted).alias("record_no", "_body"))).select("file_name", "record_no", "seq", "features")
+
+
+def _parsed(bodies: DataFrame) -> DataFrame:
+    """Replace the text of one record (``_body``) by seq and features."""
+    keep = [c for c in bodies.columns if c != "_body"]
+    parts = F.split("_body", "(?m)^ORIGIN[^\n]*\n?", 2)
+    df = bodies.select(*keep, F.get(parts, F.lit(0)).alias("_head"), F.coalesce(F.get(parts, F.lit(1)), F.lit("")).alias("_origin"))
     table = F.get(F.split("_head", "(?m)^FEATURES[^\n]*\n", 2), F.lit(1))
     blocks = F.filter(F.split(table, "\n(?= .{4}[^ \n])"), lambda b: b.rlike("^ .{4}[^ \n]"))
     features = F.transform(F.coalesce(blocks, F.array().cast("array<string>")), _parse_feature)
-    return df.select("file_name", "record_no", F.upper(F.regexp_replace("_origin", "[^a-zA-Z]", "")).alias("seq"), F.transform(
+    return df.select(*keep, F.upper(F.regexp_replace("_origin", "[^a-zA-Z]", "")).alias("seq"), F.transform(
         features, lambda f: F.struct(f["type"].alias("type"), f["loc"].alias("loc"), f["q"].alias("q"))).alias("features"))
 
 
+def read_genbank(spark: SparkSession, path: str, first_only: bool = False) -> DataFrame:
+    """Records of all GenBank files of a folder, as ``genbank_records`` gives them from whole texts, but read by record: a line of
+    two slashes separates rows of the text reader, so a file of any size is split over many tasks and no row holds a file.
+
+    Records are parsed once and staged with their split; the number of a record in its file is that of the splits before it (one
+    row per split) plus its place in its own. A first line that opens the features or the sequence is taken as such; any other
+    first line of a record is not read. An empty record before a separator on the first line of a file is counted, not returned."""
+    raw = spark.read.option("lineSep", "\n//").text(path, pathGlobFilter=GENBANK_FILES, recursiveFileLookup=True)
+    name = F.element_at(F.split(F.col("_metadata.file_name"), "/"), -1)
+    rows = raw.select(F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_split"), name.alias("file_name"), F.col("value"))
+    clean = F.regexp_replace(F.regexp_replace("value", "\r\n", "\n"), "\r", "\n")
+    body = F.regexp_replace(clean, r"\A(?!FEATURES|ORIGIN)[^\n]*\n?", "")
+    rows = rows.select("_path", "_split", "file_name", F.startswith("value", F.lit("//")).alias("_lead"), F.explode(F.split(body, "(?m)^//[^\n]*\n?")).alias("_body"))
+    rows = rows.withColumns({"_blank": ~F.col("_body").rlike(r"\S"), "_n": F.monotonically_increasing_id()})
+    folder = staging_folder(spark, "genbank")
+    parsed = _parsed(rows)
+    parsed.write.parquet(folder)
+    parsed = spark.read.schema(parsed.schema).parquet(folder)
+    splits = parsed.groupBy("_path", "_split").agg(F.min("_n").alias("_first"), F.count_if(~F.col("_blank")).alias("_kept"), F.min_by("_blank", "_n").alias("_fb"),
+                                                   F.min_by("_lead", "_n").alias("_fl"), F.array_sort(F.collect_list(F.when(F.col("_blank"), F.col("_n")))).alias("_blanks"))
+    # A blank record counts only as the first of its file; so does what stands before a separator on the first line.
+    order = Window.partitionBy("_path").orderBy("_split")
+    head = F.first(F.when(F.col("_split") == 0, F.col("_fb").cast("int") + F.col("_fl").cast("int")).otherwise(0)).over(order)
+    before = F.coalesce(F.sum("_kept").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select("_path", "_split", "_first", "_blanks", (before + head).alias("_before"))
+    out = parsed.join(splits, ["_path", "_split"])
+    opens = (F.col("_split") == 0) & (F.col("_n") == F.col("_first"))
+    place = F.col("_n") - F.col("_first") - F.size(F.filter("_blanks", lambda b: b < F.col("_n")))
+    number = F.when(opens & F.col("_blank"), 0).otherwise(F.col("_before") + place).cast("int")
+    out = out.where(~F.col("_blank") | opens).select("file_name", number.alias("record_no"), "seq", "features")
+    return out.where("record_no = 0") if first_only else out
+
+
 def _ranges(loc: Column) -> Column:
     """Number pairs of a location (1-based) as array<struct<start,end>>; strand words are ignored."""
     nums = F.regexp_extract_all(loc, F.lit(r"(\d+)"), F.lit(1))
@@ -183,7 +222,7 @@ def genbank_models(records: DataFrame) -> DataFrame:
 
 def genbank_folder(spark: SparkSession, path: str) -> DataFrame:
     """All .gb, .gbk, .genbank and .txt files of a folder as (file_name, text)."""
-    raw = spark.read.text(path, wholetext=True, pathGlobFilter="*.{gb,gbk,genbank,txt,GB,GBK,GENBANK,TXT}", recursiveFileLookup=True)
+    raw = spark.read.text(path, wholetext=True, pathGlobFilter=GENBANK_FILES, recursiveFileLookup=True)
     return raw.select(F.element_at(F.split(F.col("_metadata.file_name"), "/"), -1).alias("file_name"), F.col("value").alias("text"))
 
 
