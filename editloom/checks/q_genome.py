@@ -10,6 +10,7 @@ from ..functions.fixed import CODON_TO_AA
 from ..operators import donors as dn
 from ..operators import genome as gn
 from ..operators import guides as gd
+from ..session import staging_folder
 from ..sources import dims
 from ..sources import models as md
 from .fixtures import models, table, view, with_views
@@ -87,6 +88,23 @@ def gen_6(spark, sf):
     return gn.scan_sequences(view(spark, sf, "fx_sequences")).select("seq_id", "spacer", "pam", "strand", "cut", "gc", "ps")
 
 
+@query("gen_6_stored_tiles", g_sql("SELECT seq_id, spacer, pam, strand, cut, gc, ps FROM sites", SITES))
+def gen_6b(spark, sf):
+    """The scan from a stored tile table, as for sequences of chromosome size."""
+    path = staging_folder(spark, "tiles")
+    gn.write_tiles(view(spark, sf, "fx_sequences"), path)
+    return gn.scan_tiles(spark.read.parquet(path)).select("seq_id", "spacer", "pam", "strand", "cut", "gc", "ps")
+
+
+@query("join_4_tile_windows", g_sql("SELECT t.seq_id, t.kind, greatest(0, target - 300) AS bases_start, substr(seq, CAST(greatest(0, target - 300) + 1 AS INT), CAST(least(2016, target + 300) - greatest(0, target - 300) AS INT)) AS bases FROM tgt t JOIN fx_sequences USING (seq_id)", SITES + CODING + TARGETS))
+def join_4b(spark, sf):
+    """Reference windows around design targets, cut from stored tiles."""
+    path = staging_folder(spark, "tiles")
+    gn.write_tiles(view(spark, sf, "fx_sequences"), path)
+    t = targets(models(spark, sf)).select("seq_id", "kind", "target")
+    return gn.tile_windows(spark.read.parquet(path), t, 300).select("seq_id", "kind", "bases_start", "bases")
+
+
 _ANY = """, anys AS (SELECT seq_id, ps, '+' AS strand, substr(w,1,20) AS spacer, ps + 17 AS cut FROM w WHERE substr(w,22,2) = 'GG' UNION ALL
  SELECT seq_id, ps, '-', translate(reverse(substr(w,4,20)),'ACGT','TGCA'), ps + 6 FROM w WHERE substr(w,1,2) = 'CC'),
 want AS (SELECT seq_id, spacer, rn FROM (SELECT seq_id, spacer, row_number() OVER (PARTITION BY seq_id ORDER BY md5(spacer), spacer) AS rn FROM (SELECT DISTINCT seq_id, spacer FROM anys)) WHERE rn <= 5
@@ -100,7 +118,10 @@ def wanted_spacers(spark, sf):
     w = Window.partitionBy("seq_id").orderBy(F.md5("spacer"), "spacer")
     own = own.withColumn("rn", F.row_number().over(w)).where("rn <= 5")
     alien = F.substring(F.translate(F.md5(F.col("seq_id").cast("string")), "0123456789abcdef", "ACGTACGTACGTACGT"), 1, 20)
-    return own.unionByName(seqs.select("seq_id", alien.alias("spacer"), F.lit(6).alias("rn")))
+    # Asked spacers are a table of their own in use; here they are derived, so they are written once.
+    path = staging_folder(spark, "spacers")
+    own.unionByName(seqs.select("seq_id", alien.alias("spacer"), F.lit(6).alias("rn"))).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 @query("gen_7_spacer_match", g_sql("SELECT a.seq_id, a.spacer, rn, strand, cut, ps FROM want JOIN anys a USING (seq_id, spacer)", SITES + _ANY))

@@ -22,3 +22,8 @@ def first_rule(rules: list[tuple[str, str]], test) -> Column:
     The rules form one constant array, so long rule lists stay small in the generated code."""
     table = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(r).alias("r")) for n, r in rules])
     return F.get(F.filter(table, lambda x: test(x["n"])), F.lit(0))["r"]
+
+
+def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """A broadcast hint for a table that is counted to have at most ``rows`` rows; a larger one is left to the planner."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

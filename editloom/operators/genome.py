@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.frame import let
+from ..functions.frame import broadcast_if_small, let
 from ..functions.numeric import half_up
 from ..functions.seq import codon_to_aa, gc_count, revcomp
 
@@ -216,23 +216,31 @@ def _sites_of(chunks: DataFrame, any_pam: bool, drop_runs: bool) -> DataFrame:
     return out.withColumn("gc", half_up(gc_count(F.col("spacer")) / F.lit(20.0) * F.lit(100.0)).cast("int"))
 
 
-def tile_table(sequences: DataFrame, halo: int = HALO) -> DataFrame:
+def tile_table(sequences: DataFrame, halo: int = HALO, spread: bool | None = None) -> DataFrame:
     """Sequences (seq_id, seq, and seq_len where there is one) as tiles: seq_id, tile, start, bases, seq_len. A tile owns TILE
-    bases and holds ``halo`` more. Sequences of one tile stay where they are; the tiles of longer ones are dealt out by their
-    number, so all cores share one chromosome. A stored seq_len lets the reader skip what is not of the asked kind."""
+    bases and holds ``halo`` more.
+
+    With ``spread``, the tiles of sequences longer than one tile are dealt out by their number, so all cores share one
+    chromosome; shorter sequences stay where they are. That takes two looks at the table, so by default it is done where
+    seq_len is a column, which a stored table answers from its statistics."""
     have = "seq_len" in sequences.columns
     size = F.col("seq_len") if have else F.length("seq")
     rows = sequences.select("seq_id", F.col("seq").alias("bases"), size.cast("bigint").alias("seq_len"), F.lit(0).cast("bigint").alias("bases_start"))
-    short = rows.where(F.col("seq_len") <= TILE).select("seq_id", F.lit(0).cast("bigint").alias("tile"), F.col("bases_start").alias("start"), "bases", "seq_len")
-    cut = _cut(rows.where(F.col("seq_len") > TILE), TILE, halo, ["seq_id", "seq_len"])
-    long = cut.select("seq_id", F.expr(f"bases_start div {TILE}").alias("tile"), F.col("bases_start").alias("start"), "bases", "seq_len")
+
+    def cut(frame):
+        return _cut(frame, TILE, halo, ["seq_id", "seq_len"]).select(
+            "seq_id", F.expr(f"bases_start div {TILE}").alias("tile"), F.col("bases_start").alias("start"), "bases", "seq_len")
+
+    if not (have if spread is None else spread):
+        return cut(rows)
     # The number keeps the small tiles from being gathered again by size: each becomes thousands of sites.
-    return short.unionByName(long.repartition(int(sequences.sparkSession.conf.get("spark.sql.shuffle.partitions")), "seq_id", "tile"))
+    parts = int(sequences.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(rows.where(F.col("seq_len") <= TILE)).unionByName(cut(rows.where(F.col("seq_len") > TILE)).repartition(parts, "seq_id", "tile"))
 
 
 def write_tiles(sequences: DataFrame, path: str, halo: int = HALO) -> None:
     """Store the tile table in order of sequence and tile, so that a reader of a few stretches skips the other row groups."""
-    tile_table(sequences, halo).repartitionByRange("seq_id", "tile").sortWithinPartitions("seq_id", "tile").write.option(
+    tile_table(sequences, halo, spread=False).repartitionByRange("seq_id", "tile").sortWithinPartitions("seq_id", "tile").write.option(
         "parquet.block.size", 8 << 20).parquet(path)
 
 
@@ -258,7 +266,7 @@ def tile_windows(tiles: DataFrame, targets: DataFrame, reach: int, halo: int = H
 
 
 def scan_sequences(sequences: DataFrame, **options) -> DataFrame:
-    """Guide sites of whole sequences (seq_id, seq)."""
+    """Guide sites of whole sequences (seq_id, seq; give seq_len too where some are very long)."""
     return scan_tiles(tile_table(sequences, SITE - 1), **options)
 
 
@@ -267,6 +275,6 @@ def match_spacers(sequences: DataFrame, spacers: DataFrame) -> DataFrame:
     must be equal). Only sequences that are asked for are scanned, and only PAM-adjacent 20-mers are joined, on
     (seq_id, spacer): no scan per spacer."""
     wanted = spacers.where(F.length("spacer") == 20)
-    asked = sequences.join(wanted.select("seq_id").distinct(), "seq_id", "left_semi")
+    asked = sequences.join(broadcast_if_small(wanted.select("seq_id").distinct()), "seq_id", "left_semi")
     sites = scan_sequences(asked, any_pam=True, drop_runs=False)
     return sites.join(wanted, ["seq_id", "spacer", "pam"] if "pam" in spacers.columns else ["seq_id", "spacer"])

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as fx
 from ..functions import norm
+from ..functions.frame import broadcast_if_small
 from ..functions.numeric import number_text, truthy
 from ..functions.seq import gc_percent_int
 from ..functions.text import exon_from_note
+from ..session import staging_folder
 from ..sources.dims import tier_table
 
 UNKNOWN = 2**53 - 1
@@ -38,9 +40,10 @@ def lookup_library(genes: DataFrame, library: DataFrame, gene: str = "gene") ->
     """One row per requested gene and guide; genes without guides keep one row with total_guides 0."""
     asked = genes.withColumn("requested_gene", norm.gene_query(F.col(gene))).where("requested_gene <> ''")
     asked = asked.withColumn("library_gene", library_gene(F.col("requested_gene")))
-    top = top_library_guides(library).withColumnRenamed("gene", "library_gene")
-    total = F.count("rank").over(Window.partitionBy("requested_gene"))
     asked = asked.select("requested_gene", "library_gene").distinct()
+    names = broadcast_if_small(asked.select(F.col("library_gene").alias("gene")).distinct())
+    top = top_library_guides(library.join(names, "gene", "left_semi")).withColumnRenamed("gene", "library_gene")
+    total = F.count("rank").over(Window.partitionBy("requested_gene"))
     out = asked.join(top, "library_gene", "left")
     return out.withColumns({"total_guides": total, "note": F.when(F.col("rank").isNull(), fx.LIBRARY_NONE_NOTE).otherwise("")})
 
@@ -100,19 +103,50 @@ def with_filter_tier(targets: DataFrame, gene: str = "gene") -> DataFrame:
     """
     top = targets.groupBy(gene).agg(F.max("coverage").alias("_top"))
     df = targets.join(top, gene)
+    tier = F.lit(None).cast("int")
+    for no, top_only, test in reversed(_tier_tests()):
+        tier = F.when(test & (F.col("coverage") == F.col("_top")) if top_only else test, no).otherwise(tier)
+    return df.withColumn("tier", tier).drop("_top")
+
+
+def _tier_tests() -> list[tuple[int, bool, Column]]:
+    """(tier, needs the gene's highest coverage too, test of the row alone), strictest first."""
     cds = lambda lo, hi: F.exists(F.map_values("cds_percentages"), lambda v: (v >= lo) & (v <= hi))
     common = gc_percent_int(F.col("spacer")).between(20, 80) & ~F.contains("spacer", F.lit("TTTT"))
-    tier = F.lit(None).cast("int")
-    for no, _, _, m0, m1, m2, top_only, oof, lo, hi in reversed(fx.FILTER_TIERS):
+    out = []
+    for no, _, _, m0, m1, m2, top_only, oof, lo, hi in fx.FILTER_TIERS:
         test = common
         if m0 is not None:
             test = test & (F.col("off0") <= m0) & (F.col("off1") <= m1) & (F.col("off2") <= m2)
-        if top_only:
-            test = test & (F.col("coverage") == F.col("_top"))
         if oof is not None:
             test = test & (F.col("oof_score") >= oof) & cds(lo, hi)
-        tier = F.when(test, no).otherwise(tier)
-    return df.withColumn("tier", tier).drop("_top")
+        out.append((no, top_only, test))
+    return out
+
+
+def first_tier_targets(targets: DataFrame, keep: int = 3) -> DataFrame:
+    """Best targets of the first tier that has any, per gene, with tier, rank and total_targets, from one read of ``targets``.
+
+    What the tiers need of a row alone is computed once and staged. Counts per gene and coverage give, at the highest coverage,
+    how many targets the tiers bound to it have, so the first tier of a gene is known without a second look at its rows: as the
+    tiers are nested, a tier that is first holds all rows that pass its own test."""
+    tests = _tier_tests()
+    passed = {f"_p{no}": F.coalesce(test, F.lit(False)) for no, _, test in tests}
+    path = staging_folder(targets.sparkSession, "lookup-targets")
+    targets.withColumns(passed).write.parquet(path)
+    rows = targets.sparkSession.read.parquet(path)
+    counts = rows.groupBy("gene", "coverage").agg(*[F.count_if(p).alias(p) for p in passed])
+    total = lambda no, top_only: F.coalesce(F.max_by(f"_p{no}", "coverage"), F.lit(0)) if top_only else F.sum(f"_p{no}")
+    gene = counts.groupBy("gene").agg(F.max("coverage").alias("_top"), *[total(no, top_only).alias(f"_n{no}") for no, top_only, _ in tests])
+    tier = F.coalesce(*[F.when(F.col(f"_n{no}") > 0, F.struct(F.lit(no).alias("tier"), F.col(f"_n{no}").alias("n"))) for no, _, _ in tests])
+    first = gene.withColumn("_t", tier).where("_t is not null").select("gene", "_top", F.col("_t.tier").alias("tier"), F.col("_t.n").alias("total_targets"))
+    inside = F.lit(False)
+    for no, top_only, _ in tests:
+        own = F.col(f"_p{no}") & (F.col("coverage") == F.col("_top")) if top_only else F.col(f"_p{no}")
+        inside = F.when(F.col("tier") == no, own).otherwise(inside)
+    w = Window.partitionBy("gene").orderBy(*target_order())
+    best = rows.join(first, "gene").where(inside).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= keep)
+    return best.drop("_top", *passed)
 
 
 def best_tier_targets(targets: DataFrame, gene: str = "gene", keep: int = 3) -> DataFrame:
@@ -134,11 +168,9 @@ def lookup_targets(requests: DataFrame, gene_table: DataFrame, targets: DataFram
 
     ``gene_table``: gene (normalised symbol, unique). ``targets``: summarised records."""
     spark = targets.sparkSession
-    tiered = with_filter_tier(targets)
-    best = best_tier_targets(tiered).join(
-        F.broadcast(tier_table(spark).select("tier", "tier_id", "tier_label")), "tier").join(
-        tier_counts(tiered).drop("tier"), "gene")
     asked = requests.select(norm.gene_query(F.col("gene")).alias("gene_query")).where("gene_query <> ''").distinct()
+    names = broadcast_if_small(asked.select(F.col("gene_query").alias("gene")))
+    best = first_tier_targets(targets.join(names, "gene", "left_semi")).join(F.broadcast(tier_table(spark).select("tier", "tier_id", "tier_label")), "tier")
     known = gene_table.select(F.col("gene").alias("gene_query"), F.lit(True).alias("known")).distinct()
     out = asked.join(known, "gene_query", "left").join(best.withColumnRenamed("gene", "gene_query"), "gene_query", "left")
     note = (F.when(F.col("known").isNull(), fx.TARGETS_NO_GENE_NOTE).when(F.col("rank").isNull(), fx.TARGETS_NONE_NOTE)

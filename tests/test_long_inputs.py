@@ -64,15 +64,17 @@ def test_one_long_sequence_is_shared(spark, tmp_path):
     long = "".join(rng.choices("ACGT", k=900_000))
     edge = "".join(rng.choices("ACGT", k=gn.TILE))
     df = spark.createDataFrame([("long", long), ("edge", edge), ("edge1", edge + "G"), ("short", long[:500]), ("tiny", "ACGT"), ("none", "")], "seq_id string, seq string")
+    df = df.withColumn("seq_len", F.length("seq"))
     sites = gn.scan_sequences(df).withColumn("task", F.spark_partition_id()).collect()
     for name, seq in (("long", long), ("edge", edge), ("edge1", edge + "G"), ("short", long[:500]), ("tiny", "ACGT")):
         assert sorted((r["ps"], r["strand"], r["spacer"]) for r in sites if r["seq_id"] == name) == sorted(brute_sites(seq))
     tasks = {r["task"] for r in sites if r["seq_id"] == "long"}
     assert len(tasks) >= 4
     path = str(tmp_path / "tiles")
-    gn.write_tiles(df.withColumn("seq_len", F.length("seq")), path)
+    gn.write_tiles(df, path)
     tiles = spark.read.parquet(path)
     assert tiles.agg(F.max(F.length("bases"))).first()[0] <= gn.TILE + gn.HALO
+    assert gn.scan_sequences(df.drop("seq_len")).count() == len(sites)
     again = gn.scan_tiles(tiles).select("seq_id", "ps", "strand").collect()
     assert sorted(map(tuple, again)) == sorted((r["seq_id"], r["ps"], r["strand"]) for r in sites)
     at = [0, 5, 65530, 65536, 65540, 131071, 600_000, 899_999]
