@@ -91,6 +91,7 @@ PRIMER_LEN_MIN, PRIMER_LEN_MAX = 18, 26
 PRIMER_TM_MIN, PRIMER_TM_MAX = 55, 67
 PRIMER_GC_MIN, PRIMER_GC_MAX = 38, 67
 PRIMER_TM_DELTA = 5
+PRIMER_PENALTY_MAX = 22
 SCREEN_FLANK = 250
 LONG_DELETION = 1000
 # Guide GC percent below or above which a guide is called atypical.

@@ -17,7 +17,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .fixed import NN_PARAMS
+from .fixed import NN_PARAMS, PRIMER_PENALTY_MAX, PRIMER_TM_MAX, PRIMER_TM_MIN
 
 _FIELDS = {
     "gc": T.DoubleType(), "tm": T.DoubleType(), "dg3": T.DoubleType(), "clamp": T.IntegerType(), "run4": T.BooleanType(),
@@ -65,6 +65,12 @@ class Oligos:
         self.right = np.full(self.bytes.shape, _LEFT_PAD, np.uint8)
         self.right[rows, at + self.width - np.repeat(self.n, self.n)] = _CODE[raw]
 
+    def where(self, keep: np.ndarray) -> "Oligos":
+        """The oligos at these places of the batch."""
+        out = object.__new__(Oligos)
+        out.n, out.width, out.bytes, out.left, out.right = self.n[keep], self.width, self.bytes[keep], self.left[keep], self.right[keep]
+        return out
+
     def reverse_complement(self) -> np.ndarray:
         codes = _COMPLEMENT[self.right[:, ::-1]]
         codes[self.right[:, ::-1] == _LEFT_PAD] = _RIGHT_PAD
@@ -107,6 +113,11 @@ def _low_complexity(o: Oligos) -> np.ndarray:
 
 def assess(o: Oligos) -> dict[str, np.ndarray]:
     """Composition, stability, dimers, hairpin and penalty of every oligo of the batch."""
+    return _with_dimers(o, _single(o))
+
+
+def _single(o: Oligos) -> dict[str, np.ndarray]:
+    """The measures that need one look along an oligo, and the part of the penalty they give (``part``)."""
     n = np.maximum(o.n, 1)
     is_gc = (o.left == 1) | (o.left == 2)
     gc_count = is_gc.sum(axis=1)
@@ -126,18 +137,22 @@ def assess(o: Oligos) -> dict[str, np.ndarray]:
     clamp = ((_ending(o.right, 3) == 1) | (_ending(o.right, 3) == 2)).sum(axis=1)
     equal = (o.left[:, 1:] == o.left[:, :-1]) & (o.left[:, 1:] < 4)
     run4 = (equal[:, 2:] & equal[:, 1:-1] & equal[:, :-2]).any(axis=1)
+    low = _low_complexity(o)
+    part = (np.abs(gc - 50) / 4 + np.abs(tm - 60) / 3 + 8.0 * run4 + 10.0 * low
+            + np.where(dg3 > -1.0, 6.0, np.where(dg3 < -10.0, 4.0, 0.0)))
+    return {"gc": gc, "tm": tm, "dg3": dg3, "clamp": clamp, "run4": run4, "low": low, "part": part}
+
+
+def _with_dimers(o: Oligos, single: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     rc = o.reverse_complement()
     partner = (o.n[:, None] - 1 - np.arange(o.width)[None, :]).astype(np.int16)
     self_run = _longest_run(o.left, rc)
     hairpin = _longest_run(o.left, rc, lambda i: np.abs(partner - i) > 3)
     tail = _ending(o.right, 8)
     self_three = _longest_run(tail, _tail_complement(tail))
-    low = _low_complexity(o)
-    penalty = (np.abs(gc - 50) / 4 + np.abs(tm - 60) / 3 + 8.0 * run4 + 10.0 * low
-               + np.where(dg3 > -1.0, 6.0, np.where(dg3 < -10.0, 4.0, 0.0)) + np.maximum(0, self_run - 3) * 2.5
-               + np.maximum(0, self_three - 2) * 5 + np.maximum(0, hairpin - 3) * 3)
-    return {"gc": gc, "tm": tm, "dg3": dg3, "clamp": clamp, "run4": run4, "low": low, "self_run": self_run,
-            "self_three": self_three, "hairpin": hairpin, "penalty": np.where(o.n == 0, 100.0, _half_up(penalty, 1))}
+    penalty = (single["part"] + np.maximum(0, self_run - 3) * 2.5 + np.maximum(0, self_three - 2) * 5 + np.maximum(0, hairpin - 3) * 3)
+    return {**{n: v for n, v in single.items() if n != "part"}, "self_run": self_run, "self_three": self_three, "hairpin": hairpin,
+            "penalty": np.where(o.n == 0, 100.0, _half_up(penalty, 1))}
 
 
 def _tail_complement(tail: np.ndarray) -> np.ndarray:
@@ -167,6 +182,24 @@ def _quality(oligo: pa.Array) -> pa.Array:
     return _struct(assess(Oligos(oligo)), _QUALITY_KINDS)
 
 
+@F.arrow_udf(QUALITY_TYPE)
+def _primer(oligo: pa.Array) -> pa.Array:
+    """As ``_quality``, each distinct oligo once, and null for an oligo that cannot be a primer: its melting temperature is out of
+    range, or its penalty without dimers and hairpins is too high already. Only the others are searched for those."""
+    coded = oligo.dictionary_encode()
+    o = Oligos(coded.dictionary)
+    single = _single(o)
+    # The least sum that rounds above the limit; the other parts of a penalty are never negative.
+    may = (single["tm"] >= PRIMER_TM_MIN) & (single["tm"] <= PRIMER_TM_MAX) & (single["part"] < PRIMER_PENALTY_MAX + 0.06) & (o.n > 0)
+    at = np.flatnonzero(may)
+    full = _struct(_with_dimers(o.where(at), {k: v[at] for k, v in single.items()}), _QUALITY_KINDS)
+    place = np.full(len(o.n), -1, np.int64)
+    place[at] = np.arange(len(at))
+    codes = coded.indices.fill_null(0).to_numpy(zero_copy_only=False)
+    where = place[codes] if len(place) else np.zeros(0, np.int64)
+    return full.take(pa.array(where, mask=where < 0))
+
+
 @F.arrow_udf(RUNS_TYPE)
 def _runs(left: pa.Array, right: pa.Array) -> pa.Array:
     a, b = Oligos(left), Oligos(right)
@@ -174,5 +207,6 @@ def _runs(left: pa.Array, right: pa.Array) -> pa.Array:
                     "hetero_three": _longest_run(_ending(a.right, 8), _tail_complement(_ending(b.right, 8)))}, _RUNS_KINDS)
 
 
+primer_quality = _primer.asNondeterministic()
 oligo_quality = _quality.asNondeterministic()
 pair_runs = _runs.asNondeterministic()

@@ -1,30 +1,32 @@
 """Validation primers: best primer pairs for a table of targets.
 
 Every target becomes one row with its own stretch of bases and search limits; candidates are exploded,
-filtered cheap-to-dear in generated code and folded back to two arrays per target (their size is limited by
-the search windows, not by the data). Pair search is exact but lazy: the best few candidates of each side
-give a score every kept pair must reach, and only pairs whose hetero-dimer-free score reaches it are
-evaluated in full (exact: the bound leaves out only penalties). All steps after the fold work by target.
+filtered cheap-to-dear in generated code and meet by target in one exchange (their number is limited by
+the search windows, not by the data). The pair search is exact but lazy: a rank join over both sides, cheapest
+first, stops when no further pair can reach the last one kept.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import fixed as fx
 from ..functions import seq as sq
 from ..functions.frame import barrier
 from ..functions.numeric import clamp, half_up
-from ..functions.oligo import oligo_quality, pair_runs
+from ..functions.oligo import pair_runs, primer_quality
+from .rankjoin import Side, best_pairs
 
 TOP = 5
-SEEDS = 24
 FALLBACK_SCORE = -999.0
-# Covers the rounding of the pair penalty (1 decimal, divided by 8) and of the score (2 decimals).
-SLACK = 0.02
+# Highest penalty of a pair that is kept.
+PAIR_LIMIT = 30
 OUTSIDE_REACH = 650
 OUTSIDE_FLANK = 120
 # Candidates per side that the outside search of one interactive design looks at; design jobs look at all.
@@ -179,10 +181,10 @@ def primer_candidates(targets: Targets, with_targets: bool = False) -> DataFrame
     # Cheap tests first, in generated code; the rest in one Arrow pass.
     df = df.where(own | ((F.length("p") == F.col("len")) & ~F.contains(p, F.lit("N")) & ~sq.has_homopolymer(p)
                          & (gc >= fx.PRIMER_GC_MIN) & (gc <= fx.PRIMER_GC_MAX)))
-    df = df.withColumn("q", oligo_quality(p))
+    df = df.withColumn("q", primer_quality(p))
     q = F.col("q")
     df = df.where(own | ((q["tm"] >= fx.PRIMER_TM_MIN) & (q["tm"] <= fx.PRIMER_TM_MAX) & (q["self_three"] < 4)
-                         & (q["hairpin"] < 6) & (q["penalty"] <= 22)))
+                         & (q["hairpin"] < 6) & (q["penalty"] <= fx.PRIMER_PENALTY_MAX)))
     base = -F.abs(q["tm"] - 60) - F.abs(q["gc"] - 50) / 10 + q["clamp"] * 2 - q["penalty"] / 8
     end = F.col("start") + F.col("len")
     placing = F.lit(0.0)
@@ -194,112 +196,39 @@ def primer_candidates(targets: Targets, with_targets: bool = False) -> DataFrame
         q["tm"].alias("tm"), q["clamp"].alias("clamp"), q["penalty"].alias("pen")).alias("c"))
 
 
-def _pair_terms(mode: str, t: Column, f: Column, r: Column) -> dict[str, Column]:
-    """Placement rule, amplicon length and placement penalty of a pair in one search mode."""
-    reach = r["end"] - f["start"]
-    zero = F.lit(0).cast("bigint")
-    left, right = t["a"] - f["start"], r["end"] - t["b"]
-    amp, extra = reach, F.lit(0.0)
-    if mode == "screen":
-        room = F.greatest(zero, t["n"] - r["len"])
-        nearest = f["end"] + 50
-        ok = ((r["start"] >= F.greatest(nearest, F.least(room, t["center"] - SCREEN_SHIFT)))
-              & (r["start"] <= F.greatest(nearest, F.least(room, t["center"] + SCREEN_SHIFT))))
-        amp = F.greatest(F.lit(2 * _LMIN).cast("bigint"), left + right)
-        extra = (F.abs(left - t["offset"]) + F.abs(right - t["offset"])) / F.lit(20.0)
-    else:
-        same_end = F.right(f["p"], F.lit(4)) == F.translate(F.reverse(F.right(r["p"], F.lit(4))), "ACGT", "TGCA")
-        ok = (reach >= t["amp_lo"]) & (reach <= t["amp_hi"]) & ~same_end
-        if mode == "centred":
-            ideal = F.when(t["offset"] > 0, t["center"] - t["offset"]).otherwise(
-                half_up(t["center"].cast("double") - reach / F.lit(2.0)))
-            top = F.greatest(zero, t["n"] - reach)
-            ok = (ok & (f["start"] >= F.greatest(zero, F.least(top, ideal - CENTRE_SHIFT)))
-                  & (f["start"] <= F.greatest(zero, F.least(top, ideal + CENTRE_SHIFT))) & (r["start"] > f["end"]))
-            extra = F.when(t["offset"] > 0, F.abs((t["center"] - f["start"]) - t["offset"]) / F.lit(5.0)).otherwise(
-                F.abs(t["center"] - (f["start"] + reach / F.lit(2.0))) / F.lit(5.0))
-        elif mode == "outside":
-            extra = (F.abs(left - OUTSIDE_FLANK) + F.abs(right - OUTSIDE_FLANK)) / F.lit(25.0)
-    return {"ok": ok & (F.abs(f["tm"] - r["tm"]) <= fx.PRIMER_TM_DELTA), "amp": amp, "reach": reach, "extra": extra}
-
-
-def _score(f, r, amp, wanted, penalty, extra):
-    return sq.pair_score(f["tm"], r["tm"], f["gc"], r["gc"], f["clamp"], r["clamp"], amp, wanted, penalty, extra)
-
-
-def _evaluated(pairs: DataFrame, mode: str) -> DataFrame:
-    """Pairs (target_id, t, f, r, ...) that keep the placement rule, with terms and the best possible score."""
-    f, r, t = F.col("f"), F.col("r"), F.col("t")
-    x = _pair_terms(mode, t, f, r)
-    pairs = pairs.where(x["ok"])
-    light = sq.pair_penalty(f["pen"], r["pen"], F.lit(0), F.lit(0), f["tm"], r["tm"])
-    return pairs.select("*", F.inline(F.array(F.struct(
-        x["amp"].alias("amp"), x["reach"].alias("reach"), x["extra"].alias("extra"),
-        _score(f, r, x["amp"], t["wanted"], light, x["extra"]).alias("bound")))))
-
-
-def _scored(pairs: DataFrame) -> DataFrame:
-    """Full evaluation: hetero-dimers, pair penalty, validity limits, score."""
-    f, r = F.col("f"), F.col("r")
-    pairs = pairs.withColumn("runs", pair_runs(f["p"], r["p"])).where("runs.hetero_three < 4")
-    penalty = sq.pair_penalty(f["pen"], r["pen"], F.col("runs.hetero"), F.col("runs.hetero_three"), f["tm"], r["tm"])
-    pairs = pairs.withColumn("pair_pen", penalty).where("pair_pen <= 30")
-    return pairs.withColumn("score", _score(f, r, F.col("amp"), F.col("t.wanted"), F.col("pair_pen"), F.col("extra")))
-
-
 def ranked_pairs(targets: Targets, top: int = TOP, per_side: int | None = None) -> DataFrame:
     """The best pairs of each target (no row for a target without any), rank 1..top.
 
-    ``per_side`` limits the candidates of each side, those first in search order; by default all take part."""
+    ``per_side`` limits the candidates of each side, those first in search order; by default all take part. Candidates meet by
+    target in one exchange; the rank join of a target (see ``rankjoin``) looks at few of its pairs."""
     mode = targets.mode
     cands = primer_candidates(targets, with_targets=True)
-    side = lambda s: F.collect_list(F.when(F.col("side") == s, F.col("c")))
-    # One packed column per role, so that both uses of the folded rows read the same shuffle.
-    per = cands.groupBy("target_id").agg(
-        F.first("g", ignorenulls=True).alias("g"), side("f").alias("f_all"), side("r").alias("r_all"))
-    # array_sort orders by placing (outside mode only), then start and length: the search order.
-    limit = lambda a: a if per_side is None else F.slice(a, 1, per_side)
-    number = lambda a: F.transform(a, lambda c, i: F.struct(c["cost"].alias("cost"), i.alias("i"), c.alias("c")))
-    per = per.where((F.size("f_all") > 0) & (F.size("r_all") > 0)).select(
-        "target_id", F.inline(F.array(F.struct(
-            F.col("g"), F.array_sort(number(limit(F.array_sort("f_all")))).alias("f_all"),
-            F.array_sort(number(limit(F.array_sort("r_all")))).alias("r_all")))))
-
-    def crossed(df, f_list, r_list, reach_floor):
-        """Pairs of two candidate lists; partners out of reach are dropped before the pair rows are made."""
-        out = df.withColumn("_f", F.explode(f_list)).drop("f_all")
-        t, f = F.col("g.t"), F.col("_f.c")
-        near = lambda x: F.lit(True)
-        if mode != "screen":
-            near = lambda x: (x["c"]["end"] >= f["start"] + t["amp_lo"]) & (x["c"]["end"] <= f["start"] + t["amp_hi"])
-        good = lambda x: (x["cost"] <= F.lit(SLACK) - F.col("floor") - F.col("_f.cost")) & near(x) if reach_floor else near(x)
-        out = out.withColumn("_r", F.explode(F.filter(r_list, good))).drop("r_all")
-        keep = [c for c in out.columns if c not in ("_f", "_r", "g")]
-        return out.select(*keep, t.alias("t"), F.col("g.bases").alias("bases"), F.col("g.bases_start").alias("bases_start"),
-                          F.col("_f.c").alias("f"), F.col("_r.c").alias("r"), F.col("_f.i").alias("fi"), F.col("_r.i").alias("ri"))
-
-    # Seeds: the best few candidates of each side, fully evaluated. Their top-th score is a floor that every
-    # pair of the final answer reaches.
-    seeds = crossed(per, F.slice("f_all", 1, SEEDS), F.slice("r_all", 1, SEEDS), False)
-    seeds = _scored(_evaluated(seeds, mode)).groupBy("target_id").agg(F.collect_list("score").alias("s"))
-    floor = seeds.select("target_id", F.coalesce(F.get(F.sort_array("s", asc=False), F.lit(top - 1)), F.lit(-1e9)).alias("floor"))
-    per = per.join(floor, "target_id", "left").withColumn("floor", F.coalesce("floor", F.lit(-1e9)))
-    best_r = F.get("r_all", F.lit(0))["cost"]
-    hopeful = F.filter("f_all", lambda x: x["cost"] <= F.lit(SLACK) - F.col("floor") - best_r)
-    pairs = crossed(per, hopeful, F.col("r_all"), True)
-    pairs = _scored(_evaluated(pairs, mode).where("bound >= floor"))
-    f, r = F.col("f"), F.col("r")
-    amplicon = F.substring("bases", (f["start"] - F.col("bases_start")).cast("int") + 1, F.col("reach").cast("int"))
-    amp_gc = F.lit(None).cast("double") if mode == "screen" else sq.gc_percent(amplicon)
-    # Search order of equal scores.
-    ties = {"centred": [F.col("reach"), f["start"], f["len"], r["len"]], "outside": [F.col("fi"), F.col("ri")]}.get(
-        mode, [f["start"], f["len"], r["start"], r["len"]])
-    w = Window.partitionBy("target_id").orderBy(F.col("score").desc(), *ties)
-    best_rows = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
-    return best_rows.select(
-        "target_id", "rank", f["p"].alias("fw_seq"), f["start"].alias("fw_start"), f["end"].alias("fw_end"),
-        r["p"].alias("rev_seq"), r["start"].alias("rev_start"), r["end"].alias("rev_end"), "amp", "reach",
-        amp_gc.alias("amp_gc"), "score")
+    limits = {"screen_shift": SCREEN_SHIFT, "centre_shift": CENTRE_SHIFT, "outside_flank": OUTSIDE_FLANK, "least": _LMIN, "tm_delta": fx.PRIMER_TM_DELTA,
+              "pair_limit": PAIR_LIMIT}
+    schema = StructType([cands.schema["target_id"], *StructType.fromDDL(
+        "rank int, fw_seq string, fw_start bigint, fw_end bigint, rev_seq string, rev_start bigint, rev_end bigint, amp bigint, reach bigint, amp_gc double, score double").fields])
+
+    def search(group: pa.Table) -> pa.Table:
+        side = group.column("side").to_pylist()
+        own = side.index(WHOLE)
+        whole = group.column("g")[own].as_py()
+        rows = group.column("c").combine_chunks()
+        part = lambda s: Side(rows.filter(pa.array([x == s for x in side])), per_side)
+        f, r = part("f"), part("r")
+        found, _ = best_pairs(mode, whole["t"], f, r, top, limits)
+        out = []
+        for rank, (score, amp, reach, i, j) in enumerate(found, 1):
+            gc = None
+            if whole["bases"] is not None:
+                low = int(f.start[i]) - whole["bases_start"]
+                text = whole["bases"][low:low + reach].upper()
+                gc = float(np.floor((text.count("G") + text.count("C")) / len(text) * 1000.0 + 0.5) / 10.0) if text else 0.0
+            out.append((rank, f.p[i].as_py(), int(f.start[i]), int(f.end[i]), r.p[j].as_py(), int(r.start[j]), int(r.end[j]), amp, reach, gc, score))
+        kind = [group.schema.field("target_id").type, pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        columns = [[group.column("target_id")[own].as_py()] * len(out), *(list(c) for c in zip(*out))] if out else [[] for _ in kind]
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kind)], names=schema.names)
+
+    return cands.groupBy("target_id").applyInArrow(search, schema)
 
 
 def with_fallback(targets: Targets, pairs: DataFrame) -> DataFrame:
