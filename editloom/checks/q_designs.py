@@ -250,6 +250,57 @@ ki AS MATERIALIZED (SELECT seq_id AS slot, gene || ' knockout' AS design_label,
 _STRATEGY = "NHEJ-mediated frameshift using Cas9 RNP. Screen by Sanger sequencing plus ICE/TIDE, then confirm protein loss."
 
 
+@query("set_1_knockout_items", g_sql("""SELECT slot, design_label, gene, design_type, reference_file, item_type, name, sequence, spacer, pam, strand, CAST(len AS INT) AS length, linked_guide, recommended, notes FROM ki""", _KO))
+def set_1c(spark, sf):
+    """All items of knockouts with given primers."""
+    return od.order_items(planned(spark, sf, "ko")[1])
+
+
+_SHEET = ", ".join(f'nullif({c}, \'\') AS "{h}"' for c, h in zip(
+    ["CAST(slot AS VARCHAR)", "design_label", "gene", "design_type", "reference_file", "item_type", "name", "sequence", "spacer", "pam", "strand", "CAST(len AS VARCHAR)", "linked_guide", "recommended", "notes"],
+    fx.ORDER_HEADERS))
+
+
+@query("snk_1_knockout_sheet", g_sql(f"SELECT {_SHEET} FROM ki", _KO))
+def snk_1b(spark, sf):
+    path = staging_folder(spark, "orders")
+    od.write_order_sheet(od.order_items(planned(spark, sf, "ko")[1]), path)
+    return spark.read.csv(path, header=True, quote='"', escape='"')
+
+
+@query("snk_2_knockout_vendor_tables", g_sql("""SELECT CASE item_type WHEN 'gRNA' THEN 'crispr' ELSE 'oligo' END AS "table", name AS "Name", sequence AS "Sequence", CASE item_type WHEN 'gRNA' THEN '2nmol' ELSE '25nm' END AS "Scale" FROM ki""", _KO))
+def snk_2b(spark, sf):
+    v = od.vendor_tables(od.order_items(planned(spark, sf, "ko")[1]), {"crispr_scale": "2nmol", "oligo_scale": "25nm"})
+    rows = [v[k].select(F.lit(k).alias("table"), "Name", "Sequence", "Scale") for k in v]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@query("snk_5_knockout_summary", g_sql(f"""SELECT seq_id AS request_id, 'Design: ' || gene || ' knockout' || chr(10) || 'Target exon: ' || exon || chr(10) || 'Pair spacing: ' || CAST(CAST(spacing AS BIGINT) AS VARCHAR) || ' bp' || chr(10) || 'Strategy: {_STRATEGY}' AS summary FROM dk""", _KO))
+def snk_5b(spark, sf):
+    return planned(spark, sf, "ko")[1].select("request_id", od.design_summary(planned(spark, sf, "ko")[1]).alias("summary"))
+
+
+@query("prj_17_knockout_snapshot", g_sql("""SELECT seq_id AS request_id, CAST(i AS INT) AS item_no, ['Edit class', 'Primary target', 'Guide pair', 'Primers'][i + 1] AS label,
+ ['Knockout', exon, '2 guides · ' || CAST(CAST(spacing AS BIGINT) AS VARCHAR) || ' bp', CASE WHEN has THEN amplicon ELSE 'Pending' END][i + 1] AS value, ['accent', 'default', 'success', CASE WHEN has THEN 'success' ELSE 'warm' END][i + 1] AS tone
+ FROM (SELECT *, unnest(range(0, 4)) AS i FROM dk)""", _KO))
+def prj_17b(spark, sf):
+    return rv.snapshot_items(planned(spark, sf, "ko")[1])
+
+
+@query("qc_1_knockout_review", g_sql("""SELECT seq_id AS request_id, CAST(1 AS INT) AS item_no, 'check' AS level, 'Record transcript assumptions, exon numbering assumptions, and delivery method before final sign-off.' AS text FROM dk WHERE seq_id % 2 = 0
+ UNION ALL SELECT seq_id, 2, 'warning', 'Guide GC content is atypical for ' || CAST(count(*) AS VARCHAR) || CASE count(*) WHEN 1 THEN ' guide' ELSE ' guides' END || '; review activity and synthesis risk manually.' FROM kg WHERE gc < 30 OR gc > 80 GROUP BY seq_id
+ UNION ALL SELECT seq_id, 16, 'check', 'Validate the expected deletion by junction PCR and confirm frameshift or protein loss in established clones.' FROM dk""", _KO))
+def qc_1b(spark, sf):
+    return rv.review_items(planned(spark, sf, "ko")[1])
+
+
+@query("qc_3_knockout_readiness", g_sql("""SELECT seq_id AS request_id, CAST([0, 5, 6, 7][i] AS INT) AS check_no, ['Reference anchored', 'Guide pair ready', 'Sequence-backed geometry', 'Primer strategy ready'][i] AS label, CASE WHEN i = 4 AND NOT has THEN 'warn' ELSE 'pass' END AS status,
+ ['Design is anchored to a concrete reference sequence or validated lookup.', 'Two knockout guides are selected with local spacing and primer design.', 'Cut spacing and exon context were calculated on the uploaded reference.',
+  CASE WHEN has THEN 'Validation primers are ready (' || amplicon || ').' ELSE 'Validation primers are incomplete.' END][i] AS detail FROM (SELECT *, unnest(range(1, 5)) AS i FROM dk)""", _KO))
+def qc_3b(spark, sf):
+    return rv.readiness_checks(planned(spark, sf, "ko")[1])
+
+
 @query("flt_4_atypical_guide_gc", g_sql("SELECT seq_id, ps, strand, spacer, gc, CASE WHEN gc < 30 THEN 'low' ELSE 'high' END AS flag FROM sites WHERE gc < 30 OR gc > 80", SITES))
 def flt_4(spark, sf):
     sites = gn.scan_sequences(view(spark, sf, "fx_sequences"))

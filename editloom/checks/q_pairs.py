@@ -14,7 +14,7 @@ _TARGETS = {
     "flanking": (506, {"a": "90 + seq_id % 5", "b": "400"}),
     "centred": (458, {"a": "222 + seq_id % 11", "b": "0"}),
     "outside": (600, {"a": "26", "b": "574"}),
-    "screen": (104, {"a": "30 + seq_id % 3", "b": "70"}),
+    "screen": (100, {"a": "30 + seq_id % 3", "b": "68"}),
 }
 # Start and end limits of single primers by side, and what holds of a pair.
 _SIDES = {
