@@ -500,8 +500,8 @@ def prj_17(spark, sf):
     return union_of(spark, sf, lambda m, d: rv.snapshot_items(d))
 
 
-def _windows(spark, sf, kind):
-    m, d = finished(spark, sf, kind)
+def _windows(spark, sf, kind, source=finished):
+    m, d = source(spark, sf, kind)
     d = d.where("err is null")
     have = [c for c in ("seq_len",) if c in d.columns]
     return rv.locus_window(d.drop(*have, "segs").join(m.select("seq_id", "seq_len", "exons", "segs", "seq"), "seq_id"))
@@ -521,6 +521,17 @@ def gen_12(spark, sf):
     return out
 
 
+@query("gen_12_knockout_map", g_sql("""SELECT request_id, kind, label, start, "end", (greatest(start, win_start) - win_start) / CAST(win_end - win_start AS DOUBLE) * 100 AS "left",
+ greatest(CASE WHEN kind = 'cut' THEN 2.0e0 ELSE 1.0e0 END, (least("end", win_end) - greatest(start, win_start)) / CAST(win_end - win_start AS DOUBLE) * 100) AS width FROM (
+ SELECT seq_id AS request_id, greatest(0, c - 260) AS win_start, least(2016, greatest(0, c - 260) + 520) AS win_end, kind, label, start, "end" FROM (SELECT seq_id, CAST(floor((l_cut + r_cut) / 2.0 + 0.5) AS BIGINT) AS c FROM dk) JOIN (
+ SELECT seq_id, 'exon' AS kind, 'Exon ' || CAST(exon_number AS VARCHAR) AS label, CAST(exon_start AS BIGINT) AS start, CAST(exon_end AS BIGINT) AS "end" FROM fx_exons
+ UNION ALL SELECT seq_id, 'intron', 'Intron ' || CAST(exon_number AS VARCHAR) || '-' || CAST(nn AS VARCHAR), exon_end, nxt FROM (SELECT *, lead(exon_start) OVER (PARTITION BY seq_id ORDER BY exon_start) AS nxt, lead(exon_number) OVER (PARTITION BY seq_id ORDER BY exon_start) AS nn FROM fx_exons) WHERE nxt > exon_end
+ UNION ALL SELECT seq_id, 'cut', 'gRNA' || CAST(i AS VARCHAR), cut, cut + 1 FROM kg) x USING (seq_id)) WHERE "end" > win_start AND start < win_end""", _KO))
+def gen_12b(spark, sf):
+    """Exons, introns and cuts around knockouts; the given primers lie on no reference."""
+    return rv.locus_items(_windows(spark, sf, "ko", planned))
+
+
 @query("gen_13_donor_annotations")
 def gen_13(spark, sf):
     return union_of(spark, sf, lambda m, d: rv.donor_annotations(d, dims.segment_table(spark)), ("ct", "nt"))
