@@ -3,10 +3,11 @@
 A document is the set of its five-word shingles, and equal sets are one set with a number of copies. For splitting, a
 set is embedded as 64 tokens, its minima under 64 hash functions, of which two sets share a fraction close to their
 Jaccard similarity. A run starts all sets on one sampled token; a bucket is the sets that share all tokens of a path. A
-bucket that is small is compared by brute force; a larger one is split on further sampled tokens, again and again: five
-times on three tokens at once, which keeps a pair as likely together as a split on one token two times, in a third of
-the rounds. A bucket of mostly similar sets cannot be split, so it goes to the exact comparison as it stands, in blocks. Runs are repeated until
-a pair at the threshold is found with the target recall.
+bucket that is small is compared by brute force; a larger one is split on further sampled tokens, again and again: twice
+on three tokens at once, so that a pair at the threshold stays together in about one (2 * 0.8^3) of a path's children and
+the rows at most double in a round. Sets that resemble the first of their bucket are linked with it, each by itself; those that are nearly
+equal to it are done, as the first stands for them, and a bucket of mostly similar sets is not split at all. Runs are repeated until a pair
+at the threshold is found with the target recall.
 
 What the buckets propose forms candidate groups. All pairs of a group are then compared exactly, each set read once: large
 groups are cut into blocks, and each pair of blocks is one piece of work. A piece returns counts and a spanning
@@ -28,17 +29,18 @@ THRESHOLD = 0.8
 #: Tokens of the embedding; sets in a small bucket are candidates from this share of equal tokens (four deviations below the threshold).
 TOKENS = 64
 CANDIDATE = 0.6
-#: Tokens of a split, and splits of a bucket.
-STEP, SPLITS = 3, 5
-#: Recall that the runs reach for pairs at the threshold, and the chance that one run finds such a pair at any depth:
-#: with five splits on three tokens s = 1 - (1 - 0.8^3 s)^5 settles at 0.97, times 0.8 for the first token.
+#: Tokens of a split, and splits of a bucket: of a pair at the threshold 2 * 0.8^3 = 1.02 paths are expected to go on.
+STEP, SPLITS = 3, 2
+#: Recall that the runs reach for pairs at the threshold.
 RECALL = 0.9999
-FOUND = 0.7
 #: Largest bucket for brute force on the tokens, and splits of one path; what is still large then is compared exactly.
 LEAF = 256
 DEPTH = 5
-#: Mean share of tokens in common with a bucket's first set from which the bucket is not split any more.
+#: Share of tokens in common with a bucket's first set from which a set is linked with it; also the mean share from which a bucket is not split.
 DENSE = 0.6
+#: Share from which a set is not split on: what it has 0.65 of its tokens in common with (three deviations below the threshold) has
+#: 0.6 in common with the first, as shares of unlike tokens add up at most, so all partners of the set are linked with the first as well.
+SAME = 0.95
 #: Sets, and shingles, of one block in the exact comparison.
 BLOCK_SETS = 200
 BLOCK_SHINGLES = 200_000
@@ -49,8 +51,20 @@ _A = (mix(np.arange(1, TOKENS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np
 _B = (mix(np.arange(1001, TOKENS + 1001, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
 
-def runs_for(recall: float = RECALL, found: float = FOUND) -> int:
-    return math.ceil(math.log(1 - recall) / math.log(1 - found))
+def found_in_run(threshold: float = THRESHOLD) -> float:
+    """The chance that one run keeps a pair at the threshold together down to the last depth."""
+    alive = 1.0
+    for _ in range(DEPTH):
+        alive = 1 - (1 - threshold ** STEP * alive) ** SPLITS
+    return threshold * alive
+
+
+def runs_for(recall: float = RECALL, threshold: float = THRESHOLD) -> int:
+    """Runs for the recall, of which each starts on a token of its own."""
+    runs = math.ceil(math.log(1 - recall) / math.log(1 - found_in_run(threshold)))
+    if runs > TOKENS:
+        raise ValueError(f"{runs} runs need more than {TOKENS} tokens")
+    return runs
 
 
 def shingles(text: str, known: dict[str, int], n: int = SHINGLE) -> np.ndarray:
@@ -124,7 +138,7 @@ def _likeness(batches):
     """Share of tokens that each set of a bucket has in common with the bucket's first set."""
     for batch in batches:
         other = np.frombuffer(b"".join(batch["first"].to_pylist()), np.uint32).reshape(batch.num_rows, TOKENS)
-        yield pa.record_batch({"path": batch["path"], "share": pa.array((_tokens_of(batch) == other).mean(axis=1))})
+        yield pa.record_batch({**{c: batch[c] for c in ("path", "sid", "low", "tokens")}, "share": pa.array((_tokens_of(batch) == other).mean(axis=1))})
 
 
 def _forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -192,11 +206,12 @@ def candidate_edges(sets: DataFrame, runs: int) -> DataFrame:
         else:
             held = stage(large.join(tokens, "sid"), "join-large")
             firsts = held.where("sid = low").select("path", F.col("tokens").alias("first"))
-            shares = held.join(firsts, "path").select("path", "tokens", "first").mapInArrow(_likeness, "path long, share double")
-            dense = shares.groupBy("path").agg((F.avg("share") >= DENSE).alias("dense"))
-            marked = stage(held.join(dense, "path"), "join-marked")
-            found.append(marked.where("dense").select(F.col("sid").alias("a"), F.col("low").alias("b")))
-            rows = stage(marked.where("not dense").select("path", "sid", "tokens").mapInArrow(_children, "path long, sid long"), "join-paths")
+            likes = stage(held.join(firsts, "path").select("path", "sid", "low", "tokens", "first")
+                          .mapInArrow(_likeness, "path long, sid long, low long, tokens binary, share double"), "join-likeness")
+            marked = likes.join(likes.groupBy("path").agg((F.avg("share") >= DENSE).alias("dense")), "path")
+            found.append(marked.where(F.col("dense") | (F.col("share") >= DENSE)).select(F.col("sid").alias("a"), F.col("low").alias("b")))
+            parted = marked.where(~F.col("dense") & (F.col("share") < SAME))
+            rows = stage(parted.select("path", "sid", "tokens").mapInArrow(_children, "path long, sid long"), "join-paths")
         for part in found:
             edges = part if edges is None else edges.unionByName(part)
         if rows is None:
@@ -291,7 +306,7 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESH
     prepare(docs.sparkSession)
     sketches = stage(pass_rows(docs, {"key": key_of(), "text_hash": hash_of_text(), "text": text_of()}).mapInArrow(tidied(_sketch(n)), "key long, text_hash long, n int, hash binary, tokens binary"), "join-sketches")
     sets = stage(distinct_sets(sketches), "join-sets")
-    groups = connected(candidate_edges(sets, runs_for(recall)), "join-groups")
+    groups = connected(candidate_edges(sets, runs_for(recall, threshold)), "join-groups")
     links = stage(exact_links(docs, sets, groups, n, threshold), "join-links")
     classes = connected(links.select(F.col("sid").alias("a"), F.col("low").alias("b")), "join-classes")
     counts = links.groupBy("sid").agg(F.sum("links").alias("links"))

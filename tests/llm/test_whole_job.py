@@ -6,7 +6,7 @@ import corpus_pipeline
 from conftest import DATA
 from editloom.llm import decontaminate, hidden_markov, near_join
 from editloom.llm.common import stage, table
-from test_operators import frame, slow_align
+from test_operators import brute_classes, frame, slow_align
 
 ITEMS = "item_id long, text string"
 
@@ -116,3 +116,30 @@ def test_all_symbols_of_all_texts_train_the_model(spark):
         last = sums.likelihood
     got = hidden_markov.train(rows, unigram)
     assert abs(hidden_markov.log_likelihoods(texts, got).sum() / hidden_markov.log_likelihoods(texts, model).sum() - 1) < 1e-6
+
+
+def test_near_copies_beside_a_shared_passage(spark, monkeypatch):
+    """A bucket of near copies and of unlike texts that share a passage: no link is lost, and the split rows stay in proportion to the sets."""
+    rng = np.random.default_rng(9)
+    words = [f"q{i}" for i in range(3000)]
+    passage, base = rng.choice(words, 70).tolist(), rng.choice(words, 60).tolist()
+    rows = []
+    for i in range(160):
+        text = passage + base
+        for at in rng.integers(0, len(text), 1 + i % 3):
+            text[at] = f"e{i}x{at}"
+        rows.append((i, " ".join(text)))
+    rows += [(1000 + i, " ".join(passage + rng.choice(words, 150).tolist())) for i in range(160)]
+    made, write = {}, near_join.stage
+
+    def counted(df, name):
+        out = write(df, name)
+        made.setdefault(name, []).append(out.count())
+        return out
+    monkeypatch.setattr(near_join, "stage", counted)
+    monkeypatch.setattr(near_join, "LEAF", 16)
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in near_join.classes_of(frame(spark, rows)).collect())
+    assert got == brute_classes(rows)
+    first, *later = made["join-paths"]
+    assert later and all(n <= near_join.SPLITS * before for n, before in zip(later, made["join-paths"]))
+    assert sum(later) <= near_join.SPLITS * near_join.DEPTH * first
