@@ -7,7 +7,8 @@ bucket that is small is compared by brute force; a larger one is split on furthe
 on three tokens at once, so that a pair at the threshold stays together in about one (2 * 0.8^3) of a path's children and
 the rows at most double in a round. Sets that resemble the first of their bucket are linked with it, each by itself; those that are nearly
 equal to it are done, as the first stands for them, and a bucket of mostly similar sets is not split at all. Runs are repeated until a pair
-at the threshold is found with the target recall.
+at the threshold is found with the target recall: a few for all sets, as a pair in small buckets needs only one token in
+common, and more for the sets of which a bucket was split.
 
 What the buckets propose forms candidate groups. All pairs of a group are then compared exactly, each set read once: large
 groups are cut into blocks, and each pair of blocks is one piece of work. A piece returns counts and a spanning
@@ -59,12 +60,16 @@ def found_in_run(threshold: float = THRESHOLD) -> float:
     return threshold * alive
 
 
-def runs_for(recall: float = RECALL, threshold: float = THRESHOLD) -> int:
-    """Runs for the recall, of which each starts on a token of its own."""
-    runs = math.ceil(math.log(1 - recall) / math.log(1 - found_in_run(threshold)))
-    if runs > TOKENS:
-        raise ValueError(f"{runs} runs need more than {TOKENS} tokens")
-    return runs
+def runs_for(recall: float = RECALL, threshold: float = THRESHOLD) -> tuple[int, int]:
+    """Runs of all sets, and runs in total of sets of which a bucket was split; each run starts on a token of its own.
+
+    A pair is lost when it shares the first token of no run of all sets, or when it is parted by splits in all runs: each
+    may take half of what the recall leaves. A pair that shares a first token is found there or has both sets split."""
+    half = math.log((1 - recall) / 2)
+    few, all_runs = (math.ceil(half / math.log(1 - p)) for p in (threshold, found_in_run(threshold)))
+    if all_runs > TOKENS:
+        raise ValueError(f"{all_runs} runs need more than {TOKENS} tokens")
+    return few, all_runs
 
 
 def shingles(text: str, known: dict[str, int], n: int = SHINGLE) -> np.ndarray:
@@ -110,12 +115,12 @@ def _paths(path: np.ndarray, coordinate: np.ndarray, value: np.ndarray) -> np.nd
         return mix(mix(path + coordinate.astype(np.uint64)) ^ (value.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
 
 
-def _roots(runs: int):
+def _roots(runs: range):
     """First tokens: run r samples coordinate r."""
     def run(batches):
         for batch in batches:
             tokens, sid = _tokens_of(batch), batch["sid"].to_numpy()
-            for r in range(runs):
+            for r in runs:
                 path = _paths(np.full(len(sid), r, np.uint64), np.full(len(sid), r), tokens[:, r])
                 yield pa.record_batch({"path": pa.array(path.view(np.int64)), "sid": pa.array(sid)})
     return run
@@ -186,10 +191,11 @@ def distinct_sets(sketches: DataFrame) -> DataFrame:
             .withColumn("sid", F.xxhash64("hash")))
 
 
-def candidate_edges(sets: DataFrame, runs: int) -> DataFrame:
+def candidate_edges(sets: DataFrame, runs: tuple[int, int]) -> DataFrame:
     """(a, b) candidate links from all runs."""
     tokens = sets.select("sid", "tokens")
-    rows = stage(sets.select("sid", "tokens").mapInArrow(_roots(runs), "path long, sid long"), "join-paths")
+    few, all_runs = runs
+    rows = stage(tokens.mapInArrow(_roots(range(few)), "path long, sid long"), "join-paths")
     edges = None
     for depth in range(DEPTH + 1):
         sizes = rows.groupBy("path").agg(F.count("*").alias("size"), F.min("sid").alias("low")).where("size > 1")
@@ -211,7 +217,11 @@ def candidate_edges(sets: DataFrame, runs: int) -> DataFrame:
             marked = likes.join(likes.groupBy("path").agg((F.avg("share") >= DENSE).alias("dense")), "path")
             found.append(marked.where(F.col("dense") | (F.col("share") >= DENSE)).select(F.col("sid").alias("a"), F.col("low").alias("b")))
             parted = marked.where(~F.col("dense") & (F.col("share") < SAME))
-            rows = stage(parted.select("path", "sid", "tokens").mapInArrow(_children, "path long, sid long"), "join-paths")
+            further = parted.select("path", "sid", "tokens").mapInArrow(_children, "path long, sid long")
+            if depth == 0:
+                again = tokens.join(parted.select("sid").distinct(), "sid", "left_semi")
+                further = further.unionByName(again.mapInArrow(_roots(range(few, all_runs)), "path long, sid long"))
+            rows = stage(further, "join-paths")
         for part in found:
             edges = part if edges is None else edges.unionByName(part)
         if rows is None:
