@@ -214,7 +214,7 @@ def candidate_edges(sets: DataFrame, runs: tuple[int, int]) -> DataFrame:
             firsts = held.where("sid = low").select("path", F.col("tokens").alias("first"))
             likes = stage(held.join(firsts, "path").select("path", "sid", "low", "tokens", "first")
                           .mapInArrow(_likeness, "path long, sid long, low long, tokens binary, share double"), "join-likeness")
-            marked = likes.join(likes.groupBy("path").agg((F.avg("share") >= DENSE).alias("dense")), "path")
+            marked = stage(likes.join(likes.groupBy("path").agg((F.avg("share") >= DENSE).alias("dense")), "path"), "join-marked")
             found.append(marked.where(F.col("dense") | (F.col("share") >= DENSE)).select(F.col("sid").alias("a"), F.col("low").alias("b")))
             parted = marked.where(~F.col("dense") & (F.col("share") < SAME))
             further = parted.select("path", "sid", "tokens").mapInArrow(_children, "path long, sid long")
