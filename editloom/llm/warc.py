@@ -109,10 +109,22 @@ def parse(raw: bytes):
         at = high + 4
 
 
+def unzipped(content: bytes) -> bytes:
+    """A file's bytes; of a gzipped one, of all its members, as many writers make one member per record."""
+    parts = []
+    while content[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        parts.append(member.decompress(content) + member.flush())
+        if not member.eof:
+            raise ValueError("a gzip member ends short")
+        content = member.unused_data
+    return b"".join([*parts, content])
+
+
 def _parse_files(batches):
     for batch in batches:
         for content in batch["content"].to_pylist():
-            found = list(parse(zlib.decompress(content, 31) if content[:2] == b"\x1f\x8b" else content))
+            found = list(parse(unzipped(content)))
             for k in range(0, len(found), 500):
                 part = found[k:k + 500]
                 yield pa.record_batch({"headers": pa.array([list(h.items()) for h, _ in part], pa.map_(pa.string(), pa.string())),

@@ -1,5 +1,6 @@
 """Corpus operators against brute-force versions, on rows with nulls, empty and long texts, ties, repeats and clashing columns."""
 
+import gzip
 import hashlib
 import itertools
 import math
@@ -415,3 +416,14 @@ def test_warc_round_trip(spark):
     assert first.block_digest == "sha256:" + hashlib.sha256(text.encode()).hexdigest() and first.source_digest == "sha256:" + hashlib.sha256(html.encode()).hexdigest()
     assert len({r.refers_to for r in got if r.page_id == 1}) == 1
     assert warc.build(pages.limit(0), staging_folder(spark, "warc")).count() == 0
+
+
+def test_warc_reads_all_gzip_members(spark, tmp_path):
+    one = lambda i: f"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: 3\r\n\r\n{i:03d}\r\n\r\n".encode()
+    (tmp_path / "members.warc.gz").write_bytes(b"".join(gzip.compress(one(i)) for i in range(5)))
+    (tmp_path / "single.warc.gz").write_bytes(gzip.compress(one(5) + one(6)))
+    (tmp_path / "plain.warc").write_bytes(one(7) + one(8))
+    got = warc.read_records(spark, str(tmp_path)).collect()
+    assert sorted(bytes(r.block) for r in got) == [f"{i:03d}".encode() for i in range(9)]
+    with pytest.raises(ValueError):
+        warc.unzipped(gzip.compress(one(1))[:-9])
