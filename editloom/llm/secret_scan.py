@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pass_rows, text_of
+from .common import pass_rows, stage, text_of
 
 
 @dataclass(frozen=True)
@@ -40,6 +41,8 @@ MORE_RULES = (
 )
 RULES = BASE_RULES + MORE_RULES
 
+#: Unseen blobs (a digest of 64 letters and a few pairs each) that may be broadcast; more are joined by shuffle.
+BROADCAST_BLOBS = 200_000
 #: The ledger's columns.
 LEDGER = "blob string, kind string, version int, spans array<struct<start:int,stop:int>>"
 
@@ -73,30 +76,50 @@ def versions_of(docs: DataFrame, path: str = "doc_id") -> DataFrame:
     return pass_rows(docs, {"path": F.col(path), "blob": F.sha2(text_of(), 256)})
 
 
+def _pairs(rules: tuple[Rule, ...]) -> Column:
+    return F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])
+
+
+def unseen(blobs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(blob, todo): the distinct blobs that have not met all rules, and the (kind, version) pairs they lack. Only digests
+    are moved; copies are merged within their task first."""
+    done = ledger.groupBy("blob").agg(F.collect_set(F.struct("kind", "version")).alias("done"))
+    todo = F.coalesce(F.array_except(_pairs(rules), "done"), _pairs(rules))
+    return blobs.select("blob").distinct().join(done, "blob", "left").select("blob", todo.alias("todo")).where(F.size("todo") > 0)
+
+
 def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """New ledger rows (blob, kind, version, spans): each distinct blob is scanned once, by the rules it has not met yet.
 
     A copy of a text is merged within its task before the shuffle, so a text with a third of all rows is not a hot key.
-    With a ledger, blobs that have met every rule are left out before their texts are moved."""
+    With a ledger, what is unseen is found by digests alone; texts of other blobs are not moved when the unseen ones are at
+    most BROADCAST_BLOBS, and are left out after the merge of copies when there are more."""
     blobs = pass_rows(docs, {"blob": F.sha2(text_of(), 256), "text": text_of()})
-    done = None
+    todo = None
     if ledger is not None:
-        known = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])
-        done = (ledger.groupBy("blob").agg(F.collect_set(F.struct("kind", "version")).alias("done"))
-                .select("blob", F.array_except(known, "done").alias("todo")))
-        blobs = blobs.join(done.where(F.size("todo") == 0), "blob", "left_anti")
+        todo = stage(unseen(blobs, ledger, rules), "secret-unseen")
+        if todo.limit(BROADCAST_BLOBS + 1).count() <= BROADCAST_BLOBS:
+            todo = F.broadcast(todo)
+            blobs = blobs.join(todo.select("blob"), "blob", "left_semi")
     texts = blobs.groupBy("blob").agg(F.first("text").alias("text"))
-    if done is not None:
-        texts = texts.join(done, "blob", "left")
-    else:
-        texts = texts.withColumn("todo", F.lit(None).cast("array<struct<kind:string,version:int>>"))
-    wanted = [F.col("todo").isNull() | F.array_contains("todo", F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"))) for r in rules]
+    texts = texts.withColumn("todo", _pairs(rules)) if todo is None else texts.join(todo, "blob")
+    wanted = [F.array_contains("todo", F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"))) for r in rules]
     found = [F.when(w, F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), spans_of(F.col("text"), r).alias("spans")))
              for w, r in zip(wanted, rules)]
     rows = texts.select("blob", F.array_compact(F.array(*found)).alias("found"))
     return rows.select("blob", F.inline("found"))
 
 
+def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    """The ledger at ``path``, or None where there is none yet."""
+    try:
+        return spark.read.schema(LEDGER).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def append(spark: SparkSession, new: DataFrame, path: str) -> DataFrame:
     """Append new rows to the ledger at ``path`` and return the whole ledger."""
     new.write.mode("append").parquet(path)
@@ -118,14 +141,26 @@ def span_text(hits: Column) -> Column:
     return F.array_join(F.transform(hits, lambda h: F.concat_ws(":", h["kind"], h["start"], h["stop"])), ",")
 
 
+def batches_of(docs: DataFrame) -> list[DataFrame]:
+    """Older documents (ids up to the median, by an approximate quantile of the rows), then newer ones and those without id."""
+    middle = docs.select(F.percentile_approx("doc_id", 0.5, 1000)).first()[0]
+    if middle is None:
+        return [docs]
+    older = F.coalesce(F.col("doc_id") <= middle, F.lit(False))
+    return [docs.where(older), docs.where(~older)]
+
+
 def scan_documents(docs: DataFrame, ledger_path: str) -> DataFrame:
     """All documents through the ledger at ``ledger_path`` (created when it is not there).
 
-    One row per row of ``docs``: doc_id, counts of the base kinds, digest of the base spans, all spans as text. Null
-    texts are empty ones and have no spans; rows with equal text share one scan. A ledger row list per blob grows with
-    the findings of that one blob only."""
+    Older documents are scanned and entered first, then newer ones against what the ledger holds; a further run on the same
+    path scans only what is new in it, and appends nothing for the rest. One row per row of ``docs``: doc_id, counts of the
+    base kinds, digest of the base spans, all spans as text. Null texts are empty ones and have no spans; rows with equal
+    text share one scan. A ledger row list per blob grows with the findings of that one blob only."""
     spark = docs.sparkSession
-    ledger = append(spark, scan(docs), ledger_path)
+    ledger = read_ledger(spark, ledger_path)
+    for batch in batches_of(docs):
+        ledger = append(spark, scan(batch, ledger), ledger_path)
     base = [r.kind for r in BASE_RULES]
     rows = findings(versions_of(docs), ledger)
     own = F.filter("hits", lambda h: h["kind"].isin(base))

@@ -114,6 +114,21 @@ def test_ledger_scans_only_unseen_pairs(spark, docs, tmp_path):
     assert {(r.kind, r.version) for r in again.select("kind", "version").distinct().collect()} == {("hex", 2)}
 
 
+def test_second_run_on_a_ledger_appends_nothing(spark, docs, tmp_path, monkeypatch):
+    path = str(tmp_path / "ledger")
+    texts = [(i, t) for i, t in enumerate(SECRETS * 2)]
+    first = sorted(map(str, secret_scan.scan_documents(frame(spark, texts), path).collect()))
+    rows = secret_scan.read_ledger(spark, path)
+    held = rows.count()
+    assert held == rows.select("blob", "kind", "version").distinct().count() == len({t or "" for t in SECRETS}) * len(secret_scan.RULES)
+    assert sorted(map(str, secret_scan.scan_documents(frame(spark, texts), path).collect())) == first
+    assert secret_scan.read_ledger(spark, path).count() == held
+    monkeypatch.setattr(secret_scan, "BROADCAST_BLOBS", 0)
+    more = texts + [(1000, "token = abcdefgh"), (None, "token = abcdefghi")]
+    secret_scan.scan_documents(frame(spark, more), path)
+    assert secret_scan.read_ledger(spark, path).count() == held + 2 * len(secret_scan.RULES)
+
+
 # url filters
 
 def test_url_filter_edges(spark):
