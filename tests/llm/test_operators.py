@@ -179,6 +179,16 @@ def test_encoder_equals_library(direct):
         assert ids + np.array([1], "<u4").tobytes() == direct(t).tobytes(), t
 
 
+def test_encoder_generations(direct, monkeypatch):
+    """Small generations give the same ids; letter case neither makes nor unmakes a special token."""
+    monkeypatch.setattr(tokens, "KEPT_CHUNKS", 4)
+    monkeypatch.setattr(tokens, "KEPT_PIECES", 3)
+    encoder = tokens.Encoder(tokens.default_path())
+    texts = [*TEXTS, "The <|EndOfText|> the", "THE, the. The! <|endoftext|>", "a b a c a d a e, A. B. É é"]
+    for t in texts + texts[::-1]:
+        assert encoder.encode([t])[0] + np.array([1], "<u4").tobytes() == direct(t).tobytes(), t
+
+
 def test_token_files_round_trip(spark, docs, none, direct, tmp_path):
     path = str(tmp_path / "t")
     token_files.write_tokens(docs, path)
