@@ -91,7 +91,8 @@ def term_statistics(coded: DataFrame, window: int = WINDOW) -> tuple[np.ndarray,
 
 
 def _split(window: int, idf_of):
-    """Whole windows as finished pieces (kind 0), leftovers with their leading term (kind 1)."""
+    """Whole windows as finished pieces (kind 0, ahead of all terms and spread by key), leftovers with their leading term
+    (kind 1)."""
     def run(batches):
         from pyspark import TaskContext
         (idf, _, held), next_id = idf_of.value, (1 << 61) | (TaskContext.get().partitionId() << _TASK_BITS)
@@ -100,7 +101,7 @@ def _split(window: int, idf_of):
             for key, n, ids in zip(batch["key"].to_pylist(), batch["n"].to_pylist(), batch["ids"]):
                 raw = memoryview(ids.as_buffer())
                 for k in range(n // window):
-                    out.append((0, 0, 0, key, k * window, window, zlib.crc32(raw[4 * k * window:4 * (k + 1) * window]), n, next_id, None))
+                    out.append((0, -1, (key + k) % (1 << 31), key, k * window, window, zlib.crc32(raw[4 * k * window:4 * (k + 1) * window]), n, next_id, None))
                     next_id += 1
                 left = _left(raw, window)
                 if len(left):
@@ -209,6 +210,12 @@ def _pack(window: int, shard: int, idf_of):
         rows: list[list] = []
         held = 0
         for batch in batches:
+            done = int((batch["kind"].to_numpy() == 0).sum())  # whole windows come first in the order
+            if done:
+                first = batch.slice(0, done)
+                columns = {m: first[m] for m in ("key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id")}
+                yield pa.record_batch({**columns, "offset": pa.array(np.zeros(done, np.int64))})
+                batch = batch.slice(done)
             for key, start, ids, n in zip(batch["key"].to_pylist(), batch["start"].to_pylist(), batch["ids"], batch["doc_tokens"].to_pylist()):
                 rows.append([key, start, np.frombuffer(ids.as_buffer(), "<u4"), n])
                 held += len(rows[-1][2])
@@ -250,8 +257,6 @@ def pack(docs: DataFrame, window: int = WINDOW, shard: int = SHARD, vocabulary:
     coded = stage(encode_rows(docs, vocabulary, end), "packing-ids")
     statistics = spark.sparkContext.broadcast(term_statistics(coded, window))
     parts = coded.mapInArrow(tidied(_split(window, statistics)), _SPLIT)
-    whole = parts.where("kind = 0").select("key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", F.lit(0).cast("long").alias("offset"))
-    left = parts.where("kind = 1").select("lead", "salt", "key", "start", "doc_tokens", "ids")
-    dealt = left.repartition("lead", "salt").sortWithinPartitions("lead", "salt", "key", "start").select("key", "start", "doc_tokens", "ids")
+    dealt = parts.repartition("lead", "salt").sortWithinPartitions("lead", "salt", "key", "start")
     packed = dealt.mapInArrow(tidied(_pack(window, shard, statistics)), _PIECES)
-    return whole.unionByName(packed).select(id_of(F.col("key")).alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    return packed.select(id_of(F.col("key")).alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
